@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocktape.llm.common import bit_of, bitmaps, fresh, keep_marked, written
@@ -162,19 +162,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def size_fits(x: str, y: str, percent: int):
-    return (100 * F.least(x, y) >= percent * F.greatest(x, y)).alias("fits")
+def size_fits(x: str, y: str, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def least_shared(x: str, y: str, percent: int):
-    """Prefix shingles that two groups of these sizes must share: needed overlap less what can lie past the prefixes.
+def needed(x: Column, y: Column, percent: int) -> Column:
+    """Shingles that sets of these sizes must share: ceil(t (x + y) / (1 + t))."""
+    return F.ceil(percent * (x + y) / (100 + percent))
 
-    Needed is ceil(t (x + y) / (1 + t)).  Past the end of the prefix that ends first in the order, at most
-    that set's remaining n - prefix shingles can be shared, and up to there both prefixes are complete.
+
+def least_shared(x: str, y: str, percent: int) -> Column:
+    """Prefix shingles that two sets of these sizes must share: what is needed less what can lie past the prefixes.
+
+    Past the end of the prefix that ends first in the order, at most that set's remaining n - prefix
+    shingles can be shared, and up to there both prefixes are complete.
     """
-    need = F.ceil(percent * (F.col(x) + F.col(y)) / (100 + percent))
     past = lambda n: F.ceil(percent * F.col(n) / 100) - 1
-    return F.greatest(need - F.greatest(past(x), past(y)), F.lit(1))
+    return F.greatest(needed(F.col(x), F.col(y), percent) - F.greatest(past(x), past(y)), F.lit(1))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     heads = members.filter("cls = gid").select("set_sig", "gid")
     index = (
         linked.join(heads, [linked.set_sig == heads.set_sig, linked.doc_id == heads.gid], "left_semi").dropDuplicates(["doc_id", "set_sig"])
-        .select(F.explode("prefix").alias("token"), F.col("doc_id").alias("gid"), "n")
+        .select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n")
     )
     shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("gid").alias("center")).filter("times > 1").select("token", "center")
     index = written(index.join(shared, "token"))
@@ -253,17 +257,20 @@ def open_pairs(members: DataFrame, index: DataFrame, known: DataFrame, percent:
     of one component are never paired.
     """
     group = known.groupBy("gid").agg(F.collect_set("comp").alias("comps"), F.count(F.lit(1)).alias("classes"))
-    at = index.select("token", "gid", "n").join(known.select("gid", "comp").distinct(), "gid")
-    mixed = at.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    at = written(at.join(mixed, "token"))
+    at = index.select("token", "gid", "n", "pos").join(known.select("gid", "comp").distinct(), "gid")
+    # the first shared shingle lies so early in both sets that all needed ones can follow; partners have t n shingles at least
+    least = at.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least")).filter("x <> y").select("token", "least")
+    smallest = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
+    at = at.join(least, "token").filter(F.col("pos") <= F.col("n") - needed(F.col("n"), smallest, percent)).drop("least")
+    at = written(at)
     sides = at.select("token", "comp").distinct()
     two = sides.withColumnRenamed("comp", "comp_a").join(sides.withColumnRenamed("comp", "comp_b"), "token").filter("comp_a < comp_b")
-    left = at.withColumnsRenamed({"gid": "ga", "n": "na", "comp": "comp_a"})
-    right = at.withColumnsRenamed({"gid": "gb", "n": "nb", "comp": "comp_b"})
-    crossed = two.join(left, ["token", "comp_a"]).join(right, ["token", "comp_b"])
-    crossed = crossed.filter(size_fits("na", "nb", percent)).filter("ga <> gb")
-    crossed = crossed.groupBy("ga", "comp_a", "gb", "comp_b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    crossed = crossed.filter(F.col("shared") >= least_shared("na", "nb", percent)).select("ga", "comp_a", "gb", "comp_b")
+    left = at.withColumnsRenamed({"gid": "ga", "n": "na", "pos": "pa", "comp": "comp_a"})
+    right = at.withColumnsRenamed({"gid": "gb", "n": "nb", "pos": "pb", "comp": "comp_b"})
+    need = needed(F.col("na"), F.col("nb"), percent)
+    early = (F.col("pa") + need <= F.col("na")) & (F.col("pb") + need <= F.col("nb"))
+    crossed = two.join(left, ["token", "comp_a"]).join(right.withColumnsRenamed({"token": "tb", "comp_b": "cb"}), (F.col("token") == F.col("tb")) & (F.col("comp_b") == F.col("cb")) & (F.col("ga") != F.col("gb")) & size_fits("na", "nb", percent) & early)
+    crossed = crossed.select("ga", "comp_a", "gb", "comp_b").distinct()
     own = known.join(group.filter(F.size("comps") > 1).select("gid"), "gid")
     split = own.select("gid", "comp").distinct()
     within = split.withColumnsRenamed({"comp": "comp_a"}).join(split.withColumnsRenamed({"comp": "comp_b"}), "gid").filter("comp_a < comp_b")
