@@ -67,24 +67,18 @@ def sandwich_profit(eps: Column, sigma: Column, r: float) -> Column:
     return F.when((eps >= 0) & (den != 0), r * r * eps * (t * t) / den - eps)
 
 
-def sandwich_best(sigma: Column, r: float, gamma: float, grid: int = 128) -> Column:
-    """struct(eps, profit): the first maximum over an even grid on [0, eps_cap]; (0, 0) without room.
+def sandwich_best(sigma: Column, cap: Column, r: float, grid: int = 128) -> Column:
+    """struct(eps, profit): the first maximum over an even grid on [0, cap]; (0, 0) without room.
 
-    A fold over a sequence inside the row: the grid is never exploded into rows.
+    ``cap`` should be a column already, for it is read at every point.  The grid stays inside the row and
+    is never exploded into rows.
     """
     n = max(8, int(grid))
-    cap = eps_cap(sigma, gamma, r)
-
-    def step(best: Column, j: Column) -> Column:
-        eps = F.when(j == n - 1, cap).otherwise(j * (cap / float(n - 1)))
-        now = sandwich_profit(eps, sigma, r)
-        better = now.isNotNull() & (best["profit"].isNull() | (now > best["profit"]))
-        return F.when(better, F.struct(eps.alias("eps"), now.alias("profit"))).otherwise(best)
-
-    start = F.struct(F.lit(0.0).alias("eps"), F.lit(None).cast("double").alias("profit"))
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step)
+    at = lambda j: F.when(j == n - 1, cap).otherwise(j * (cap / float(n - 1)))
+    profits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: sandwich_profit(at(j), sigma, r))
+    best = F.transform(F.array(profits), lambda p: F.struct(at(F.array_position(p, F.array_max(p)).cast("int") - 1).alias("eps"), F.array_max(p).alias("profit")))[0]
     zero = F.struct(F.lit(0.0).alias("eps"), F.lit(0.0).alias("profit"))
-    return F.when((cap > 0) & (cap < float("inf")) & sigma.isNotNull(), found).otherwise(zero)
+    return F.when((cap > 0) & (cap < float("inf")) & sigma.isNotNull(), best).otherwise(zero)
 
 
 def backrun_vs_jit(f: float, phi: float, r: float) -> float | None:

@@ -107,10 +107,11 @@ def sandwich_metrics(df: DataFrame, fee: float | None = None, gamma: float = 0.0
         "lp_token_delta_token0": F.when(F.col("is_jit"), lp).otherwise(0.0), "eps_gross": eps, "eps_net": r * eps,
         "i_measured": safe_div(F.col("p_victim_post"), F.col("p_victim_pre")) - 1.0, "sigma_min_backrun": F.lit(T.backrun_threshold(r)),
         "br_pi_star_token0": in_token0(T.backrun_best(base, r, sigma), x2y), "sand_pi_obs_token0": in_token0(base * T.sandwich_profit(eps, sigma, r), x2y),
-        "_best": T.sandwich_best(sigma, r, gamma, grid), "eps_max_classic": T.eps_cap(sigma, gamma, r),
+        "eps_max_classic": T.eps_cap(sigma, gamma, r),
         "eps_max_jit": T.eps_cap_jit(sigma, gamma, r, alpha_of_share(share)), "gamma_used": F.lit(gamma),
         "sigma_star_br_vs_jit_phi0": F.lit(T.backrun_vs_jit(f, 0.0, r)).cast("double"),
     })
+    out = out.withColumn("_best", T.sandwich_best(sigma, F.col("eps_max_classic"), r, grid))
     out = out.withColumns({
         "profit_token0": F.col("profit_token0_base") + F.col("jit_fee_token0") + F.col("lp_token_delta_token0"),
         "sand_pi_star_token0": in_token0(base * F.col("_best.profit"), x2y), "eps_star": F.col("_best.eps"),

@@ -356,7 +356,7 @@ def calldata(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.concat(e_out, single, F.lit("0" * 56))
     multi = F.concat(num(32), num(2), num(64), num(128), num(4), F.lit("deadbeef" + "0" * 56), num(260), inner)
     command = F.concat(word_of(token(9)), w(q), w(lim), num(160), num(1), num(66), padded)
-    execute = lambda c: F.concat(num(64), num(128), num(2), F.lit(c + "0" * 60), num(2), num(64), num(128), num(0), num(320), command)
+    execute = lambda c: F.concat(num(64), num(128), num(2), F.lit(c + "0" * 60), num(2), num(64), num(96), num(0), num(288), command)
     n = F.col("event_id") % 8
     sel = decode.SELECTORS
     data = (
@@ -492,10 +492,10 @@ def observed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def strategy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profit of each strategy at every observed size and fee."""
-    s = observed_sizes(spark, sf_dir)
+    s = staged(observed_sizes(spark, sf_dir))
     out = None
     for b in FEES_BPS:
-        part = sweep.strategies(s, b / 1e4, GAMMA)
+        part = sweep.strategies(s, ["q"], b / 1e4, GAMMA)
         out = part if out is None else out.unionByName(part)
     return out.select("q", "fee_fraction", r("pi_jit", 12), r("pi_backrun", 12), r("pi_sandwich", 11))
 

@@ -23,10 +23,6 @@ def crossed(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def best_sandwich(sigma: Column, r: float, gamma: float, n: int = 100) -> Column:
-    return T.sandwich_best(sigma, r, gamma, n)["profit"]
-
-
 def mixed_optimum(sigmas: DataFrame, keys: list[str], f: float, gamma: float, alpha_max: float, n: int = 41, floor: float = 1e-12) -> DataFrame:
     """(keys, sigma, eps_best, alpha_best, mixed_best): the largest mixed profit with eps up to its cap and a funded back-run.
 
@@ -57,14 +53,13 @@ def mixed_optimum(sigmas: DataFrame, keys: list[str], f: float, gamma: float, al
     return second.select(*keys, "sigma", F.col("_b._e").alias("eps_best"), F.col("_b._a").alias("alpha_best"), F.col("_b._p").alias("mixed_best"))
 
 
-def strategies(df: DataFrame, f: float, gamma: float, alpha: float = 1.0, grid_n: int = 100) -> DataFrame:
-    """Profits of just-in-time liquidity, back-run and sandwich at each sigma."""
-    r = 1.0 - f
-    sigma = F.col("sigma")
-    return df.withColumns({
-        "fee_fraction": F.lit(f), "pi_jit": T.jit_profit(sigma, f, r, F.lit(alpha)), "pi_backrun": T.backrun_profit(r, sigma),
-        "pi_sandwich": best_sandwich(sigma, r, gamma, grid_n),
-    })
+def strategies(df: DataFrame, keys: list[str], f: float, gamma: float, alpha: float = 1.0, grid_n: int = 100) -> DataFrame:
+    """(keys, sigma, fee_fraction, pi_jit, pi_backrun, pi_sandwich): profits of just-in-time liquidity, back-run and best sandwich at each sigma."""
+    r, sigma = 1.0 - f, F.col("sigma")
+    points = df.select(*keys, "sigma").withColumn("_cap", T.eps_cap(sigma, gamma, r)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(grid_n - 1))))
+    eps = F.when(F.col("_j") == grid_n - 1, F.col("_cap")).otherwise(F.col("_j") * (F.col("_cap") / float(grid_n - 1)))
+    best = points.withColumn("_e", eps).withColumn("_p", T.sandwich_profit(F.col("_e"), sigma, r)).groupBy(*keys, "sigma").agg(F.max("_p").alias("pi_sandwich"))
+    return best.withColumns({"fee_fraction": F.lit(f), "pi_jit": T.jit_profit(sigma, f, r, F.lit(alpha)), "pi_backrun": T.backrun_profit(r, sigma)})
 
 
 def eps_caps(df: DataFrame, gammas: list[float], r: float, alpha: float = 1.0) -> DataFrame:

@@ -85,7 +85,7 @@ def pool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same log in SQL, as common table expression `tape`.
 TAPE_SQL = r"""
 o1 AS (
-  SELECT 'p' || ((user_id // 3) % 2)::VARCHAR AS pool, epoch(ts)::BIGINT // 7200 AS block_number, floor(epoch(ts))::BIGINT AS ts_unix, event_id,
+  SELECT 'p' || ((user_id // 3) % 2)::VARCHAR AS pool, floor(epoch(ts))::BIGINT // 7200 AS block_number, floor(epoch(ts))::BIGINT AS ts_unix, event_id,
          floor(value * 100 + 0.5)::BIGINT + 2 AS q, ts,
          CASE event_type WHEN 'signup' THEN 'mint' WHEN 'error' THEN 'burn' ELSE 'swap' END AS kind, 'o' || (user_id % 3)::VARCHAR AS origin
   FROM events),
