@@ -30,7 +30,7 @@ WORDS = 5
 PERCENT = 80  # similarity in percent
 SKETCH_BITS = 21  # 2^21 counters, 8 MB
 CHUNK = 1 << 12  # counters in one row
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 DONE = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -134,8 +134,8 @@ def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents in ids (id), as sorted binary; of rows that share an id, any one whose set that is."""
-    wanted = marked(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids).join(ids, "id", "left_semi")
+    """(id, shingles) of the documents in ids (id), as sorted binary, and of a few others that the bit test lets pass."""
+    wanted = marked(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -202,13 +202,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     members = written(classes.join(groups, "prefix_sig").select("cls", "gid", "n", "set_sig"))
     copies = linked.join(members.select("set_sig", "cls"), "set_sig").filter("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
 
-    heads = members.filter("cls = gid").select("set_sig", "gid")
-    index = (
-        linked.join(heads, [linked.set_sig == heads.set_sig, linked.doc_id == heads.gid], "left_semi").dropDuplicates(["doc_id", "set_sig"])
-        .select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n")
-    )
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("gid").alias("center")).filter("times > 1").select("token", "center")
-    index = written(index.join(shared, "token"))
+    heads = members.filter("cls = gid").select(F.col("gid").alias("doc_id"))
+    index = marked(linked, "doc_id", heads).select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n")
+    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("gid").alias("center")).filter("times > 1")
+    shared = written(shared.select("token", "center"))
+    # only rows whose shingle may be shared go to the join; those of documents that are no heads, which the bits let pass, end here
+    index = marked(index, "token", shared.select("token")).join(shared, "token").join(heads.withColumnRenamed("doc_id", "gid"), "gid", "left_semi")
+    index = written(index.join(heads.withColumnRenamed("doc_id", "center"), "center", "left_semi"))
 
     edges = star_links(docs, members, index, words, percent)
     known = written(components_of(members, edges))
