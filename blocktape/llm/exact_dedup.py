@@ -54,6 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = repeated.groupBy("text_sha256").agg(
         F.max(F.struct("doc_id", "_row")).alias("__bt_keep"), F.count(F.lit(1)).alias("group_size")
     )
+    groups = written(groups)  # then both sides of the join are plain exchanges, of which Spark can split a large group
     joined = repeated.join(groups, "text_sha256").select(
         "doc_id",
         F.col("__bt_keep.doc_id").alias("keep_id"),
@@ -67,17 +68,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs, with all their columns, that exact_dedup keeps; whole rows that repeat are one.
 
-    Rows of groups of one are not shuffled, but for those few that the bit test cannot tell from copies.
+    Only rows that go are shuffled, and those few that the bit test cannot tell from them.
     """
     found = exact_dedup(docs, id_col, text_col, max_bits)
-    copies = written(found.filter("group_size > 1").select("text_sha256", "keep_id").distinct())
-    rows = docs.withColumn("__bt_sha", text_hash(text_col))
-    bits = bits_for(copies.count(), most=max_bits)
-    slot = bit_of(F.col("__bt_sha"), bits, 2)
-    marks = written(bitmaps(copies.select(bit_of(F.col("text_sha256"), bits, 2).alias("slot")).distinct(), "slot"))
-    tested = keep_marked(rows, slot, marks, into="__bt_maybe")
-    alone = tested.filter("not __bt_maybe").drop("__bt_maybe", "__bt_sha")
-    grouped = tested.filter("__bt_maybe").drop("__bt_maybe").join(copies.withColumnsRenamed({"text_sha256": "__bt_sha", "keep_id": "__bt_keep"}), "__bt_sha", "left")
-    grouped = grouped.withColumn("__bt_copy", F.col("__bt_keep").isNotNull()).filter(~F.col("__bt_copy") | F.col(f"`{id_col}`").eqNullSafe(F.col("__bt_keep")))
-    kept = grouped.filter("__bt_copy").dropDuplicates(["__bt_sha"]).unionByName(grouped.filter("not __bt_copy"))
-    return alone.unionByName(kept.drop("__bt_sha", "__bt_keep", "__bt_copy"))
+    drops = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__bt_id"), F.col("text_sha256").alias("__bt_of"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__bt_again"))
+    drops = written(drops.distinct())
+    bits = bits_for(drops.count(), most=max_bits)
+    marks = written(bitmaps(drops.select(bit_of(F.col("__bt_id"), bits, 2).alias("slot")).distinct(), "slot"))
+    tested = keep_marked(docs, bit_of(F.col(f"`{id_col}`").cast("long"), bits, 2), marks, into="__bt_maybe")
+    alone = tested.filter("not __bt_maybe").drop("__bt_maybe")
+    rows = tested.filter("__bt_maybe").drop("__bt_maybe").withColumn("__bt_sha", text_hash(text_col))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__bt_id")) & (F.col("__bt_sha") == F.col("__bt_of"))
+    rows = rows.join(drops, same, "left").filter("__bt_again is null or __bt_again")
+    once = rows.filter("__bt_again is not null").dropDuplicates(["__bt_id", "__bt_sha"])  # repeated rows of a document that stays
+    rest = rows.filter("__bt_again is null").unionByName(once)
+    return alone.unionByName(rest.drop("__bt_sha", "__bt_id", "__bt_of", "__bt_again"))
