@@ -78,7 +78,7 @@ def running_state(events: DataFrame, snapshots: DataFrame, bucket_blocks: int =
     e = e.withColumn("affects_active", active(F.col("tick_after")))
     e = e.withColumn("delta_l_applied", F.when(F.col("affects_active"), F.col("liquidity_delta")).when(~swap, 0))
     # buckets without a swap between the last one with a swap and this: their changes are summed one row per bucket
-    head = e.filter("_seg = 0").groupBy("pool", "_from", "_bucket").agg(F.sum("delta_l_applied").alias("h"))
+    head = e.groupBy("pool", "_from", "_bucket").agg(F.coalesce(F.sum(F.when(F.col("_seg") == 0, F.col("delta_l_applied"))), F.lit(0)).alias("h"))
     earlier = Window.partitionBy("pool", "_from").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     head = head.select("pool", "_bucket", F.coalesce(F.sum("h").over(earlier), F.lit(0)).alias("_before"))
     e = e.join(head, ["pool", "_bucket"], "left")
