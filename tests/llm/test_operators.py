@@ -1,0 +1,297 @@
+"""Training-data operators against brute force on small tables with nulls, ties, repeats, clashing columns and long texts."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from blocktape.llm import compression_classifier as quality
+from blocktape.llm import decontaminate as leaks
+from blocktape.llm import exact_dedup as exact
+from blocktape.llm import language_id as lang
+from blocktape.llm import ngram_join as near
+from blocktape.llm import packing, secrets, sharding, token_counts, url_filter
+from blocktape.llm.components import connected_components
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+rng = random.Random(5)
+VOCAB = ["alpha", "Beta", "gamma,", "delta", "epsilon.", "zeta", "eta", "theta", "iota", "kappa", "été", "ñandú", "x1", "42"]
+LONG = " ".join(rng.choice(VOCAB) for _ in range(6000))
+BASE = [f"word{i}" for i in range(80)]
+
+
+def texts():
+    near_one = BASE[:40] + ["changed"] + BASE[41:]
+    far = BASE[:20] + [f"other{i}" for i in range(60)]
+    rows = [" ".join(BASE), " ".join(BASE), " ".join(BASE).upper(), " ".join(near_one), " ".join(far), LONG, LONG + " end", "", None, "one two", "ONE  two", "a b c d e", "\x1cA b c d e f", "<|endoftext|> x <|endoftext|>", "  two  spaces \n\n and \t tab ", "é" * 300, "password=abcdef token: 'zz'"]
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "clash", i, 0.5) for i, t in texts()]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, n long, component_id double").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def rows_of(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def test_near_duplicates(docs, empty):
+    sets = {}
+    for i, t in texts():
+        w = re.findall("[^\x20\x09-\x0d]+", lower(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = rows_of(near.near_duplicates(docs))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), label[i]) for i, s in sets.items()}
+    kept = near.keep_one_near_copy(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(label.values())
+    assert near.near_duplicates(empty).count() == 0
+
+
+def test_near_copies_of_one_base_lose_no_link(spark):
+    made, g = [], random.Random(1)
+    for i in range(120):
+        w = BASE[:]
+        for _ in range(g.randint(0, 5)):
+            w[g.randrange(len(w))] = f"edit{g.randrange(400)}"
+        made.append((i, " ".join(w)))
+    sets = {i: set(near.shingle_set(t).tolist()) for i, t in made}
+    label = {i: i for i in sets}
+    for _ in range(6):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = rows_of(near.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")))
+    assert {i: r.component_id for i, r in got.items()} == label
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (50, 200), (51, 200)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {50: 50, 51: 50, 200: 50}
+
+
+def test_exact_dedup(spark, docs, empty):
+    groups = {}
+    for i, t in texts():
+        groups.setdefault(lower(t), []).append(i)
+    for r in exact.exact_dedup(docs).collect():
+        t = lower(dict(texts())[r.doc_id])
+        assert (r.keep_id, r.group_size, r.kept) == (max(groups[t]), len(groups[t]), r.doc_id == max(groups[t]))
+        assert r.text_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    kept = exact.keep_one_copy(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(max(g) for g in groups.values())
+    assert exact.exact_dedup(empty).count() == exact.keep_one_copy(empty).count() == 0
+    odd = spark.createDataFrame([(2, "x"), (2, "X"), (1, "x"), (None, "x"), (2, "y")], "doc_id long, text string")
+    assert exact.exact_dedup(odd).filter("kept").count() == 2 and sorted((r.doc_id, r.text.lower()) for r in exact.keep_one_copy(odd).collect()) == [(2, "x"), (2, "y")]
+    few_bits = rows_of(exact.exact_dedup(docs, max_bits=1 << 15))
+    assert {i: r.keep_id for i, r in few_bits.items()} == {i: r.keep_id for i, r in rows_of(exact.exact_dedup(docs)).items()}
+
+
+def test_exact_dedup_runs_no_python(docs):
+    assert not re.search("Python|Arrow|Pandas", exact.exact_dedup(docs)._jdf.queryExecution().toString())
+
+
+def test_token_counts_and_packing(docs, empty):
+    library = Tokenizer.from_file(TOKENIZER)
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in texts()}
+    got = rows_of(token_counts.count_tokens(docs, TOKENIZER))
+    assert {i: r.n_tokens for i, r in got.items()} == {i: len(x) for i, x in ids.items()}
+    assert all(r.over_limit == (r.n_tokens > 1024) and r.n_bytes == len((dict(texts())[i] or "").encode()) for i, r in got.items())
+    pieces = packing.pack_documents(docs, TOKENIZER).collect()
+    full, sequences = {i: x + [1] for i, x in ids.items()}, {}
+    covered = {i: [] for i in ids}
+    for p in pieces:
+        part = full[p.doc_id][p.start : p.start + p.length]
+        assert len(part) == p.length and p.doc_tokens == len(full[p.doc_id])
+        assert p.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        covered[p.doc_id] += range(p.start, p.start + p.length)
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert all(sorted(c) == list(range(len(full[i]))) for i, c in covered.items())
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at == 2048 or at & (at - 1) == 0
+    assert token_counts.count_tokens(empty, TOKENIZER).count() == packing.pack_documents(empty, TOKENIZER).count() == 0
+
+
+def test_counting_equals_the_library_on_odd_texts():
+    library, count = Tokenizer.from_file(TOKENIZER), token_counts.text_counter(TOKENIZER)
+    encode, g = packing.id_bytes(TOKENIZER), random.Random(3)
+    bits = [" ", "\n", "\t", "a", "é", "1", ".", "'s", "<|endoftext|>", "\x1c", "\x85", "\xa0", "的", "👍", "word", "²", "ſ", "́"]
+    for _ in range(1500):
+        t = "".join(g.choice(bits) for _ in range(g.randint(0, 12)))
+        want = library.encode(t, add_special_tokens=False).ids
+        assert count(t) == len(want) and np.frombuffer(encode(t), "<u4").tolist() == want
+
+
+def test_vector_limits_hold(spark):
+    g = random.Random(2)
+    examples = [(i, g.randint(0, 900), 0) for i in range(400)] + [(900, 5000, 10), (901, None, None)]
+    examples = [(i, t, min(t or 0, g.randint(0, 500)) if i < 900 else loss) for i, t, loss in examples]
+    got = packing.pack_examples(spark.createDataFrame(examples, "k long, tokens long, loss long"), packing.Limits(1024, 4, 600), "k", "tokens", "loss").collect()
+    assert sorted(r.k for r in got) == sorted(e[0] for e in examples)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    for s in by.values():
+        assert len(s) == 1 or (sum(r.tokens for r in s) <= 1024 and sum(r.loss for r in s) <= 600 and len(s) <= 4)
+        assert sorted(r.segment for r in s) == list(range(len(s)))
+
+
+def test_quality(spark, docs, empty):
+    g = random.Random(4)
+    good = [(i, " ".join(g.choice(VOCAB) for _ in range(120))) for i in range(0, 400)]
+    bad = [(i, " ".join(g.choice(VOCAB) + g.choice(["$$$", "%%%"]) for _ in range(120))) for i in range(400, 800)]
+    frame = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 400)) for i in range(800)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.fit_quality(frame, labels)
+    got = quality.score_quality(frame, model).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert sum(r.predicted == int(r.doc_id < 400) for r in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in quality.score_quality(docs, model).collect())
+    assert quality.score_quality(empty, model).count() == 0
+    alone = quality.fit_quality(empty, labels.limit(0))
+    assert alone.slope == 0 and quality.keep_good(docs, alone).count() == docs.count()
+
+
+def test_language(spark, sf, docs, empty):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lang.fit_languages(table)
+    got = lang.predict_languages(table, model).join(table.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.9
+    odd = rows_of(lang.predict_languages(docs, model))
+    assert odd[7].lang_pred == odd[8].lang_pred == "und" and all(0 <= r.score <= 1 for r in odd.values())
+    assert lang.predict_languages(empty, model).count() == 0
+    assert {r.lang_pred for r in lang.predict_languages(docs, lang.fit_languages(empty)).collect()} == {"und"}
+
+
+def test_tables_of_the_network_equal_its_filters():
+    model = lang.train(["abc def ghi " * 30, "ñandú óleo é " * 30] * 4, ["a", "b"] * 4, epochs=2)
+    rows = lang.windows("some words é ñ 12 " * 20)
+    pooled = []
+    for w in lang.WIDTHS:
+        span = lang.WINDOW - w + 1
+        pooled.append(np.maximum(sum(model.filters[w][j][rows[:, j : j + span]] for j in range(w)).max(axis=1) + model.bias[w], 0))
+    want = lang.softmax(np.concatenate(pooled, axis=1) @ model.dense + model.dense_bias)
+    assert np.allclose(model.probabilities(rows, model.tables()), want, atol=1e-4)
+
+
+def edits(item, text):
+    before = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        now = [i + 1]
+        for j, x in enumerate(text):
+            now.append(min(before[j] + (c != x), before[j + 1] + 1, now[j] + 1))
+        before = now
+    return min(before)
+
+
+def test_decontamination(spark, docs, empty):
+    g = random.Random(6)
+    items = [(i, " ".join(g.choice(VOCAB) for _ in range(14))) for i in range(4)] + [(8, "tiny bit"), (9, ""), (10, None)]
+    made = []
+    for n in range(40):
+        y = bytearray(leaks.normal(items[n % 4][1]))
+        for _ in range(g.randint(0, 8)):
+            p, o = g.randrange(len(y)), g.random()
+            if o < 0.4:
+                y[p] = 113
+            elif o < 0.7:
+                del y[p]
+            else:
+                y.insert(p, 113)
+        made.append((n, "Before it. " + y.decode(errors="ignore") + " \n After"))
+    made += [(100, "a TINY  bit of"), (101, None), (102, "")]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, t in made:
+        for k, x in items[:4]:
+            m, text = leaks.normal(x), leaks.normal(t)
+            e = edits(m, text)
+            if e <= leaks.edit_budget(len(m), leaks.RATE, leaks.Q):
+                want[i, k] = e
+    want[100, 8] = 0
+    assert {(r.doc_id, r.item_id): r.edits for r in leaks.find_contamination(frame, table).collect()} == want
+    in_parts = leaks.find_contamination(frame, table, block=150)
+    assert {(r.doc_id, r.item_id): r.edits for r in in_parts.collect()} == want
+    clean = leaks.drop_contaminated(frame, table)
+    assert {r.doc_id for r in clean.collect()} == {i for i, _ in made} - {i for i, _ in want}
+    assert leaks.find_contamination(empty, table).count() == leaks.find_contamination(docs, table.limit(0)).count() == 0
+
+
+def test_secrets(docs, empty):
+    der = bytes.fromhex("3081") + bytes([132]) + b"\x02\x01\x00" + b"\x04\x7f" + bytes(127)
+    import base64
+
+    jwt = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":"1"}', b"sig" * 8))
+    ssh = base64.b64encode(b"\x00\x00\x00\x0bssh-ed25519\x00\x00\x00\x20" + bytes(32)).decode()
+    text = f"password: 'hunter22' secret=abc password=token:abcdefg AKIA{'A1' * 8} {'0f' * 12} {base64.b64encode(der).decode()} {jwt} {ssh} {der.hex()} " + "M" * 40
+    kinds = [k for _, k, _ in secrets.secret_spans(text)]
+    assert kinds.count("assign") == 1 and kinds.count("access") == 1 and kinds.count("hex") == 2
+    assert kinds.count("der") == 2 and kinds.count("token") == 1 and kinds.count("sshkey") == 1
+    assert not secrets.is_der_key(der + b"x") and not secrets.is_der_key(b"") and not secrets.is_ssh_key(b"\x00")
+    got = rows_of(secrets.scan_secrets(docs))
+    assert got[8].base_sha256 == hashlib.sha256(b"").hexdigest() and got[16].n_assign == 1 and got[16].spans == "assign:0:15"
+    assert secrets.scan_secrets(empty).count() == 0
+
+
+def test_sharding(spark, docs, empty):
+    out = sharding.shard_records(docs, [1.0] * 16, [1.0] * 17)
+    got = rows_of(out)
+    for i, r in got.items():
+        data = (dict(texts())[i] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(data) + 1, zlib.crc32(data), "key") and r.grown_shard in (r.shard, 16)
+    slots = {}
+    for r in got.values():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    many = sharding.shard_records(spark.range(20000).selectExpr("id as doc_id", "'t' as text"), [1.0, 3.0, 0.0], [1.0, 3.0, 0.0, 4.0]).collect()
+    share = sum(r.shard == 1 for r in many) / len(many)
+    assert 0.73 < share < 0.77 and all(r.shard != 2 and r.grown_shard in (r.shard, 3) for r in many)
+    same = sharding.shard_records(spark.createDataFrame([(5, "x")] * 50 + [(None, None)] * 3, "doc_id long, text string"), [1.0] * 16)
+    assert sorted(r.slot for r in same.filter("doc_id = 5").collect()) == list(range(50))
+    assert sharding.shard_records(empty, [1.0] * 16).count() == 0
+    with pytest.raises(ValueError):
+        sharding.rendezvous(out["doc_id"], [0.0])
+
+
+def test_url_filter(spark):
+    entries = [("host", "a.b.example", "block", "2024-01-01"), ("host", "a.b.example", "remove", "2024-02-01"), ("domain", "b.example", "block", "2024-01-15"), ("prefix", "a.b.example/ok/", "allow", "2024-01-01"), ("host", "t.example", "allow", "2024-03-01"), ("host", "t.example", "block", "2024-03-01"), ("host", None, "block", "2024-01-01")]
+    listed = spark.createDataFrame(entries, "kind string, value string, action string, listed_at string").selectExpr("kind", "value", "action", "timestamp(listed_at) as listed_at")
+    seen = [(1, "http://A.b.example:80/x", "2024-01-10"), (2, "http://a.b.example/x", "2024-02-10"), (3, "http://a.b.example/ok/y?q#z", "2024-01-10"), (4, "http://c.example/", "2024-01-10"), (5, "http://u@a.b.example", "2023-01-01"), (6, None, "2024-01-10"), (7, "nonsense", None), (8, "http://t.example/", "2024-03-01"), (8, "http://t.example/", "2024-03-01")]
+    pages = spark.createDataFrame(seen, "page_id long, url string, at string").selectExpr("page_id", "url", "timestamp(at) as fetched_at", "1 as host")
+    got = url_filter.filter_urls(pages, listed).collect()
+    told = {r.page_id: (r.rule_kind, r.allowed) for r in got}
+    assert told == {1: ("host", False), 2: ("domain", False), 3: ("prefix", True), 4: (None, True), 5: (None, True), 6: (None, True), 7: (None, True), 8: ("host", False)} and len(got) == len(seen)
+    assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
+    assert all(r.allowed for r in url_filter.filter_urls(pages, listed.limit(0)).collect())
