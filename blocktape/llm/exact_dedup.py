@@ -79,7 +79,8 @@ def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alone = tested.filter("not __bt_maybe").drop("__bt_maybe")
     rows = tested.filter("__bt_maybe").drop("__bt_maybe").withColumn("__bt_sha", text_hash(text_col))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__bt_id")) & (F.col("__bt_sha") == F.col("__bt_of"))
-    rows = rows.join(drops, same, "left").filter("__bt_again is null or __bt_again")
+    rows = rows.join(drops.hint("merge"), same, "left")  # what goes grows with the input: never broadcast
+    rows = rows.filter("__bt_again is null or __bt_again")
     once = rows.filter("__bt_again is not null").dropDuplicates(["__bt_id", "__bt_sha"])  # repeated rows of a document that stays
     rest = rows.filter("__bt_again is null").unionByName(once)
     return alone.unionByName(rest.drop("__bt_sha", "__bt_id", "__bt_of", "__bt_again"))

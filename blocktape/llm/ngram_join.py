@@ -71,6 +71,7 @@ def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """Counts of all shingles of all documents, hashed into 2^bits counters; 4 * 2^bits bytes on the driver."""
     chunks = (1 << bits) // CHUNK
     shift = np.uint64(64 - bits)
+    names, types = ["chunk", "places", "counts"], [pa.int32(), pa.binary(), pa.binary()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, n = np.zeros(1 << bits, np.uint32), [], 0
@@ -83,20 +84,26 @@ def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
                 held, n = [], 0
         if held:
             total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        parts = total.reshape(chunks, CHUNK)
-        for a in range(0, chunks, 64):
-            some = [c for c in range(a, min(a + 64, chunks)) if parts[c].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[c].tobytes() for c in some], pa.binary())], names=["chunk", "counts"])
+        rows: list[tuple] = []
+        for c, part in enumerate(total.reshape(chunks, CHUNK)):
+            at = np.flatnonzero(part)
+            if len(at) > CHUNK // 2:
+                rows.append((c, b"", part.tobytes()))
+            elif len(at):  # a small input sets few counters: only these are sent
+                rows.append((c, at.astype(np.uint16).tobytes(), part[at].tobytes()))
+        for a in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows[a : a + 64], strict=True), types, strict=True)], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                new = np.frombuffer(counts.as_py(), np.uint32)
-                total[chunk] = total[chunk] + new if chunk in total else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
+            for chunk, places, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                sums = total.setdefault(chunk, np.zeros(CHUNK, np.uint32))
+                at = np.frombuffer(places.as_py(), np.uint16)
+                sums[at if len(at) else slice(None)] += np.frombuffer(counts.as_py(), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), types[0]), pa.array([b""] * len(total), types[1]), pa.array([v.tobytes() for v in total.values()], types[2])], names=names)
 
-    kind = "chunk int, counts binary"
+    kind = "chunk int, places binary, counts binary"
     out = np.zeros((chunks, CHUNK), np.uint32)
     for row in docs.select("text").mapInArrow(count, kind).repartition(16, "chunk").mapInArrow(add, kind).collect():
         out[row.chunk] = np.frombuffer(bytes(row.counts), np.uint32)
@@ -133,33 +140,35 @@ def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return keep_marked(df, bit_of(F.col(key), bits, 0), written(bitmaps(ids.select(bit_of(F.col(key), bits, 0).alias("slot")).distinct(), "slot")))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents in ids (id), as sorted binary, and of a few others that the bit test lets pass."""
-    wanted = marked(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids)
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ids (id), and of a few others that the bit test lets pass."""
+    return marked(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "shingles"])
-
-    return wanted.mapInArrow(build, "id long, shingles binary")
 
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets reach the similarity.
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets reach the similarity."""
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
+    Texts are joined rather than sets, which are twice as large.  Pairs grow with the input, so they are
+    never broadcast.
+    """
+    one = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
+    both = one.hint("merge").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        last, t = None, np.zeros(0, np.uint64)
+        for batch in slices(batches):
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for key, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                s = shingle_set(x.as_py(), words)
+                if (key, hash(y.as_py())) != last:  # rows of one b follow one another
+                    last, t = (key, hash(y.as_py())), shingle_set(y.as_py(), words)
                 union = np.concatenate([s, t])
                 union.sort()
                 same = int((union[1:] == union[:-1]).sum())
                 keep.append(100 * same >= percent * (len(union) - same))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
 
 
 def size_fits(x: str, y: str, percent: int) -> Column:
@@ -213,8 +222,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     edges = star_links(docs, members, index, words, percent)
     known = written(components_of(members, edges))
     pairs = written(open_pairs(members, index, known, percent))
-    sets = written(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words))
-    more = verified(pairs, sets, percent)
+    texts = written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    more = verified(pairs, texts, words, percent)
     last = connected_components(edges.unionByName(more).unionByName(copies))
     smallest = last.groupBy("id").agg(F.min("component").alias("component_id"))
     return table.select("doc_id", F.col("n").alias("n_shingles")).join(smallest.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
@@ -242,8 +251,8 @@ def star_links(docs: DataFrame, members: DataFrame, index: DataFrame, words: int
         best = open_votes.groupBy("gid").agg(F.max_by("center", rank).alias("center"))
         pairs = best.select(F.col("gid").alias("a"), F.col("center").alias("b"))
         pairs = written(pairs.unionByName(inside) if n == 0 else pairs)
-        sets = written(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words))
-        found = written(verified(pairs, sets, percent))
+        texts = written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+        found = written(verified(pairs, texts, words, percent))
         out = found if out is None else out.unionByName(found)
         now = pairs.select(F.col("a").alias("gid"), F.col("b").alias("center"))
         tried = now if tried is None else tried.unionByName(now)
