@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("gid").alias("center")).filter("times > 1")
     shared = written(shared.select("token", "center"))
     # only rows whose shingle may be shared go to the join; those of documents that are no heads, which the bits let pass, end here
-    index = marked(index, "token", shared.select("token")).join(shared, "token").join(heads.withColumnRenamed("doc_id", "gid"), "gid", "left_semi")
+    index = written(marked(index, "token", shared.select("token")))  # tested in the scan, before any exchange
+    index = index.join(shared, "token").join(heads.withColumnRenamed("doc_id", "gid"), "gid", "left_semi")
     index = written(index.join(heads.withColumnRenamed("doc_id", "center"), "center", "left_semi"))
 
     edges = star_links(docs, members, index, words, percent)
