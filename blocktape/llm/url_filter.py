@@ -25,17 +25,33 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """All (kind, value) that could match: the host, it and each parent domain of two labels or more, each prefix of the path."""
+def open_lengths(entries: DataFrame) -> list[int]:
+    """Lengths, each once, of what follows the last slash in prefix entries that do not end in one; the longest entry bounds them."""
+    tail = F.length(F.substring_index("value", "/", -1))
+    return sorted(r[0] for r in entries.filter("kind = 'prefix'").select(tail).distinct().collect() if r[0])
+
+
+def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
+    """All (kind, value) that could match: the host, it and each parent domain of two labels or more, and prefixes of host and path.
+
+    Prefixes end at each slash, and as many characters behind a slash (or the start) as ``lengths`` names.
+    """
     labels = F.split(host, r"\.")
     parents = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    steps = F.split(path, "/")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))),
-        lambda i: F.concat(host, F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/")),
+    steps = F.split(F.concat(host, F.when(path == "", "/").otherwise(path)), "/")
+    closed = F.transform(
+        F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/"))
     )
+    prefixes = closed
+    if lengths:
+        starts = F.arrays_zip(F.concat(F.array(F.lit("")), closed).alias("start"), steps.alias("step"))
+        tails = F.array(*(F.lit(n) for n in lengths))
+        opened = F.transform(
+            starts, lambda s: F.transform(F.filter(tails, lambda n: n <= F.length(s["step"])), lambda n: F.concat(s["start"], F.substring(s["step"], F.lit(1), n)))
+        )
+        prefixes = F.concat(closed, F.flatten(opened))
     of = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
     return F.array_distinct(F.concat(of("host", F.array(host)), of("domain", parents), of("prefix", prefixes)))
 
@@ -58,7 +74,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     """One row per capture: id, url, time, host, rule_kind, rule_value, action, allowed.
 
     The most specific active entry decides (prefix, then host, then domain; the longer value first); with
-    none the capture is allowed and the rule is null.  Equal captures are decided once.  A capture whose
+    none the capture is allowed and the rule is null.  A prefix matches wherever host and path (without
+    query) start with it, also inside a segment; an empty path is '/'.  Equal captures are decided once.  A capture whose
     url or time is null, or whose url has no host, matches nothing and is allowed.  Other columns are
     ignored; an empty list allows all, an empty table gives an empty result.
     """
@@ -67,7 +84,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     seconds = lambda c: F.unix_micros(c) / 1_000_000
     bucket = lambda c: F.floor(seconds(c) / BUCKET_S).cast("long")
     asked = rows.select("_url", "_at").na.drop().distinct().withColumn("_host", host_of(F.col("_url"))).filter("_host <> ''")
-    asked = asked.select("_url", "_at", F.explode(keys_of(F.col("_host"), path_of(F.col("_url")))).alias("k"))
+    asked = asked.select("_url", "_at", F.explode(keys_of(F.col("_host"), path_of(F.col("_url")), open_lengths(entries))).alias("k"))
     asked = asked.select("_url", "_at", "k.kind", "k.value", bucket(F.col("_at")).alias("_bucket"))
     horizon = rows.agg(F.max("_at")).first()[0]
     held = intervals(entries).withColumn("_end", F.least(F.coalesce("valid_to", F.lit(horizon)), F.lit(horizon)))

@@ -295,3 +295,14 @@ def test_url_filter(spark):
     assert told == {1: ("host", False), 2: ("domain", False), 3: ("prefix", True), 4: (None, True), 5: (None, True), 6: (None, True), 7: (None, True), 8: ("host", False)} and len(got) == len(seen)
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
     assert all(r.allowed for r in url_filter.filter_urls(pages, listed.limit(0)).collect())
+
+
+def test_url_prefixes_without_a_final_slash(spark):
+    values = ["page.example/a/b.html", "evil.example/malware", "bare.example", "q.example/x/", "part.exam", "slash.example/"]
+    listed = spark.createDataFrame([("prefix", v) for v in values], "kind string, value string").selectExpr("*", "'block' as action", "timestamp'2024-01-01' as listed_at")
+    urls = ["page.example/a/b.html", "page.example/a/b.html?q", "page.example/a/b.htm", "page.example/b/a/b.html", "evil.example/malware.exe", "evil.example/malware/x/y", "evil.example/mal/ware", "bare.example", "bare.example/x/y", "bare.example.org/", "bar.example/", "q.example/x", "q.example/x/y", "part.example/z", "apart.example/z", "slash.example"]
+    pages = spark.createDataFrame([(i, "https://" + u) for i, u in enumerate(urls)], "page_id long, url string").selectExpr("*", "timestamp'2024-02-01' as fetched_at")
+    got = {r.page_id: r.rule_value for r in url_filter.filter_urls(pages, listed).collect()}
+    for i, u in enumerate(urls):
+        whole = u.split("?")[0] if "/" in u else u + "/"
+        assert got[i] == max((v for v in values if whole.startswith(v)), key=len, default=None), u
