@@ -1,8 +1,8 @@
 """Secret scan with structural confirmation (operator 9).
 
 Patterns give candidates; a candidate in base64 or hex is then decoded, and is reported under a kind of
-its own when the bytes parse as a key encoding (nested DER lengths, length-prefixed public keys) or as
-a signed token's header.
+its own when the bytes parse as a key encoding (nested DER lengths, length-prefixed public or OpenSSH private
+keys, whole cipher blocks behind the headers of a legacy encrypted key) or as a signed token's header.
 """
 
 from __future__ import annotations
@@ -27,9 +27,14 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more: what `[0-9a-f]+` gives after its length test
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
+HEX_CASED = re.compile(r"[0-9A-Fa-f]{24,}")  # runs of either case, decoded only
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE))-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+INNER = re.compile(r"(?<=[+/_-])[A-Za-z0-9]")  # where a key may begin that a separator of the alphabet joins to a name
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE))-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
+ESCAPE = re.compile(r"\\++(?:u([0-9A-Fa-f]{4})|[nrt]|(?=[\s/\"']|$))")
+CIPHER = re.compile(r"(Proc-Type|DEK-Info):[^\S\n]*(\S+)")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]{18,}")  # the shortest token has 18 characters
+MAGIC = b"openssh-key-v1\0"
 
 
 def unbase64(text: str) -> bytes | None:
@@ -78,24 +83,65 @@ def is_der_key(data: bytes) -> bool:
     return any(tag in (0x02, 0x03, 0x04) and b - a >= 1 for tag, a, b in inner)
 
 
+def field(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """The length-prefixed field at a place, and the place behind it."""
+    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return (data[at + 4 : end], end) if at + 4 <= end <= len(data) else None
+
+
 def is_ssh_key(data: bytes) -> bool:
     """Length-prefixed fields that fill the bytes; the first names the algorithm."""
     fields, at = [], 0
     while at < len(data):
-        if at + 4 > len(data):
+        if not (told := field(data, at)):
             return False
-        n = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if at + n > len(data):
-            return False
-        fields.append(data[at : at + n])
-        at += n
+        fields.append(told[0])
+        at = told[1]
     return len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
 
 
+def is_openssh_key(data: bytes) -> bool:
+    """The magic, cipher, kdf and its options, a count, as many public keys, and the private part, which end with the bytes."""
+    if not data.startswith(MAGIC):
+        return False
+    at = len(MAGIC)
+    for _ in range(3):
+        if not (told := field(data, at)):
+            return False
+        at = told[1]
+    count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    for _ in range(min(count, len(data))):
+        if not (told := field(data, at)) or not is_ssh_key(told[0]):
+            return False
+        at = told[1]
+    private = field(data, at)
+    return count >= 1 and private is not None and len(private[0]) > 0 and private[1] == len(data)
+
+
+def is_encrypted_key(data: bytes, headers: dict[str, str]) -> bool:
+    """Whole blocks of the cipher that the headers of a legacy encrypted key name, with an initial vector of a block."""
+    cipher, _, vector = headers.get("DEK-Info", "").partition(",")
+    if "ENCRYPTED" not in headers.get("Proc-Type", "") or not cipher or not re.fullmatch("(?:[0-9A-Fa-f]{16}){1,2}", vector):
+        return False
+    return len(data) % (len(vector) // 2) == 0
+
+
+def pem_bodies(text: str) -> tuple[dict[str, str], list[str]]:
+    """Cipher headers of a PEM body, and its base64 without escapes, white space and headers, as it may be read."""
+    text = ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else "\n" if m[0][-1] in "nrt" else "", text)
+    lines = CIPHER.sub("", text).splitlines()
+    bodies = ["".join("".join(x for x in lines if ":" not in x).split())]
+    lines = text.splitlines()
+    told = [i for i, x in enumerate(lines) if ":" in x]
+    blank = [i for i, x in enumerate(lines) if told and i > told[0] and not x.strip()]
+    if blank:  # headers may run over several lines, up to the first blank one
+        bodies.append("".join("".join(lines[blank[0] :]).split()))
+    return dict(CIPHER.findall(text)), bodies
+
+
 def is_signed_header(data: bytes | None) -> bool:
     """A JSON object that names an algorithm."""
-    if not data or data[:1] != b"{":
+    if not data or not data.lstrip().startswith(b"{"):
         return False
     try:
         header = json.loads(data)
@@ -108,25 +154,30 @@ def confirmed(text: str, hexes: list[tuple[int, int]]) -> Iterator[tuple[int, st
     """(start, kind, end) of candidates whose decoded bytes have the structure of a key or signed token."""
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            data = unbase64("".join(m[2].split()))
-            if data and is_der_key(data):
+            headers, bodies = pem_bodies(m[2])
+            if any((data := unbase64(x)) and (is_der_key(data) or is_openssh_key(data) or is_encrypted_key(data, headers)) for x in bodies):
                 yield m.start(), "pem", m.end()
-    for start, end in hexes:
+    for start, end in hexes + [m.span() for m in HEX_CASED.finditer(text)]:
         if (end - start) % 2 == 0 and text.startswith("30", start) and is_der_key(bytes.fromhex(text[start:end])):
             yield start, "der", end
     for m in ENCODED.finditer(text):
-        head = m[0][:4]
-        if head[0] == "M" or head == "AAAA":  # 0x30, and a length below 2^8 in four bytes
-            data = unbase64(m[0])
+        run = m[0]
+        for at in [0, *(i.start() for i in INNER.finditer(run, 1, len(run) - 31))]:
+            first = unbase64(run[at : at + 4])
+            if not first or not (first[0] == 0x30 or first == b"\0\0\0" or first == MAGIC[:3]):
+                continue
+            data = unbase64(run[at:])
             if data and is_der_key(data):
-                yield m.start(), "der", m.end()
-            elif data and is_ssh_key(data):
-                yield m.start(), "sshkey", m.end()
-    if "eyJ" in text or "eyA" in text or "ewo" in text:
-        for m in TOKEN.finditer(text):
-            header, payload, _ = m[0].split(".")
-            if is_signed_header(unbase64(header)) and (data := unbase64(payload)) and data[:1] == b"{":
-                yield m.start(), "token", m.end()
+                yield m.start() + at, "der", m.end()
+            elif data and (is_ssh_key(data) or is_openssh_key(data)):
+                yield m.start() + at, "sshkey", m.end()
+    for m in DOTTED.finditer(text):
+        at, parts = m.start(), m[0].split(".")
+        for header, payload, signature in zip(parts, parts[1:], parts[2:]):
+            first = (unbase64(header[:4]) or b"x").lstrip() if len(header) >= 8 else b"x"
+            if first[:1] in (b"{", b"") and is_signed_header(unbase64(header)) and (unbase64(payload) or b"").lstrip().startswith(b"{"):
+                yield at, "token", at + len(header) + len(payload) + len(signature) + 2
+            at += len(header) + 1
 
 
 def secret_spans(text: str) -> list[tuple[int, str, int]]:

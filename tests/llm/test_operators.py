@@ -265,6 +265,38 @@ def test_secrets(docs, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_in_other_spellings():
+    import base64
+    import json
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    f = lambda *xs: b"".join(len(x).to_bytes(4, "big") + x for x in xs)
+    lines = lambda x: "\n".join(b64(x)[i : i + 64] for i in range(0, len(b64(x)), 64))
+    pem = lambda label, body: f"-----BEGIN {label}-----\n{body}\n-----END {label}-----"
+    kinds = lambda t: [k for _, k, _ in secrets.secret_spans(t) if k not in ("hex", "assign")]
+    der = bytes.fromhex("308184020100047f") + bytes(range(127))
+    public = f(b"ssh-ed25519", bytes(32))
+    ssh = b"openssh-key-v1\0" + f(b"none", b"none", b"") + b"\0\0\0\1" + f(public, bytes(range(136)))
+    assert kinds(pem("OPENSSH PRIVATE KEY", lines(ssh))) == ["pem"] and kinds(b64(ssh)) == ["sshkey"]
+    assert kinds(pem("OPENSSH PRIVATE KEY", lines(ssh[:-1]))) == kinds(pem("OPENSSH PRIVATE KEY", lines(ssh + b"x"))) == []
+    key = pem("PRIVATE KEY", lines(der))
+    for t in (key, json.dumps({"private_key": key}), json.dumps(json.dumps(key)), key.replace("\n", "\r\n  "), json.dumps(key).replace("/", "\\/").replace("=", "\\u003d")):
+        assert kinds(t) == ["pem"], t
+    told = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n"
+    locked = pem("RSA PRIVATE KEY", told + lines(bytes(range(160))))
+    assert kinds(locked) == kinds(json.dumps(locked)) == ["pem"] and kinds(pem("RSA PRIVATE KEY", told + lines(bytes(150)))) == []
+    assert kinds(pem("RSA PRIVATE KEY", "Comment: a key\n of mine\n\n" + lines(der))) == ["pem"] and kinds(pem("RSA PRIVATE KEY", lines(bytes(range(160))))) == []
+    assert kinds(der.hex()[:60].upper() + der.hex()[60:]) == ["der"]
+    assert kinds(der.hex().upper()) == kinds("0x" + der.hex()[:100] + der.hex()[100:].upper()) == ["der"]
+    assert kinds("key_" + b64(der)) == kinds("name/" + b64(der)) == ["der"] and kinds("x-" + b64(public)) == ["sshkey"]
+    url = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for head in (b' {"alg":"HS256"}', b'{\r\n"alg":"HS256"}', b'{\t"alg":"none"}', b'{"alg":""}'):
+        token = f"{url(head)}.{url(b'{}')}."
+        t = "www-example." + token + "sig"
+        assert secrets.secret_spans(t)[-1] == (12, "token", len(t)) and kinds(token) == ["token"]
+    assert kinds("a.b.c " * 50 + "some.dotted-name.of_a.module.path") == []
+
+
 def test_sharding(spark, docs, empty):
     out = sharding.shard_records(docs, [1.0] * 16, [1.0] * 17)
     got = rows_of(out)
