@@ -233,15 +233,16 @@ def state_reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running state by micro-batches over files in block order, one of them delivered twice."""
+    """The running state by micro-batches over parts in block order, one of them delivered twice; each is one batch, however many files it has."""
     folder, e = shared_folder(spark, "stream"), state_events(spark, sf_dir)
     cuts = e.agg(F.percentile_approx("block_number", [0.25, 0.5, 0.75], 1000)).first()[0]
     bounds = [-1, *cuts, 1 << 60]
+    start, run = start_state(e), harvest.run_folder(folder, gamma=GAMMA)
     for n, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        part = e.filter((F.col("block_number") > low) & (F.col("block_number") <= high)).coalesce(4)
+        part = e.filter((F.col("block_number") > low) & (F.col("block_number") <= high)).repartitionByRange("block_number").sortWithinPartitions("block_number", "log_index")
         for copy in range(2 if n == 1 else 1):
             part.write.parquet(f"{folder}/landed/part={n}-{copy}")
-    done = harvest.stream_running_state(spark, f"{folder}/landed/*", e.schema, start_state(e), harvest.run_folder(folder, gamma=GAMMA), files_per_batch=4)
+            done = harvest.stream_running_state(spark, f"{folder}/landed/*", e.schema, start, run)
     return state_rows(done)
 
 

@@ -43,11 +43,15 @@ def next_state(state: DataFrame, done: DataFrame) -> DataFrame:
     return new.unionByName(state.join(new, "pool", "left_anti")).select("pool", *ORDER, "l0", "sqrt0", "tick0")
 
 
-def stream_running_state(spark: SparkSession, source: str, schema, start: DataFrame, folder: str, files_per_batch: int = 1) -> DataFrame:
+def stream_running_state(spark: SparkSession, source: str, schema, start: DataFrame, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Run what is there of the stream to its end and return all rows written so far.
 
     ``start`` has one row per pool: pool, l0, sqrt0, tick0.  Called again with the same folder it goes on
     where it stopped.  Counters of each batch are in folder/counts.
+
+    All new files make one batch, so call it once for each part of the log that has landed: files of a part
+    may interleave blocks.  ``files_per_batch`` cuts smaller batches; files must then follow one another in
+    block order, for rows at or before a pool's last key are dropped.
     """
     first = start.select("pool", F.lit(-1).cast("long").alias("block_number"), F.lit(-1).cast("long").alias("log_index"), F.col("l0").cast("decimal(38,0)"), F.col("sqrt0").cast("double"), F.col("tick0").cast("int"))
 
@@ -59,7 +63,8 @@ def stream_running_state(spark: SparkSession, source: str, schema, start: DataFr
         next_state(state, done).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
         batch_ranges(done, "kind").write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(source)
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.option("basePath", f"{folder}/events").parquet(f"{folder}/events")

@@ -36,6 +36,19 @@ def test_stream_equals_batch(spark, sf):
     assert QUERIES["stream_running_state"](spark, sf).exceptAll(batch).count() == 0
 
 
+def test_stream_keeps_all_rows_of_parts_with_three_files(spark, sf):
+    batch = QUERIES["running_state"](spark, sf)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        done = QUERIES["stream_running_state"](spark, sf)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert done.count() == batch.count() and done.exceptAll(batch).count() == 0
+
+
 def test_every_oracle_names_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
