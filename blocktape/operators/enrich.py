@@ -73,9 +73,16 @@ def decode_swap_logs(logs: DataFrame) -> DataFrame:
     return logs.withColumns({"liquidity": unsigned_128(word(3)), "tick": F.when(tick >= 1 << 23, tick - (1 << 24)).otherwise(tick)})
 
 
-def swap_liquidity(logs: DataFrame, topic: str, first_block: int, last_block: int) -> DataFrame:
-    """(pool, block_number, log_index) -> liquidity of one topic's logs in a range of blocks; the last write of a key wins."""
-    rows = logs.filter((F.col("topic0") == topic) & F.col("block_number").between(first_block, last_block))
+def missing_ranges(events: DataFrame) -> DataFrame:
+    """(pool, first_block, last_block) of the swaps that lack their liquidity."""
+    lacking = events.filter((F.col("kind") == "swap") & F.col("liquidity_after").isNull())
+    return lacking.groupBy("pool").agg(F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"))
+
+
+def swap_liquidity(logs: DataFrame, topic: str, ranges: DataFrame) -> DataFrame:
+    """(pool, block_number, log_index) -> liquidity of one topic's logs in each pool's range of blocks; the last write of a key wins."""
+    rows = logs.filter(F.col("topic0") == topic).join(F.broadcast(ranges), "pool")  # one row per pool
+    rows = rows.filter(F.col("block_number").between(F.col("first_block"), F.col("last_block"))).drop("first_block", "last_block")
     return decode_swap_logs(rows).groupBy("pool", "block_number", "log_index").agg(F.max_by("liquidity", "seq").alias("liquidity"))
 
 

@@ -337,7 +337,7 @@ def swap_log_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def liquidity_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = state_events(spark, sf_dir).withColumn("liquidity_after", F.when(F.col("log_index") % 2 == 0, F.col("liquidity_after")))
-    looked = enrich.swap_liquidity(swap_logs(spark, sf_dir), "swap", 236_700, 237_000)
+    looked = enrich.swap_liquidity(swap_logs(spark, sf_dir), "swap", enrich.missing_ranges(e))
     return enrich.fill_liquidity(e, looked).select("pool", "block_number", "log_index", F.col("liquidity_after").cast("string").alias("liquidity_after"))
 
 

@@ -1,11 +1,12 @@
 """Registered queries against their SQL, and sources, sinks and the stream."""
 
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
 
-from blocktape.operators import decode
+from blocktape.operators import decode, enrich
 from blocktape.plans.oracle import ORACLE
 from blocktape.plans.queries import QUERIES, state_events
 from blocktape.sources import readers, sinks
@@ -49,6 +50,18 @@ def test_stream_keeps_all_rows_of_parts_with_three_files(spark, sf):
     assert done.count() == batch.count() and done.exceptAll(batch).count() == 0
 
 
+def test_refill_reaches_every_swap_that_lacks_liquidity(spark, sf):
+    events = spark.createDataFrame([("a", 5, 1, "swap", None), ("a", 900_000, 1, "swap", None), ("b", 7, 0, "swap", None), ("b", 8, 0, "swap", Decimal(4)), ("b", 9, 0, "mint", None)], "pool string, block_number long, log_index long, kind string, liquidity_after decimal(38,0)")
+    data = "0x" + "0" * 192 + f"{77:064x}" + "0" * 64
+    logs = events.selectExpr("pool", "block_number", "log_index", "'swap' as topic0", "1 as seq", f"'{data}' as data")
+    got = enrich.fill_liquidity(events, enrich.swap_liquidity(logs, "swap", enrich.missing_ranges(events))).collect()
+    assert {(r.pool, r.block_number): r.liquidity_after for r in got} == {("a", 5): 77, ("a", 900_000): 77, ("b", 7): 77, ("b", 8): 4, ("b", 9): None}
+    refilled = QUERIES["liquidity_refill"](spark, sf).filter("liquidity_after is not null").select("pool", "block_number", "log_index")
+    own = state_events(spark, sf).filter("kind = 'swap' and log_index % 2 = 0").select("pool", "block_number", "log_index")
+    sound = QUERIES["swap_log_decode"](spark, sf).filter("liquidity is not null").select("pool", "block_number", "log_index")
+    assert refilled.exceptAll(own.union(sound).distinct()).count() == own.union(sound).distinct().exceptAll(refilled).count() == 0
+
+
 def test_every_oracle_names_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
