@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocktape.llm.common import fresh
@@ -150,22 +150,18 @@ def held_out(id_col: Column) -> Column:
 def fit_languages(docs: DataFrame, rows: int = FIT_ROWS) -> ByteNetwork:
     """Train on at most ``rows`` rows of each language that are not held out, FIT_CHARS characters of each.
 
-    The rows with the smallest hashes of their ids are taken; languages come from the data (the 64 most
-    frequent at most).  Null languages and texts are not learnt from.
+    The rows with the smallest hashes of their ids are taken; languages come from the data, all of them.
+    Null languages and texts are not learnt from.
     """
     rows_in = fresh(docs, "doc_id", "text", "lang").filter("text is not null and lang is not null and doc_id is not null")
     rows_in = rows_in.filter(~held_out(F.col("doc_id")))
-    names = [r[0] for r in rows_in.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    sample = []
     size = F.char_length("text")
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(size - FIT_CHARS + 1, F.lit(1))).cast("int") + 1
     part = F.substring(F.col("text"), start, F.lit(FIT_CHARS)).alias("text")
-    chosen = None
-    for name in names:
-        ids = rows_in.filter(F.col("lang") == name).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        chosen = ids if chosen is None else chosen.unionByName(ids)
-    if chosen is not None:  # at most 64 * rows ids
-        sample = rows_in.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", part).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = rows_in.select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows).select("doc_id", "lang").distinct()
+    sample = rows_in.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most ``rows`` ids of each language
+    sample = sample.select("doc_id", "lang", part).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     sample = sorted((r for r in sample if LETTER.search(r.text)), key=lambda r: (r.doc_id, r.lang))
     return train([r.text for r in sample], [r.lang for r in sample])
 

@@ -194,6 +194,12 @@ def test_language(spark, sf, docs, empty):
     assert {r.lang_pred for r in lang.predict_languages(docs, lang.fit_languages(empty)).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    rows = [(100 * n + i, f"word {n} " * 3, f"l{n:02}") for n in range(70) for i in range(9)] + [(9999, "none", None)]
+    model = lang.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=2)
+    assert model.languages == sorted({r[2] for r in rows if r[2]})
+
+
 def test_tables_of_the_network_equal_its_filters():
     model = lang.train(["abc def ghi " * 30, "ñandú óleo é " * 30] * 4, ["a", "b"] * 4, epochs=2)
     rows = lang.windows("some words é ñ 12 " * 20)
