@@ -31,6 +31,7 @@ PERCENT = 80  # similarity in percent
 SKETCH_BITS = 21  # 2^21 counters, 8 MB
 CHUNK = 1 << 12  # counters in one row
 STAR_ROUNDS = 1
+HOT_PART = 1000  # groups of one shingle in a part of it, where all links are asked for
 MIX = np.uint64(0x9E3779B97F4A7C15)
 DONE = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -190,15 +191,8 @@ def least_shared(x: str, y: str, percent: int) -> Column:
     return F.greatest(needed(F.col(x), F.col(y), percent) - F.greatest(past(x), past(y)), F.lit(1))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
-
-    Documents link when 100 |A and B| >= percent |A or B| over their sets of shingles; component_id is the
-    smallest doc_id that links reach, the document's own included.  Null and empty texts have no shingle
-    and no link.  Rows that share an id count as one document per distinct set and all get the id's
-    smallest component.  Null ids take part in no link.  Other columns are ignored; an empty table gives
-    an empty result.
-    """
+def indexed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
+    """(docs, table, linked, members, index): texts by id, all rows' sets, those that may link, classes with their groups, shared prefix shingles."""
     docs = fresh(docs, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("long"), F.col("text").cast("string")
     )
@@ -209,7 +203,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = linked.groupBy("set_sig").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("prefix_sig").alias("prefix_sig"))
     groups = classes.groupBy("prefix_sig").agg(F.min("cls").alias("gid"))
     members = written(classes.join(groups, "prefix_sig").select("cls", "gid", "n", "set_sig"))
-    copies = linked.join(members.select("set_sig", "cls"), "set_sig").filter("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
 
     heads = members.filter("cls = gid").select(F.col("gid").alias("doc_id"))
     index = marked(linked, "doc_id", heads).select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n")
@@ -219,7 +212,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     index = written(marked(index, "token", shared.select("token")))  # tested in the scan, before any exchange
     index = index.join(shared, "token").join(heads.withColumnRenamed("doc_id", "gid"), "gid", "left_semi")
     index = written(index.join(heads.withColumnRenamed("doc_id", "center"), "center", "left_semi"))
+    return docs, table, linked, members, index
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
 
+    Documents link when 100 |A and B| >= percent |A or B| over their sets of shingles; component_id is the
+    smallest doc_id that links reach, the document's own included.  Null and empty texts have no shingle
+    and no link.  Rows that share an id count as one document per distinct set and all get the id's
+    smallest component.  Null ids take part in no link.  Other columns are ignored; an empty table gives
+    an empty result.
+    """
+    docs, table, linked, members, index = indexed(docs, words, percent, id_col, text_col)
+    copies = linked.join(members.select("set_sig", "cls"), "set_sig").filter("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
     edges = star_links(docs, members, index, words, percent)
     known = written(components_of(members, edges))
     pairs = written(open_pairs(members, index, known, percent))
@@ -232,6 +238,47 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     )
 
 
+def near_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, membership) of all links, those inside a component included.
+
+    ``links`` has each linked pair of classes once, as a < b; a class is all documents of one set and is
+    named by its smallest id.  ``membership`` has one row per input row: doc_id, n_shingles, cls (null without
+    a shingle or id) and n_links, the number of other documents that the row's links with.  Ids must be
+    distinct: ValueError otherwise.  The work grows with the number of candidate pairs.
+    """
+    docs, table, linked, members, index = indexed(docs, words, percent, id_col, text_col)
+    if linked.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        raise ValueError("ids occur more than once")
+    inside = members.select("gid", "cls")
+    groups = group_pairs(index, percent)
+    across = groups.join(inside.withColumnsRenamed({"gid": "ga", "cls": "x"}), "ga").join(inside.withColumnsRenamed({"gid": "gb", "cls": "y"}), "gb")
+    within = inside.withColumnRenamed("cls", "x").join(inside.withColumnRenamed("cls", "y"), "gid").filter("x < y")
+    pairs = written(across.select("x", "y").unionByName(within.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    texts = written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    links = written(verified(pairs, texts, words, percent))
+    of = linked.join(members.select("set_sig", "cls"), "set_sig").select("doc_id", "cls")
+    sizes = of.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
+    both = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    partners = both.join(sizes.withColumnsRenamed({"cls": "other", "size": "_n"}), "other").groupBy("cls").agg(F.sum("_n").alias("_n"))
+    counted = sizes.join(partners, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("_n", F.lit(0))).alias("n_links"))
+    membership = table.select("doc_id", F.col("n").alias("n_shingles")).join(of.join(counted, "cls"), "doc_id", "left")
+    return links, membership.select("doc_id", "n_shingles", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def group_pairs(index: DataFrame, percent: int, part: int = HOT_PART) -> DataFrame:
+    """(ga, gb), ga < gb: groups that may link by size, first shared place and prefix shingles shared; a hot shingle's rows meet in parts."""
+    at = index.select("token", "gid", "n", "pos")
+    parts = index.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"))
+    at = at.join(parts, "token")
+    left = at.withColumn("_salt", F.pmod(F.xxhash64("gid"), F.col("_parts")).cast("int")).drop("_parts").withColumnsRenamed({"gid": "ga", "n": "na", "pos": "pa"})
+    right = at.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").withColumnsRenamed({"gid": "gb", "n": "nb", "pos": "pb"})
+    met = left.join(right, ["token", "_salt"]).filter(F.col("ga") < F.col("gb")).filter(size_fits("na", "nb", percent))
+    need = needed(F.col("na"), F.col("nb"), percent)
+    early = (F.col("pa") + need <= F.col("na")) & (F.col("pb") + need <= F.col("nb"))
+    met = met.groupBy("ga", "gb", "na", "nb").agg(F.count(F.lit(1)).alias("_shared"), F.bool_or(early).alias("_early"))
+    return met.filter(F.col("_early") & (F.col("_shared") >= least_shared("na", "nb", percent))).select("ga", "gb")
+
+
 def components_of(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(cls, gid, n, comp) of every class under the links found so far."""
     found = connected_components(edges).withColumnsRenamed({"id": "cls", "component": "comp"})

@@ -88,6 +88,26 @@ def test_near_copies_of_one_base_lose_no_link(spark):
     assert {i: r.component_id for i, r in got.items()} == label
 
 
+def test_near_links_are_all_found(spark, monkeypatch):
+    made, g = [(200, None), (201, ""), (202, " ".join(BASE)), (203, " ".join(BASE)), (204, "one two"), (205, "ONE two")], random.Random(8)
+    for i in range(60):
+        w = BASE[:]
+        for _ in range(g.randint(0, 4)):
+            w[g.randrange(len(w))] = f"edit{g.randrange(40)}"
+        made.append((i, " ".join(w)))
+    sets = {i: set(near.shingle_set(t).tolist()) for i, t in made}
+    alike = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    cls = {i: min(j for j in sets if sets[j] == sets[i]) if sets[i] else None for i in sets}
+    monkeypatch.setattr(near.group_pairs, "__defaults__", (5,))  # hot shingles in several parts
+    links, members = near.near_links(spark.createDataFrame(made, "doc_id long, text string"))
+    names = sorted({c for c in cls.values() if c is not None})
+    assert sorted((r.a, r.b) for r in links.collect()) == [(a, b) for a in names for b in names if a < b and alike(a, b)]
+    got = {r.doc_id: (r.n_shingles, r.cls, r.n_links) for r in members.collect()}
+    assert got == {i: (len(sets[i]), cls[i], sum(alike(i, j) for j in sets if j != i)) for i in sets}
+    with pytest.raises(ValueError):
+        near.near_links(spark.createDataFrame([(1, "x"), (1, "y")], "doc_id long, text string"))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (50, 200), (51, 200)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
