@@ -1,15 +1,17 @@
 """N-gram Jaccard self-join by grouped prefix filtering (operator 1).
 
-Every document becomes the set of its five-word shingles.  Under one order of all shingles two sets of
-Jaccard similarity t or more share a shingle in their prefixes, the first floor((1 - t) n) + 1 shingles of
-each.  Documents with the same prefix and the same size form one group; groups that share prefix shingles
-are filtered by size and by the number shared, and the pairs that are left are expanded to their members
-and verified on the whole sets.
+Every document becomes the set of its five-word shingles, each by a 64-bit hash of its words.  Under one
+order of all shingles two sets of Jaccard similarity t or more share a shingle in their prefixes, the first
+floor((1 - t) n) + 1 shingles of each.  Documents with the same prefix and the same size form one group;
+groups that share prefix shingles are filtered by size, by the place of the first shared shingle and by the
+number shared, and the pairs that are left are expanded to their members and verified on the whole sets.
 
 The order puts frequent shingles last, by a count sketch of all shingles of all documents; the sketch has
 a fixed size, and errors in it change the work only, never the result.  Rounds of star links come first:
-each group is verified against the group that most of its prefix points to.  What these rounds connect
-needs no more verification, so that a group of near copies costs its size and not its square.
+each group is verified against one group of another component, the one that most of its prefix points to.
+A shingle points to the group that has it earliest: of near copies the one with the fewest edits, to which
+most others link.  What the rounds connect needs no more verification, and a shingle's rows outside its
+largest component are all that is paired, so that a group of near copies costs its size and not its square.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ WORDS = 5
 PERCENT = 80  # similarity in percent
 SKETCH_BITS = 21  # 2^21 counters, 8 MB
 CHUNK = 1 << 12  # counters in one row
-STAR_ROUNDS = 1
-HOT_PART = 1000  # groups of one shingle in a part of it, where all links are asked for
+STAR_ROUNDS = 4  # at most; they end when pairing all that is open costs less than the index has rows
+HOT_PART = 1000  # groups of one shingle that meet in one part of a join
 MIX = np.uint64(0x9E3779B97F4A7C15)
 DONE = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -99,10 +101,11 @@ def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, places, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                sums = total.setdefault(chunk, np.zeros(CHUNK, np.uint32))
+                sums = total.setdefault(chunk, np.zeros(CHUNK, np.uint64))
                 at = np.frombuffer(places.as_py(), np.uint16)
                 sums[at if len(at) else slice(None)] += np.frombuffer(counts.as_py(), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), types[0]), pa.array([b""] * len(total), types[1]), pa.array([v.tobytes() for v in total.values()], types[2])], names=names)
+        full = [np.minimum(v, np.uint64(2**32 - 1)).astype(np.uint32).tobytes() for v in total.values()]  # a counter stays at its largest value
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), types[0]), pa.array([b""] * len(total), types[1]), pa.array(full, types[2])], names=names)
 
     kind = "chunk int, places binary, counts binary"
     out = np.zeros((chunks, CHUNK), np.uint32)
@@ -136,8 +139,14 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
 
 
 def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows whose key may be among ``ids`` (one column of the same name): a bitmap of bounded size tests them in the scan."""
-    bits = bits_for(ids.count())
+    """Rows whose key may be among ``ids`` (one column of the same name): a bitmap of bounded size tests them in the scan.
+
+    With more ids than such a bitmap tells apart it is a join on the key.
+    """
+    n = ids.count()
+    bits = bits_for(n)
+    if 4 * n > bits:
+        return df.join(ids.hint("merge"), key, "left_semi")
     return keep_marked(df, bit_of(F.col(key), bits, 0), written(bitmaps(ids.select(bit_of(F.col(key), bits, 0).alias("slot")).distinct(), "slot")))
 
 
@@ -206,12 +215,13 @@ def indexed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
     heads = members.filter("cls = gid").select(F.col("gid").alias("doc_id"))
     index = marked(linked, "doc_id", heads).select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n")
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("gid").alias("center")).filter("times > 1")
-    shared = written(shared.select("token", "center"))
+    # equal prefixes have equal places, so the smallest id among them makes the center a head
+    earliest = F.min(F.struct((F.col("pos") / F.col("n")).alias("rel"), F.col("gid").alias("center"), F.col("n").alias("m")))
+    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("times"), earliest.alias("e")).filter("times > 1")
+    shared = written(shared.select("token", "e.center", "e.m"))
     # only rows whose shingle may be shared go to the join; those of documents that are no heads, which the bits let pass, end here
     index = written(marked(index, "token", shared.select("token")))  # tested in the scan, before any exchange
-    index = index.join(shared, "token").join(heads.withColumnRenamed("doc_id", "gid"), "gid", "left_semi")
-    index = written(index.join(heads.withColumnRenamed("doc_id", "center"), "center", "left_semi"))
+    index = written(index.join(shared, "token").join(heads.withColumnRenamed("doc_id", "gid"), "gid", "left_semi"))
     return docs, table, linked, members, index
 
 
@@ -226,9 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     docs, table, linked, members, index = indexed(docs, words, percent, id_col, text_col)
     copies = linked.join(members.select("set_sig", "cls"), "set_sig").filter("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
-    edges = star_links(docs, members, index, words, percent)
-    known = written(components_of(members, edges))
-    pairs = written(open_pairs(members, index, known, percent))
+    edges, known, rows = star_links(docs, members, index, words, percent)
+    pairs = written(open_pairs(linked, known, rows, percent))
     texts = written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     more = verified(pairs, texts, words, percent)
     last = connected_components(edges.unionByName(more).unionByName(copies))
@@ -285,55 +294,90 @@ def components_of(members: DataFrame, edges: DataFrame) -> DataFrame:
     return members.select("cls", "gid", "n").join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def star_links(docs: DataFrame, members: DataFrame, index: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links of each class to one other: its group's head, or for heads the center that most of the prefix points to."""
+def star_links(docs: DataFrame, members: DataFrame, index: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, known, rows): verified links of classes to one other a round, the components they make, and what they leave open.
+
+    In the first round a class goes to its group's head, and a head to the center that most of its prefix
+    points to.  In later ones a group of an open shingle goes to the earliest group of another component.
+    """
     inside = members.filter("cls <> gid").select(F.col("cls").alias("a"), F.col("gid").alias("b"))
-    size = members.filter("cls = gid").select(F.col("gid").alias("center"), F.col("n").alias("m"))
-    votes = index.filter("gid <> center").groupBy("gid", "n", "center").agg(F.count(F.lit(1)).alias("votes"))
-    votes = votes.join(size, "center").filter(size_fits("n", "m", percent)).filter(2 * F.col("votes") >= least_shared("n", "m", percent))
-    rank = F.struct(F.col("votes"), -F.col("center"))
-    votes = written(votes.select("gid", "center", "votes"))
-    out, tried = None, None
+    links, tried, n_index = None, None, index.count()
     for n in range(STAR_ROUNDS):
-        open_votes = votes if tried is None else votes.join(tried, ["gid", "center"], "left_anti")
-        best = open_votes.groupBy("gid").agg(F.max_by("center", rank).alias("center"))
+        asked = index.filter("gid <> center").select("gid", "n", "center", "m") if n == 0 else other_centers(rows)
+        votes = asked.filter(size_fits("n", "m", percent)).groupBy("gid", "n", "center", "m").agg(F.count(F.lit(1)).alias("votes"))
+        votes = votes.filter(2 * F.col("votes") >= least_shared("n", "m", percent))
+        votes = votes if tried is None else votes.join(tried, ["gid", "center"], "left_anti")
+        best = written(votes.groupBy("gid").agg(F.max_by("center", F.struct(F.col("votes"), -F.col("center"))).alias("center")))
         pairs = best.select(F.col("gid").alias("a"), F.col("center").alias("b"))
-        pairs = written(pairs.unionByName(inside) if n == 0 else pairs)
+        pairs = written(pairs.unionByName(inside)) if n == 0 else pairs
         texts = written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         found = written(verified(pairs, texts, words, percent))
-        out = found if out is None else out.unionByName(found)
-        now = pairs.select(F.col("a").alias("gid"), F.col("b").alias("center"))
-        tried = now if tried is None else tried.unionByName(now)
-    return out
+        links = found if links is None else links.unionByName(found)
+        tried = best if tried is None else tried.unionByName(best)
+        known = written(components_of(members, links))
+        rows = open_rows(index, known, percent)
+        left = rows.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.first("largest").alias("largest")).agg(F.sum((F.col("all") - F.col("largest")) * F.col("all"))).first()[0]
+        if (left or 0) <= n_index or not found.limit(1).count():
+            break
+    return links, known, rows
 
 
-def open_pairs(members: DataFrame, index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes that may still link: in different components, by shared prefixes or one group.
+def open_rows(index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(token, gid, n, pos, comp, big, largest): shingles of several components, each with its largest one and that one's rows.
 
-    Only shingles of groups in several components are expanded, component by component, so that groups
-    of one component are never paired.
+    The first shared shingle lies so early in both sets that all needed ones can follow; partners have
+    t n shingles at least.  Later places are left out.
     """
-    group = known.groupBy("gid").agg(F.collect_set("comp").alias("comps"), F.count(F.lit(1)).alias("classes"))
     at = index.select("token", "gid", "n", "pos").join(known.select("gid", "comp").distinct(), "gid")
-    # the first shared shingle lies so early in both sets that all needed ones can follow; partners have t n shingles at least
-    least = at.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least")).filter("x <> y").select("token", "least")
+    sides = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
+    sides = sides.groupBy("token").agg(F.max(F.struct("rows", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.min("least").alias("least")).filter("comps > 1")
     smallest = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
-    at = at.join(least, "token").filter(F.col("pos") <= F.col("n") - needed(F.col("n"), smallest, percent)).drop("least")
-    at = written(at)
-    sides = at.select("token", "comp").distinct()
-    two = sides.withColumnRenamed("comp", "comp_a").join(sides.withColumnRenamed("comp", "comp_b"), "token").filter("comp_a < comp_b")
-    left = at.withColumnsRenamed({"gid": "ga", "n": "na", "pos": "pa", "comp": "comp_a"})
-    right = at.withColumnsRenamed({"gid": "gb", "n": "nb", "pos": "pb", "comp": "comp_b"})
+    at = at.join(sides.select("token", "least", F.col("top.comp").alias("big")), "token").filter(F.col("pos") <= F.col("n") - needed(F.col("n"), smallest, percent))
+    at = at.select("token", "gid", "n", "pos", "comp", "big")
+    inside = at.filter("comp = big").groupBy("token").agg(F.count(F.lit(1)).alias("largest"))
+    return written(at.join(inside, "token", "left").na.fill(0, ["largest"]))
+
+
+def other_centers(rows: DataFrame) -> DataFrame:
+    """(gid, n, center, m): for each row of an open shingle the earliest group of another component."""
+    earliest = F.min(F.struct((F.col("pos") / F.col("n")).alias("rel"), F.col("gid").alias("center"), F.col("n").alias("m"), "comp"))
+    per = written(rows.groupBy("token", "comp").agg(earliest.alias("e")))
+    one = per.groupBy("token").agg(F.min("e").alias("one"))
+    two = one.join(per.filter("e is not null"), "token").filter("comp <> one.comp").groupBy("token").agg(F.first("one").alias("one"), F.min("e").alias("two"))
+    other = F.when(F.col("comp") != F.col("one.comp"), F.col("one")).otherwise(F.col("two"))
+    return rows.join(two, "token").withColumn("o", other).select("gid", "n", "o.center", "o.m")
+
+
+def open_pairs(linked: DataFrame, known: DataFrame, rows: DataFrame, percent: int, part: int = HOT_PART) -> DataFrame:
+    """All pairs (a, b) of classes in different components that may still link: by shared prefixes, or in one group.
+
+    A shingle's rows outside its largest component meet all its rows of other components; those of a hot
+    shingle in parts.  Groups met are filtered by the prefix shingles that they share and then expanded.
+    """
+    parts = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"))
+    at = rows.drop("largest").join(parts, "token")
+    left = at.filter("comp <> big").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    left = left.select("token", "_salt", *(F.col(c).alias(v) for c, v in (("gid", "ga"), ("n", "na"), ("pos", "pa"), ("comp", "ca"))))
+    right = at.withColumn("_salt", F.pmod(F.xxhash64("gid"), F.col("_parts")).cast("int"))
+    right = right.select("token", "_salt", "big", *(F.col(c).alias(v) for c, v in (("gid", "gb"), ("n", "nb"), ("pos", "pb"), ("comp", "cb"))))
     need = needed(F.col("na"), F.col("nb"), percent)
     early = (F.col("pa") + need <= F.col("na")) & (F.col("pb") + need <= F.col("nb"))
-    crossed = two.join(left, ["token", "comp_a"]).join(right.withColumnsRenamed({"token": "tb", "comp_b": "cb"}), (F.col("token") == F.col("tb")) & (F.col("comp_b") == F.col("cb")) & (F.col("ga") != F.col("gb")) & size_fits("na", "nb", percent) & early)
-    crossed = crossed.select("ga", "comp_a", "gb", "comp_b").distinct()
-    own = known.join(group.filter(F.size("comps") > 1).select("gid"), "gid")
-    split = own.select("gid", "comp").distinct()
-    within = split.withColumnsRenamed({"comp": "comp_a"}).join(split.withColumnsRenamed({"comp": "comp_b"}), "gid").filter("comp_a < comp_b")
-    crossed = crossed.unionByName(within.select(F.col("gid").alias("ga"), "comp_a", F.col("gid").alias("gb"), "comp_b"))
+    once = (F.col("cb") == F.col("big")) | (F.col("ga") < F.col("gb"))
+    on = [left[c] == right[c] for c in ("token", "_salt")] + [F.col("ca") != F.col("cb"), F.col("ga") != F.col("gb"), once, early, size_fits("na", "nb", percent)]
+    of = lambda x, y: F.struct(*(F.col(f"{c}{v}").alias(f"{c}{w}") for v, w in ((x, "a"), (y, "b")) for c in "gnc"))
+    both = left.hint("merge").join(right, on).select(F.when(F.col("ga") < F.col("gb"), of("a", "b")).otherwise(of("b", "a")).alias("m"))
+    met = written(both.select("m.*").distinct())
+    heads = met.select(F.explode(F.array("ga", "gb")).alias("doc_id")).distinct()
+    prefix = written(marked(linked.select("doc_id", "prefix"), "doc_id", heads))
+    side = lambda g, p: prefix.select(F.col("doc_id").alias(g), F.col("prefix").alias(p))
+    groups = met.select("ga", "na", "gb", "nb").distinct().hint("merge").join(side("ga", "_x"), "ga").hint("merge").join(side("gb", "_y"), "gb")
+    groups = groups.filter(F.size(F.array_intersect("_x", "_y")) >= least_shared("na", "nb", percent)).select("ga", "gb").distinct()
+    met = met.join(groups, ["ga", "gb"]).select("ga", "ca", "gb", "cb")
+    split = known.select("gid", "comp").distinct()
+    within = split.withColumnRenamed("comp", "ca").join(split.withColumnRenamed("comp", "cb"), "gid").filter("ca < cb")
+    met = met.unionByName(within.select(F.col("gid").alias("ga"), "ca", F.col("gid").alias("gb"), "cb"))
     side = lambda g, c, x: known.select(F.col("gid").alias(g), F.col("comp").alias(c), F.col("cls").alias(x))
-    pairs = crossed.join(side("ga", "comp_a", "a"), ["ga", "comp_a"]).join(side("gb", "comp_b", "b"), ["gb", "comp_b"])
+    pairs = met.join(side("ga", "ca", "a"), ["ga", "ca"]).join(side("gb", "cb", "b"), ["gb", "cb"])
     return pairs.select("a", "b").distinct()
 
 
