@@ -26,10 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df once into the shared folder and read it back: it is computed once, and lost executors cost nothing."""
+    """Write df once into the shared folder and read it back: it is computed once, and lost executors cost nothing.
+
+    The folder is deleted when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,7 +77,9 @@ def keep_marked(df: DataFrame, slot: Column, marks: DataFrame, into: str | None
 def fresh(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """Only these columns, so that others cannot clash with an operator's own: each name as it is, each key from the column it names.
 
-    A missing column is null.
+    A missing column is a ValueError.
     """
     sources = {n: n for n in names} | renamed
-    return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).alias(n) for n, c in sources.items()])
+    if missing := [c for c in sources.values() if c not in df.columns]:
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(df.columns)}")
+    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in sources.items()])
