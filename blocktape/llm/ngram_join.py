@@ -215,13 +215,13 @@ def indexed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
     heads = members.filter("cls = gid").select(F.col("gid").alias("doc_id"))
     index = marked(linked, "doc_id", heads).select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n")
-    # equal prefixes have equal places, so the smallest id among them makes the center a head
-    earliest = F.min(F.struct((F.col("pos") / F.col("n")).alias("rel"), F.col("gid").alias("center"), F.col("n").alias("m")))
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("times"), earliest.alias("e")).filter("times > 1")
-    shared = written(shared.select("token", "e.center", "e.m"))
+    shared = written(index.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token"))
     # only rows whose shingle may be shared go to the join; those of documents that are no heads, which the bits let pass, end here
-    index = written(marked(index, "token", shared.select("token")))  # tested in the scan, before any exchange
-    index = written(index.join(shared, "token").join(heads.withColumnRenamed("doc_id", "gid"), "gid", "left_semi"))
+    index = written(marked(index, "token", shared))  # tested in the scan, before any exchange
+    index = index.join(shared, "token", "left_semi").join(heads.withColumnRenamed("doc_id", "gid"), "gid", "left_semi")
+    index = written(index.select("token", "gid", "n", "pos"))
+    earliest = index.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("rel"), F.col("gid").alias("center"), F.col("n").alias("m"))).alias("e"))
+    index = written(index.join(earliest.select("token", "e.center", "e.m"), "token"))
     return docs, table, linked, members, index
 
 
