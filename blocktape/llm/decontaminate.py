@@ -2,12 +2,13 @@
 
 An item of m bytes within k edits shares at least m - q + 1 - k q grams with the matching part of a text,
 and all of them lie on k + 1 neighbouring diagonals (place in the text less place in the item).  Shared
-grams are counted in overlapping bands of 2 (k + 1) diagonals; bands that reach the bound are kept and
-verified by an alignment restricted to the band.
+grams are counted in overlapping bands of 2 (k + 1) diagonals; bands that reach the bound are kept,
+neighbours as one region, and verified by an alignment restricted to their diagonals.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ Q = 12  # bytes of a gram
 RATE = 0.05  # edits allowed for each byte of an item
 ITEM_BYTES = 4 << 20  # item text that one pass over the documents holds; more items take more passes
 FILTER_BITS = 20
+PAIRS = 1 << 20  # pairs of places that are held at once
+NEAR = 1024  # diagonals between regions of a text that are aligned together
+PIECE = 1 << 18  # places of a text in one convolution
 
 
 def normal(text: str | None) -> bytes:
@@ -45,32 +49,50 @@ def edit_budget(m: int, rate: float, q: int) -> int:
     return max(0, min(int(rate * m), (m - q) // q))
 
 
-def banded_alignment(item: bytes, text: bytes, low: int, high: int, k: int, anchored: bool = False) -> tuple[int, int]:
-    """(edits, end) of the best alignment of the whole item with a part of text on diagonals low .. high.
+EDIT = 1 << 40  # one edit in a cell of an alignment; below it lies EDIT - 1 less the start, so that later starts win
 
-    Diagonal = place in text - place in item.  The part may start anywhere in the band, or with
-    ``anchored`` at 0 only.  Edits above k are given as k + 1.
+
+def aligned(item: bytes, text: bytes, low: int, high: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, edits) of the best alignments, within k edits, of the whole item with the part of text before each end.
+
+    Diagonal = place in text - place in item; only paths on diagonals low .. high count.  Of equally good
+    alignments the one that starts last is taken.
     """
-    width = high - low + 1
-    diagonals = np.arange(width)
-    far = k + 1
-    letters = np.frombuffer(text, np.uint8)
-    column = low + diagonals  # places in text before row 0
-    row = np.where((column >= 0) & (column <= len(text)), np.abs(column) if anchored else 0, far)
+    width, far = high - low + 1, (k + 1) * EDIT
+    column = low + np.arange(width)  # places in text before row 0
+    letters = np.full(width + len(item), 256, np.uint16)  # 256: outside the text
+    a, b = max(low, 0), min(high + len(item), len(text))
+    if a < b:
+        letters[a - low : b - low] = np.frombuffer(text, np.uint8, b - a, a)
+    row = np.where((column >= 0) & (column <= len(text)), EDIT - 1 - column, far)
+    steps = np.arange(width) * EDIT
     for i, c in enumerate(item):
-        place = column + i  # text letter that a step along the diagonal reads
-        inside = (place >= 0) & (place < len(text))
-        same = np.zeros(width, bool)
-        same[inside] = letters[place[inside]] == c
-        step = np.where(inside, row + ~same, far)
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)  # an item letter without partner
-        step[(place + 1 < 0) | (place + 1 > len(text))] = far
-        row = np.minimum(np.minimum.accumulate(step - diagonals) + diagonals, far)  # text letters without partner
-        row[(place + 1 < 0) | (place + 1 > len(text))] = far
+        step = row + EDIT * (letters[i : i + width] != c)
+        step[:-1] = np.minimum(step[:-1], row[1:] + EDIT)  # an item letter without partner
+        row = np.minimum(np.minimum.accumulate(step - steps) + steps, far)  # text letters without partner
+        row[max(0, len(text) - i - low) :] = far  # past the end of the text
         if row.min() >= far:
-            return far, -1
-    best = int(row.argmin())
-    return int(row[best]), int(column[best] + len(item))
+            break
+    at = np.flatnonzero(row < far)
+    return EDIT - 1 - row[at] % EDIT, column[at] + len(item), row[at] // EDIT
+
+
+def apart(starts: np.ndarray, ends: np.ndarray, edits: np.ndarray) -> list[tuple[int, int, int]]:
+    """Places (start, end, edits) that do not overlap: those with the fewest edits first, of these the first ones."""
+    taken: list[tuple[int, int, int]] = []
+    for level in np.unique(edits):
+        at = np.flatnonzero(edits == level)
+        s, e, n = starts[at], ends[at], 0
+        shortest = max(1, int((e - s).min()))
+        while n < len(at):
+            i = bisect_right(taken, (int(s[n]), 1 << 62, 0))
+            hit = next((t for t in taken[max(0, i - 1) : i + 1] if t[0] < e[n] and s[n] < t[1]), None)
+            if hit is None:
+                hit = (int(s[n]), int(e[n]), int(level))
+                taken.insert(i, hit)
+            # what ends before this overlaps the place just taken or met
+            n = max(n + 1, int(np.searchsorted(e, hit[1] + shortest)))
+    return taken
 
 
 class ItemIndex:
@@ -81,66 +103,90 @@ class ItemIndex:
         self.budget = [edit_budget(len(d), rate, q) if len(d) >= q else 0 for _, d in self.items]
         self.short = [n for n, (_, d) in enumerate(self.items) if len(d) < q]
         codes = [gram_codes(d, q) for _, d in self.items]
-        owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, int)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.owner, self.place = owner[order], place[order]
-        self.codes, first = np.unique(flat[order], return_index=True)
-        self.first = np.append(first, len(flat))
+        self.codes, number, times = np.unique(flat, return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(c) for c in codes])
+        self.grams = np.split(number, ends[:-1]) if codes else []  # number of the gram at each place of each item
+        # of any k q + 1 places of an item one is shared, so those with the rarest grams lead to it
+        lead = [np.unique(g[np.argsort(times[g], kind="stable")[: k * q + 1]]) for g, k in zip(self.grams, self.budget, strict=True)]
+        owner = np.repeat(np.arange(len(lead)), [len(x) for x in lead])
+        order = np.argsort(np.concatenate(lead), kind="stable") if lead else np.zeros(0, int)
+        self.lead = owner[order]
+        self.first = np.searchsorted(np.concatenate(lead)[order], np.arange(len(self.codes) + 1)) if lead else np.zeros(1, int)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.codes >> np.uint64(64 - FILTER_BITS)] = True
 
-    def hits(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item number, place in item, place in text) of all shared grams."""
+    def regions(self, item: int, seen: np.ndarray, bounds: np.ndarray, places: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
+        """(lowest, highest) diagonal of the neighbouring bands of a text that reach the lemma's bound for one item.
+
+        ``places`` are the text's places of the grams ``seen``, between ``bounds``.  Pairs of places are
+        counted in pieces of bounded size; those of a gram that is frequent in both are counted by convolution.
+        """
+        grams, width = self.grams[item], self.budget[item] + 1
+        low = -(-len(grams) // width) * width  # diagonals from -low on
+        tally = np.zeros((length + low) // width + 2, np.int64)  # hits on each stretch of ``width`` diagonals
+        at = np.minimum(np.searchsorted(seen, grams), len(seen) - 1)
+        own = np.flatnonzero(seen[at] == grams)
+        at, sizes = at[own], (bounds[1:] - bounds[:-1])[at[own]]
+        pairs = np.bincount(at, sizes, len(seen))[at]
+        for gram in np.unique(at[pairs > PAIRS]):
+            where, mine = places[bounds[gram] : bounds[gram + 1]], own[at == gram]
+            for a in range(0, length, PIECE):
+                part = where[np.searchsorted(where, a) : np.searchsorted(where, a + PIECE)] - a
+                if len(part):
+                    n = 1 << (PIECE + len(grams)).bit_length()
+                    sides = (np.fft.rfft(np.bincount(x, minlength=n)) for x in (part, len(grams) - mine))
+                    counts = np.rint(np.fft.irfft(next(sides) * next(sides), n)).astype(np.int64)
+                    there = np.flatnonzero(counts)
+                    np.add.at(tally, (there + a - len(grams) + low) // width, counts[there])
+        light = np.flatnonzero(pairs <= PAIRS)
+        for part in np.split(light, np.searchsorted(np.cumsum(sizes[light]), np.arange(PAIRS, sizes[light].sum(), PAIRS))):
+            if not len(part):
+                continue
+            n = sizes[part]
+            index = np.repeat(bounds[at[part]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            tally += np.bincount((places[index] - np.repeat(own[part], n) + low) // width, minlength=len(tally))
+        # a band is two stretches, so every k + 1 neighbouring diagonals lie in one
+        bands = np.flatnonzero(tally[:-1] + tally[1:] >= len(grams) - self.budget[item] * self.q)
+        near = 1 if len(bands) < 16 else 1 + NEAR // width  # aligning many regions costs more than aligning what lies between them
+        for run in np.split(bands, np.flatnonzero(np.diff(bands) > near) + 1):
+            if len(run):
+                yield int(run[0]) * width - low, int(run[-1] + 2) * width - low - 1
+
+    def places(self, text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(item number, starts, ends, edits) of alignments within the item's budget."""
         codes = gram_codes(text, self.q)
         at = np.flatnonzero(self.filter[codes >> np.uint64(64 - FILTER_BITS)])
         if not len(at) or not len(self.codes):
-            return (np.zeros(0, int),) * 3
+            return
         n = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
         true = self.codes[n] == codes[at]
         at, n = at[true], n[true]
-        times = self.first[n + 1] - self.first[n]
-        index = np.repeat(self.first[n] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
-        return self.owner[index], self.place[index], np.repeat(at, times)
-
-    def bands(self, text: bytes) -> Iterator[tuple[int, int, int]]:
-        """(item number, lowest and highest diagonal) of the bands that reach the lemma's bound."""
-        owner, place, at = self.hits(text)
-        if not len(owner):
+        if not len(at):
             return
-        width = np.array(self.budget)[owner] + 1
-        band = (at - place) // width
-        # a hit lies in the band that starts at its own stretch of k + 1 diagonals and in the one before
-        keys, counts = np.unique(np.stack([np.r_[owner, owner], np.r_[band, band - 1]]), axis=1, return_counts=True)
-        for item, b, shared in zip(*keys, counts, strict=True):
-            m, k = len(self.items[item][1]), self.budget[item]
-            if shared >= m - self.q + 1 - k * self.q:
-                yield int(item), int(b) * (k + 1), (int(b) + 2) * (k + 1) - 1
+        order = np.argsort(n, kind="stable")
+        seen, bounds = np.unique(n[order], return_index=True)
+        bounds, places = np.append(bounds, len(n)), at[order]
+        times = self.first[seen + 1] - self.first[seen]
+        index = np.repeat(self.first[seen] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+        for item in np.unique(self.lead[index]):
+            data, k = self.items[item][1], self.budget[item]
+            for low, high in self.regions(item, seen, bounds, places, len(codes)):
+                exact = text.find(data, max(0, low), max(0, high) + len(data)) if high - low < 3 * (k + 1) else -1
+                if exact >= 0:  # nothing else has room in so few diagonals
+                    yield int(item), np.array([exact]), np.array([exact + len(data)]), np.array([0])
+                else:
+                    yield int(item), *aligned(data, text, low, high, k)
 
     def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, edits) of the places where an item lies within its budget, best first where they overlap."""
-        found = []
-        for item, low, high in self.bands(text):
-            key, data = self.items[item]
-            k, m = self.budget[item], len(self.items[item][1])
-            exact = text.find(data, max(0, low), max(0, high) + m)
-            if exact >= 0:
-                found.append((item, exact, exact + m, 0))
-                continue
-            a, b = max(0, low - k), max(0, high + m + k)
-            edits, end = banded_alignment(data, text[a:b], low - a, high - a, k)
-            if edits <= k:
-                back, length = banded_alignment(data[::-1], text[max(0, a + end - m - k) : a + end][::-1], -k, k, k, anchored=True)
-                start = a + end - length if back <= k else a + end - m
-                found.append((item, max(0, start), a + end, edits))
-        for item in self.short:
-            if (exact := text.find(self.items[item][1])) >= 0:
-                found.append((item, exact, exact + len(self.items[item][1]), 0))
-        out: list = []
-        for hit in sorted(found, key=lambda h: (h[0], h[3], h[1])):
-            if not any(o[0] == hit[0] and o[1] < hit[2] and hit[1] < o[2] for o in out):
-                out.append(hit)
+        found: dict[int, list] = {}
+        for item, *hit in self.places(text):
+            found.setdefault(item, []).append(hit)
+        out = [(n, *hit) for n, hits in found.items() for hit in apart(*map(np.concatenate, zip(*hits, strict=True)))]
+        for n in self.short:
+            if (exact := text.find(self.items[n][1])) >= 0:
+                out.append((n, exact, exact + len(self.items[n][1]), 0))
         return [(self.items[n][0], a, b, e) for n, a, b, e in sorted(out)]
 
 
