@@ -31,9 +31,10 @@ HEX_CASED = re.compile(r"[0-9A-Fa-f]{24,}")  # runs of either case, decoded only
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 INNER = re.compile(r"(?<=[+/_-])[A-Za-z0-9]")  # where a key may begin that a separator of the alphabet joins to a name
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE))-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
-ESCAPE = re.compile(r"\\++(?:u([0-9A-Fa-f]{4})|[nrt]|(?=[\s/\"']|$))")
+ESCAPE = re.compile(r"(?<!\\)\\++(?:u([0-9A-Fa-f]{4})|[nrt]|(?=[\s/\"']|$))")
 CIPHER = re.compile(r"(Proc-Type|DEK-Info):[^\S\n]*(\S+)")
 DOTTED = re.compile(r"[A-Za-z0-9_.-]{18,}")  # the shortest token has 18 characters
+ALGORITHM = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
 MAGIC = b"openssh-key-v1\0"
 
 
@@ -97,7 +98,31 @@ def is_ssh_key(data: bytes) -> bool:
             return False
         fields.append(told[0])
         at = told[1]
-    return len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
+    return len(fields) >= 2 and ALGORITHM.fullmatch(fields[0]) is not None
+
+
+def fields_fit(run: str, at: int, start: int, size: int, most: int | None = None) -> bool:
+    """Whether length-prefixed fields from byte ``start`` on fill the size bytes of a base64 run, or the first ``most`` fit; reads only the lengths."""
+    n = 0
+    while start < size and n != most:
+        from_char = at + start // 3 * 4
+        prefix = (unbase64(run[from_char : from_char + 8]) or b"")[start % 3 : start % 3 + 4]
+        if len(prefix) < 4:
+            return False
+        start, n = start + 4 + int.from_bytes(prefix, "big"), n + 1
+    return start == size or (n == most and start < size)
+
+
+def may_be_key(run: str, at: int, size: int) -> bool:
+    """Whether the bytes from a character of a base64 run on announce a key that ends with the run: only then are all of them decoded."""
+    head = unbase64(run[at : at + 32]) or b""
+    if head[:1] == b"\x30":
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]) == size
+    if head.startswith(MAGIC):
+        return fields_fit(run, at, len(MAGIC), size, 3)
+    name = head[4 : 4 + int.from_bytes(head[:4], "big")]
+    return ALGORITHM.fullmatch(name) is not None and fields_fit(run, at, 0, size)
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -161,10 +186,9 @@ def confirmed(text: str, hexes: list[tuple[int, int]]) -> Iterator[tuple[int, st
         if (end - start) % 2 == 0 and text.startswith("30", start) and is_der_key(bytes.fromhex(text[start:end])):
             yield start, "der", end
     for m in ENCODED.finditer(text):
-        run = m[0]
+        run, length = m[0], len(m[0].rstrip("="))
         for at in [0, *(i.start() for i in INNER.finditer(run, 1, len(run) - 31))]:
-            first = unbase64(run[at : at + 4])
-            if not first or not (first[0] == 0x30 or first == b"\0\0\0" or first == MAGIC[:3]):
+            if run[at] not in "MAb" or not may_be_key(run, at, (length - at) * 3 // 4):
                 continue
             data = unbase64(run[at:])
             if data and is_der_key(data):
