@@ -7,12 +7,12 @@ its windows.  For use, filters become look-up tables over two or three neighbour
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ FIT_ROWS = 500  # labelled rows of each language that are fetched at most
 FIT_CHARS = 2048  # characters of each that are used, from a place that its id decides
 EPOCHS = 6
 BLOCK = 512  # windows that are scored together
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def byte_classes() -> np.ndarray:
