@@ -3,7 +3,10 @@
 Bins have a residual in each dimension; an example goes to the open bin whose residual has the largest dot
 product with the example's demand, both as shares of the limits, among bins where it fits.  Examples that
 may be cut fill what is left of a bin before a new one is opened.  Each task packs its own rows as they
-stream past and holds a bounded number of open bins.
+stream past and holds a bounded number of open bins, with the ids of no more than the pieces in them.
+
+Documents (`pack_documents`) bear loss on every token and may have as many segments as tokens, so that tiny
+ones leave no padding; conversations (`pack_examples`) have all three limits.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ from blocktape.llm.common import fresh
 from blocktape.llm.token_counts import SPLIT, byte_letters, words_of
 
 OPEN_BINS = 32  # bins that a task holds open
+OUT_ROWS = 4096  # rows of one output batch, about
 TASK_BITS = 36  # a task's sequences are numbered below 2^36
 
 
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 256
+    segments: int = 2048
     loss: int = 2048
 
     def __post_init__(self):
@@ -89,11 +93,11 @@ class VectorPacker:
             self.bins.append(b)
         self.add(b, payload, 0, tokens, loss)
 
-    def place_cut(self, payload, tokens: int) -> None:
-        """An example of which every token bears loss, and which may be cut anywhere."""
+    def place_cut(self, part: Callable[[int, int], object], tokens: int) -> None:
+        """An example of which every token bears loss, and which may be cut anywhere: part(start, length) is a piece's payload."""
         cap, start = min(self.limits.tokens, self.limits.loss), 0
         while tokens - start >= cap:
-            self.closed([(payload, start, cap, cap)])
+            self.closed([(part(start, cap), start, cap, cap)])
             start += cap
         while start < tokens:
             rest = tokens - start
@@ -104,7 +108,7 @@ class VectorPacker:
             elif b is None:
                 b = Bin()
                 self.bins.append(b)
-            self.add(b, payload, start, rest, rest)
+            self.add(b, part(start, rest), start, rest, rest)
             start += rest
 
     def finish(self, cut: bool) -> None:
@@ -175,8 +179,8 @@ def pack_documents(
 
     A document is its text's token ids and then ``end_id``; every one of these ids lies in one piece, and
     the pieces of a sequence follow one another from offset 0.  Null and empty texts are one id.  All
-    sequences are full but for each task's last few, whose lengths are powers of two (unless the limit
-    on segments closes one before).  Repeated ids are packed apart.  Other columns are ignored; an empty
+    sequences are full but for each task's last few, whose lengths are powers of two (a smaller limit on
+    segments than the default one can close some before).  Repeated ids are packed apart.  Other columns are ignored; an empty
     table gives an empty result.
     """
     rows = fresh(docs, doc_id=id_col, text=text_col).select(
@@ -190,8 +194,8 @@ def pack_documents(
         def closed(pieces: list) -> None:
             nonlocal number
             offset = 0
-            for (doc, total, ids), start, length, _ in pieces:
-                out.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total, number, offset))
+            for (doc, total, ids, at), start, length, _ in pieces:  # ids of the piece as it was placed, from ``at`` on
+                out.append((doc, start, length, zlib.crc32(ids[4 * (start - at) : 4 * (start - at + length)]), total, number, offset))
                 offset += length
             number += 1
 
@@ -205,8 +209,11 @@ def pack_documents(
         for batch in batches:
             encode = encode or id_bytes(tokenizer)
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + last
-                packer.place_cut((doc.as_py(), len(ids) // 4, ids), len(ids) // 4)
+                ids, key = encode(text.as_py() or "") + last, doc.as_py()
+                total = len(ids) // 4
+                packer.place_cut(lambda start, n, ids=ids, key=key, total=total: (key, total, ids[4 * start : 4 * (start + n)], start), total)
+                if len(out) >= OUT_ROWS:
+                    yield told()
             yield told()
         packer.finish(cut=True)
         yield told()

@@ -20,7 +20,8 @@ from blocktape.llm.common import fresh
 
 #: Fixed value: how the byte-level vocabulary's library splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 300_000  # words whose counts a worker remembers; it forgets all when it has more
+CACHE_WORDS = 100_000  # words of which a worker remembers what it found, in each of two generations
+CACHE_CHARS = 64  # longer ones are not remembered, so that the memory is bounded in bytes too
 
 
 def byte_letters() -> list[str]:
@@ -94,6 +95,8 @@ class Remembered(dict):
         self.of, self.most, self.old = of, most, {}
 
     def __missing__(self, text: str):
+        if len(text) > CACHE_CHARS:
+            return self.of(text)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
