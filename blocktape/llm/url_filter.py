@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from blocktape.llm.common import fresh
 
+SALT = 16  # parts of the captures of one key and stretch, so that a busy host is no single group
 BUCKET_S = 30 * 86_400  # seconds of one stretch of time by which captures and intervals meet
 RANK = {"domain": 1, "host": 1 << 10, "prefix": 1 << 20}  # a rule of a later kind outranks all before; longer ones outrank shorter
 
@@ -76,7 +77,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     The most specific active entry decides (prefix, then host, then domain; the longer value first); with
     none the capture is allowed and the rule is null.  A prefix matches wherever host and path (without
     query) start with it, also inside a segment; an empty path is '/'.  Equal captures are decided once.  A capture whose
-    url or time is null, or whose url has no host, matches nothing and is allowed.  Other columns are
+    url or time is null, or whose url has no host, matches nothing and is allowed.  Entries of another
+    kind or action than host, domain, prefix and block, allow, remove match nothing; values are compared as
+    they are, so hosts must be listed in lower case.  Other columns are
     ignored; an empty list allows all, an empty table gives an empty result.
     """
     rows = fresh(captures, _id=id_col, _url=url_col, _at=at_col)
@@ -85,11 +88,12 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     bucket = lambda c: F.floor(seconds(c) / BUCKET_S).cast("long")
     asked = rows.select("_url", "_at").na.drop().distinct().withColumn("_host", host_of(F.col("_url"))).filter("_host <> ''")
     asked = asked.select("_url", "_at", F.explode(keys_of(F.col("_host"), path_of(F.col("_url")), open_lengths(entries))).alias("k"))
-    asked = asked.select("_url", "_at", "k.kind", "k.value", bucket(F.col("_at")).alias("_bucket"))
+    asked = asked.select("_url", "_at", "k.kind", "k.value", bucket(F.col("_at")).alias("_bucket"), F.pmod(F.xxhash64("_url", "_at"), F.lit(SALT)).cast("int").alias("_part"))
     horizon = rows.agg(F.max("_at")).first()[0]
     held = intervals(entries).withColumn("_end", F.least(F.coalesce("valid_to", F.lit(horizon)), F.lit(horizon)))
     held = held.filter("valid_from <= _end").withColumn("_bucket", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(F.col("_end"))))).drop("_end")
-    match = asked.join(held, ["kind", "value", "_bucket"]).filter("_at >= valid_from and (valid_to is null or _at < valid_to)")
+    held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    match = asked.join(held, ["kind", "value", "_bucket", "_part"]).filter("_at >= valid_from and (valid_to is null or _at < valid_to)")
     weight = F.length("value")
     for kind, least in RANK.items():
         weight = weight + F.when(F.col("kind") == kind, least).otherwise(0)
