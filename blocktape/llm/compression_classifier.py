@@ -58,7 +58,7 @@ def difference(text: str, good, bad) -> float:
 
 
 def dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary, or the texts' own end where there is too little to train on."""
+    """A dictionary trained on two or three blocks of each text, spread evenly; the texts' own end where there is too little to train on."""
     parts = [b for t in texts for b in blocks(t)[:: max(1, len(blocks(t)) // 2)]]
     whole = b"".join(parts)
     if len(whole) >= 4 * DICTIONARY:
@@ -150,7 +150,11 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score is at least the threshold."""
+    """The rows of docs, with all their columns, whose score is at least the threshold.
+
+    Null and empty texts have the score of a difference of 0, null ids change nothing, repeated rows are
+    decided alike, and an empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
