@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20  # of one Arrow batch at most
 BITMAP_BITS = 32768  # bits of one bitmap of Spark's bitmap functions
 
 
@@ -38,6 +40,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow with batches that are bounded in bytes, for texts may be long; the session keeps that setting."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), BATCH_ROWS)))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty.  lower() is the same, and faster, where all is ASCII."""
     whole = F.coalesce(text, F.lit(""))

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocktape.llm.common import fresh
+from blocktape.llm.common import fresh, in_arrow
 
 BLOCK = 2048  # bytes compressed at once: a dictionary helps most at the start
 DICTIONARY = 112_640  # bytes of each dictionary
@@ -146,7 +146,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    return rows.mapInArrow(scored, SCHEMA)
+    return in_arrow(rows, scored, SCHEMA)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -162,4 +162,4 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text
         for batch in batches:
             yield batch.filter(pa.array([score(t.as_py() or "") >= threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(good, docs.schema)
+    return in_arrow(docs, good, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocktape.llm.common import fresh
+from blocktape.llm.common import fresh, in_arrow
 
 Q = 12  # bytes of a gram
 RATE = 0.05  # edits allowed for each byte of an item
@@ -232,7 +232,7 @@ def find_contamination(
                 columns = list(zip(*hits, strict=True)) if hits else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-        more = rows.mapInArrow(found, MATCHES)
+        more = in_arrow(rows, found, MATCHES)
         out = more if out is None else out.unionByName(more)
     return out if out is not None else docs.sparkSession.createDataFrame([], MATCHES)
 
@@ -250,5 +250,5 @@ def drop_contaminated(
             for batch in batches:
                 yield batch.filter(pa.array([not index.search(normal(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = in_arrow(docs, clean, docs.schema)
     return docs

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocktape.llm.common import fresh
+from blocktape.llm.common import fresh, in_arrow
 
 WINDOW = 256  # bytes of a window
 WIDTHS = (2, 3, 4)
@@ -190,4 +190,4 @@ def predict_languages(docs: DataFrame, model: ByteNetwork) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(predicted, SCHEMA)
+    return in_arrow(rows, predicted, SCHEMA)

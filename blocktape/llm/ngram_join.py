@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocktape.llm.common import bit_of, bitmaps, fresh, keep_marked, written
+from blocktape.llm.common import bit_of, bitmaps, fresh, in_arrow, keep_marked, written
 from blocktape.llm.components import connected_components
 from blocktape.llm.exact_dedup import bits_for
 
@@ -109,7 +109,7 @@ def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
 
     kind = "chunk int, places binary, counts binary"
     out = np.zeros((chunks, CHUNK), np.uint32)
-    for row in docs.select("text").mapInArrow(count, kind).repartition(16, "chunk").mapInArrow(add, kind).collect():
+    for row in in_arrow(docs.select("text"), count, kind).repartition(16, "chunk").mapInArrow(add, kind).collect():
         out[row.chunk] = np.frombuffer(bytes(row.counts), np.uint32)
     return out.reshape(-1)
 
@@ -135,7 +135,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                 names=["doc_id", "n", "set_sig", "prefix_sig", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, set_sig binary, prefix_sig binary, prefix array<long>")
+    return in_arrow(docs.select("doc_id", "text"), cut, "doc_id long, n long, set_sig binary, prefix_sig binary, prefix array<long>")
 
 
 def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 keep.append(100 * same >= percent * (len(union) - same))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
+    return in_arrow(both.select("a", "b", "ta", "tb"), test, "a long, b long")
 
 
 def size_fits(x: str, y: str, percent: int) -> Column:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocktape.llm.common import fresh
+from blocktape.llm.common import fresh, in_arrow
 from blocktape.llm.token_counts import SPLIT, byte_letters, words_of
 
 OPEN_BINS = 32  # bins that a task holds open
@@ -218,7 +218,7 @@ def pack_documents(
         packer.finish(cut=True)
         yield told()
 
-    return rows.mapInArrow(packed, PIECES)
+    return in_arrow(rows, packed, PIECES)
 
 
 def pack_examples(examples: DataFrame, limits: Limits, id_col: str, tokens_col: str, loss_col: str) -> DataFrame:
@@ -258,4 +258,4 @@ def pack_examples(examples: DataFrame, limits: Limits, id_col: str, tokens_col:
         packer.finish(cut=False)
         yield told()
 
-    return rows.mapInArrow(packed, ", ".join(f"`{n}` long" for n in names))
+    return in_arrow(rows, packed, ", ".join(f"`{n}` long" for n in names))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocktape.llm.common import fresh
+from blocktape.llm.common import fresh, in_arrow
 
 KINDS = ("assign", "access", "hex", "pem", "der", "sshkey", "token")
 ASSIGN = re.compile(
@@ -248,4 +248,4 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    return rows.mapInArrow(scan, SCHEMA)
+    return in_arrow(rows, scan, SCHEMA)

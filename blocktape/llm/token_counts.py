@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocktape.llm.common import fresh
+from blocktape.llm.common import fresh, in_arrow
 
 #: Fixed value: how the byte-level vocabulary's library splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -171,4 +171,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return rows.mapInArrow(counted, SCHEMA)
+    return in_arrow(rows, counted, SCHEMA)
