@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 Q96 = float(1 << 96)
 
 #: Accepted spellings of a swap's direction.
-X_TO_Y = ("x_to_y", "x2y", "x->y", "0to1", "token0_to_token1", "0->1", "swap_x2y")
-Y_TO_X = ("y_to_x", "y2x", "y->x", "1to0", "token1_to_token0", "1->0", "swap_y2x")
+X_TO_Y = ("x->y", "x_to_y", "x2y", "0->1", "0to1", "0-1", "01")
+Y_TO_X = ("y->x", "y_to_x", "y2x", "1->0", "1to0", "1-0", "10")
 
 
 def finite(c: Column) -> Column:
@@ -47,11 +47,6 @@ def to_unix(c: Column) -> Column:
     return F.when(text.rlike(r"^\d+$"), text.try_cast("long")).otherwise(F.unix_timestamp(F.try_to_timestamp(text)))
 
 
-def address(c: Column) -> Column:
-    """Canonical lower-case form; equality is that of any mixed-case form."""
-    return F.lower(F.trim(c))
-
-
 def raw_units(c: Column, decimals: int) -> Column:
     """Decimal text times 10^decimals as an integer, cut towards zero; NULL if it is no number or too large."""
     exact = F.trim(c.cast("string")).try_cast("decimal(38,18)")
@@ -119,6 +114,12 @@ def fee_bps(value: float | None) -> float:
     return value * 10_000 if value < 1 else float(value)
 
 
+def fee_column(c: Column) -> Column:
+    """The same for a column; refused fees are NULL."""
+    fee = F.coalesce(c.cast("double"), F.lit(5.0))
+    return F.when((fee >= 0) & (fee < float("inf")), F.when(fee < 1, fee * 10_000).otherwise(fee))
+
+
 def is_missing_text(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c)).isin("", "none", "nan")
 
@@ -128,10 +129,18 @@ def is_missing_number(c: Column) -> Column:
     return number.isNull() | (number == 0)
 
 
-def hash_bundle(*parts: Column) -> Column:
-    """One array of the given strings and arrays of strings, in order and without NULLs."""
-    return F.array_compact(F.concat(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts)))
+def or_default(df: DataFrame, names: tuple[str, ...], default) -> Column:
+    """The first of the columns that df has, else the default."""
+    return next((F.col(n) for n in names if n in df.columns), F.lit(default))
 
 
-def or_default(df: DataFrame, name: str, default) -> Column:
-    return F.col(name) if name in df.columns else F.lit(default)
+def general(c: Column, digits: int = 6) -> Column:
+    """A double as text of so many significant digits without trailing zeros, as C's %g; NULL if it is missing."""
+    told = F.format_string(f"%.{digits - 1}e", c)
+    power = F.substring_index(told, "e", -1).cast("int")
+    bare = lambda x: F.when(x.contains("."), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x)
+    fixed = F.lit(None).cast("string")
+    for n in range(-4, digits):
+        fixed = F.when(power == n, bare(F.format_string(f"%.{digits - 1 - n}f", c))).otherwise(fixed)
+    wide = F.concat(bare(F.substring_index(told, "e", 1)), F.lit("e"), F.substring_index(told, "e", -1))
+    return F.when(c == 0, "0").when(finite(c).isNotNull(), F.when((power >= -4) & (power < digits), fixed).otherwise(wide))

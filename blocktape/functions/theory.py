@@ -109,8 +109,9 @@ def theta(eps: Column, alpha: Column, sigma: Column, r: float, clip: bool = True
     return F.greatest(value, F.lit(0.0)) if clip else value
 
 
-def mixed_profit(eps: Column, alpha: Column, sigma: Column, r: float, clip: bool = True) -> Column:
-    th = theta(eps, alpha, sigma, r, clip)
+def mixed_profit(eps: Column, alpha: Column, sigma: Column, r: float, clip: bool = True, th: Column | None = None) -> Column:
+    """Profit of the bundle; ``th`` is its theta where that is a column already."""
+    th = theta(eps, alpha, sigma, r, clip) if th is None else th
     t = (1.0 + r * eps) * (1.0 + alpha) + r * sigma
     den = (1.0 + alpha) * ((1.0 + alpha) + t * r * th)
     return F.when(den != 0, t * t * r * th / den).otherwise(0.0) - eps + alpha * sigma / (1.0 + alpha)

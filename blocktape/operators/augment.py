@@ -42,14 +42,11 @@ def backrun_metrics(df: DataFrame, fee: float | None = None) -> DataFrame:
     x2y = F.col("victim_dir") == "x2y"
     out = sizes(df, r, x2y)
     base = F.when(x2y, F.col("x0")).otherwise(F.col("y0"))
-    back_x2y = _true((F.col("back_a0") > 0) & (F.col("back_a1") < 0))
-    d0 = -F.col("back_a0")
-    d1 = -F.col("back_a1")
     impact = safe_div(F.col("p_victim_post"), F.col("p_victim_pre")) - 1.0
     out = out.withColumns({
         "fee_fraction": F.lit(f), "r": F.lit(r), "i_measured": impact, "sigma_min_backrun": F.lit(T.backrun_threshold(r)),
         "br_pi_star_token0": in_token0(T.backrun_best(base, r, F.col("sigma_gross")), x2y),
-        "profit_obs_token0": F.when(back_x2y, d0 + safe_div(d1, F.col("p0"))).otherwise(d0 + safe_div(d1, F.col("p0"))),
+        "profit_obs_token0": -F.col("back_a0") + safe_div(-F.col("back_a1"), F.col("p0")),
         "viable_sigma": _true(F.col("sigma_gross") >= T.backrun_threshold(r)),
         "reverted": _true(F.when(x2y, F.col("p_back_post") > F.col("p_victim_post")).otherwise(F.col("p_back_post") < F.col("p_victim_post"))),
         "near_target": _true(F.abs(F.col("p_back_post") - r * F.col("p0")) <= NEAR_TARGET * F.abs(F.col("p0"))),

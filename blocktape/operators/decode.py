@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blocktape.functions.scalars import is_missing_text, is_swap
+
 #: Selectors of the router functions that are understood.
 SELECTORS = {
     "exactInputSingle": "414bf389",
@@ -24,10 +26,13 @@ SELECTORS = {
     "execute": "24856bc3",
     "execute_deadline": "3593564c",
 }
+#: Addresses of the routers whose direct calls are understood, and of the one that runs commands.
+ROUTERS = ("0xe592427a0aece92de3edee1f18e0157c05861564", "0x68b3465833fb72a70ecdf485e0e4c7bd8665fc45")
+COMMAND_ROUTER = "0xef1c6e67703c7bd7107eed8303fbe6ec2554bf6b"
 NAMES = {code: name for name, code in SELECTORS.items()}
 GUARD = T.StructType([
     *(T.StructField(n, T.StringType()) for n in ("kind", "token_in", "token_out")), T.StructField("fee", T.IntegerType()),
-    *(T.StructField(n, T.DoubleType()) for n in ("amount_in", "amount_out", "limit")),
+    *(T.StructField(n, T.StringType()) for n in ("amount_in", "amount_out", "limit")),  # whole numbers of up to 256 bits
     T.StructField("path", T.ArrayType(T.StringType())), T.StructField("fees", T.ArrayType(T.IntegerType())),
 ])
 
@@ -81,8 +86,8 @@ def route(path: bytes) -> tuple[list[str], list[int]]:
 
 def guard(kind: str, exact_in: bool, ends: tuple[str | None, str | None], fee: int | None, amount: int, limit: int, path: bytes | None = None) -> dict:
     tokens, fees = route(path) if path is not None else (None, None)
-    given = {"amount_in": float(amount), "amount_out": None} if exact_in else {"amount_in": None, "amount_out": float(amount)}
-    return {"kind": kind, "token_in": ends[0], "token_out": ends[1], "fee": fee, "limit": float(limit), "path": tokens, "fees": fees} | given
+    given = {"amount_in": str(amount), "amount_out": None} if exact_in else {"amount_in": None, "amount_out": str(amount)}
+    return {"kind": kind, "token_in": ends[0], "token_out": ends[1], "fee": fee, "limit": str(limit), "path": tokens, "fees": fees} | given
 
 
 def direct_call(data: bytes) -> dict | None:
@@ -117,44 +122,56 @@ def command_call(data: bytes) -> dict | None:
     return None
 
 
-def any_call(data: bytes) -> dict | None:
+def router_call(data: bytes) -> dict | None:
     name = NAMES.get(data[:4].hex())
     if name in ("multicall", "multicall_deadline"):
         calls = byte_strings(data[4:], 0 if name == "multicall" else 32)
         return next((g for c in calls if (g := attempt(direct_call, c))), None)
-    return command_call(data) if name in ("execute", "execute_deadline") else direct_call(data)
+    return direct_call(data)
 
 
-def calldata_guard(text: str | None) -> dict | None:
-    """Guard in a transaction's hexadecimal calldata; None where there is no supported call or the data is cut short."""
+def calldata_guard(text: str | None, to: str | None) -> dict | None:
+    """Guard in a transaction's hexadecimal calldata to a known router; None where there is no supported call or the data is cut short."""
+    to = (to or "").strip().lower()
     try:
-        return attempt(any_call, bytes.fromhex((text or "").strip().lower().removeprefix("0x")))
+        data = bytes.fromhex((text or "").strip().lower().removeprefix("0x"))
     except ValueError:
         return None
+    if to == COMMAND_ROUTER and NAMES.get(data[:4].hex()) in ("execute", "execute_deadline"):
+        return attempt(command_call, data)
+    return attempt(router_call, data) if to in ROUTERS else None
 
 
 @F.pandas_udf(GUARD)
-def swap_guard(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [calldata_guard(x) or {} for x in batch]
+def swap_guard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for inputs, receivers in batches:
+        found = [calldata_guard(x, to) or {} for x, to in zip(inputs, receivers, strict=True)]
         yield pd.DataFrame({n: pd.Series([g.get(n) for g in found], dtype=object) for n in GUARD.names})
 
 
 def tolerance_bps(guard: Column, expected: Column) -> Column:
     """Slippage that the limit allows against the expected amount, in basis points; NULL without a positive one."""
-    used = F.when(guard["amount_in"].isNotNull(), (1.0 - guard["limit"] / expected) * 1e4).otherwise((guard["limit"] / expected - 1.0) * 1e4)
+    limit = guard["limit"].cast("double")
+    used = F.when(guard["amount_in"].isNotNull(), (1.0 - limit / expected) * 1e4).otherwise((limit / expected - 1.0) * 1e4)
     return F.when((expected > 0) & guard["kind"].isNotNull(), used)
 
 
+def worklist(events: DataFrame) -> DataFrame:
+    """(tx_hash) of the swaps, each once in lower case: the transactions to look up."""
+    swaps = events.filter(is_swap(F.lower("kind"), F.col("amount0"), F.col("amount1")) & ~is_missing_text(F.col("tx_hash")))
+    return swaps.select(F.lower(F.trim("tx_hash")).alias("tx_hash")).distinct()
+
+
 def slippage(transactions: DataFrame, quotes: DataFrame) -> DataFrame:
     """One row per distinct transaction: guard fields, expected amount, tolerance, and why there is none.
 
-    ``transactions``: tx_hash, input; ``quotes``: tx_hash, expected.  The ends of a path, as it is encoded,
+    ``transactions``: tx_hash, to, input; ``quotes``: tx_hash, expected.  The ends of a path, as it is encoded,
     outrank the named tokens; so an exact output by path shows the token got first.
     """
     tx = F.lower(F.trim("tx_hash"))
     key = F.when(tx.startswith("0x"), tx).otherwise(F.concat(F.lit("0x"), tx))
-    rows = transactions.select(key.alias("tx_hash"), "input").groupBy("tx_hash").agg(F.min("input").alias("input")).withColumn("g", swap_guard(F.col("input")))
+    rows = transactions.select(key.alias("tx_hash"), "to", "input").groupBy("tx_hash").agg(F.min("input").alias("input"), F.min_by("to", "input").alias("to"))
+    rows = rows.withColumn("g", swap_guard(F.col("input"), F.col("to")))
     asked = quotes.select(F.lower("tx_hash").alias("tx_hash"), F.col("expected").cast("double").alias("expected")).groupBy("tx_hash").agg(F.max("expected").alias("expected"))
     out = rows.join(asked, "tx_hash", "left").withColumn("tolerance_bps", tolerance_bps(F.col("g"), F.col("expected")))
     error = F.when(F.col("input").isNull(), "no transaction").when(F.col("g.kind").isNull(), "no supported call").when(F.col("expected").isNull(), "no quote").when(F.col("expected") <= 0, "bad quote")

@@ -120,15 +120,14 @@ def jit_cycles(events: DataFrame, frame: DataFrame | None = None) -> DataFrame:
     return with_victims(found, events)
 
 
-def sandwiches(events: DataFrame, min_victims: int = 1, frame: DataFrame | None = None) -> DataFrame:
-    """Classical and just-in-time sandwiches, left to right without overlap.
+def sandwich_hits(frame: DataFrame, min_victims: int = 1) -> DataFrame:
+    """Rows of the block frame that end a sandwich, with ``front`` and ``is_jit``, left to right without overlap.
 
     Candidates can only touch where one's back swap is the next one's front; of such a chain every other
     one is kept, from the first.
     """
     if min_victims < 1:
         raise ValueError("min_victims must be at least 1")
-    f = block_frame(events) if frame is None else frame
     one, two, three = (F.col(f"own{k}") for k in (1, 2, 3))
     ends = F.col("is_swap") & F.col("dir").isNotNull()
     classical = (
@@ -141,11 +140,17 @@ def sandwiches(events: DataFrame, min_victims: int = 1, frame: DataFrame | None
         & (two["dir_next"] == three["front_dir"]) & (two["run_next"] == one["run_prev"])
     )
     front = F.when(F.col("is_jit"), three).otherwise(one)
-    hit = f.withColumn("is_jit", F.coalesce(jit, F.lit(False))).filter(F.col("is_jit") | classical).withColumn("front", front).withColumn("start", F.col("front.pos"))
+    hit = frame.withColumn("is_jit", F.coalesce(jit, F.lit(False))).filter(F.col("is_jit") | classical).withColumn("front", front).withColumn("start", F.col("front.pos"))
     by_end = Window.partitionBy(*BLOCK).orderBy("pos")
     hit = hit.withColumn("_head", F.coalesce(F.col("start") != F.lag("pos").over(by_end), F.lit(True)).cast("int"))
     hit = hit.withColumn("_chain", F.sum("_head").over(by_end.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = hit.withColumn("_nth", F.row_number().over(Window.partitionBy(*BLOCK, "_chain").orderBy("pos"))).filter("_nth % 2 = 1")
+    return hit.withColumn("_nth", F.row_number().over(Window.partitionBy(*BLOCK, "_chain").orderBy("pos"))).filter("_nth % 2 = 1")
+
+
+def sandwiches(events: DataFrame, min_victims: int = 1, frame: DataFrame | None = None) -> DataFrame:
+    """Classical and just-in-time sandwiches with their victims' sums and lists."""
+    hit = sandwich_hits(block_frame(events) if frame is None else frame, min_victims)
+    one, two, three = (F.col(f"own{k}") for k in (1, 2, 3))
     fr, j, me = F.col("front"), F.col("is_jit"), F.struct("gas_used", "gas_price")
     only = lambda c: F.when(j, c)
     gas, gas_jit = _gas([fr], [me]), _gas([fr, two], [one, me])
@@ -164,6 +169,11 @@ def sandwiches(events: DataFrame, min_victims: int = 1, frame: DataFrame | None
     return with_victims(found, events)
 
 
+def sandwich_ends(frame: DataFrame) -> DataFrame:
+    """(back_tx) of all sandwiches: no victim is looked up for it."""
+    return sandwich_hits(frame).select(F.col("tx_hash").alias("back_tx"))
+
+
 def without_sandwich_ends(backruns: DataFrame, sandwich: DataFrame) -> DataFrame:
     """Back-runs whose back transaction ends no sandwich; a NULL transaction matches none."""
     return backruns.join(sandwich.select("back_tx").filter("back_tx is not null").distinct(), "back_tx", "left_anti")

@@ -8,8 +8,10 @@ a bucket's first swap is added once the carried tick is known.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blocktape.functions.scalars import virtual_x, virtual_y
 
@@ -34,10 +36,6 @@ def last_key(state: DataFrame) -> DataFrame:
     return state.groupBy("pool").agg(F.max_by(F.struct(*ORDER, *kept), F.struct(*ORDER)).alias("k")).select("pool", "k.*")
 
 
-def pool_bucket() -> list[str | Column]:
-    return [F.col("pool"), F.floor(F.col("block_number") / BUCKET_BLOCKS).alias("_bucket")]
-
-
 def require_liquidity(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sound, rejected): a swap without its liquidity cannot be carried on from."""
     bad = (F.col("kind") == "swap") & F.col("liquidity_after").isNull()
@@ -91,3 +89,22 @@ def running_state(events: DataFrame, snapshots: DataFrame, bucket_blocks: int =
         l, s = F.col(f"l_{side}"), F.col(f"sqrt_{side}")
         e = e.withColumns({f"x_{side}": virtual_x(l, s), f"y_{side}": virtual_y(l, s)})
     return e.drop("_bucket", "_seg", "_l", "_s", "_t", "_own", "_from", "c_l", "c_s", "c_t", "_before")
+
+
+@F.pandas_udf(T.StructType([T.StructField("x", T.StringType()), T.StructField("y", T.StringType())]))
+def _exact_reserves(liquidity: pd.Series, sqrt_q96: pd.Series) -> pd.DataFrame:
+    def pair(l: str | None, s: str | None) -> tuple[str | None, str | None]:
+        if l is None or s is None or int(s) == 0:
+            return None, None
+        return str((int(l) << 96) // int(s)), str((int(l) * int(s)) >> 96)
+
+    return pd.DataFrame([pair(l, s) for l, s in zip(liquidity, sqrt_q96, strict=True)], columns=["x", "y"], dtype=object)
+
+
+def exact_reserves(liquidity: Column, sqrt_q96: Column) -> Column:
+    """struct(x, y): virtual reserves cut to whole units, from whole numbers of any length as decimal text, and as such.
+
+    The products have up to 288 bits, which no column type holds, so a small function takes Arrow batches.
+    NULL where either is missing or the price is 0.
+    """
+    return _exact_reserves(liquidity.cast("string"), sqrt_q96.cast("string"))

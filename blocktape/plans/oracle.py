@@ -233,7 +233,9 @@ SELECT pool, block_number, log_index, kind, tx_hash, origin, kind = 'swap' OR di
        CASE dir WHEN 'x2y' THEN 'x_to_y' WHEN 'y2x' THEN 'y_to_x' END AS dir_label,
        CASE WHEN coalesce(dir, CASE WHEN amount0 > 0 THEN 'x2y' ELSE 'y2x' END) = 'x2y' THEN 'y2x' ELSE 'x2y' END AS back_dir FROM e""")
 ORACLE["scalar_normalizers"] = """
-SELECT event_id, CASE event_id % 5 WHEN 0 THEN value::DECIMAL(18,2)::DOUBLE WHEN 1 THEN NULL WHEN 2 THEN event_id WHEN 3 THEN NULL ELSE event_id END::DOUBLE AS as_number,
+SELECT event_id, CASE WHEN event_id % 15 < 7 THEN 'x_to_y' WHEN event_id % 15 < 14 THEN 'y_to_x' END AS dir_label,
+       CASE event_id % 5 WHEN 0 THEN 5.0 WHEN 1 THEN 0.003::DOUBLE * 10000 ELSE event_id % 5 END::DOUBLE AS fee_in_bps,
+       CASE WHEN event_id % 5 <> 3 THEN printf('%.6g', value / pow(10.0::DOUBLE, event_id % 12)) END AS as_text, CASE event_id % 5 WHEN 0 THEN value::DECIMAL(18,2)::DOUBLE WHEN 1 THEN NULL WHEN 2 THEN event_id WHEN 3 THEN NULL ELSE event_id END::DOUBLE AS as_number,
        CASE event_id % 5 WHEN 0 THEN value::DECIMAL(18,2)::DOUBLE WHEN 4 THEN event_id END::DOUBLE AS as_float,
        CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 4 THEN false END AS as_bool, floor(epoch(ts))::BIGINT AS as_unix,
        (value::DECIMAL(18,2) * CASE WHEN event_id % 5 = 1 THEN -1000000 ELSE 1000000 END)::BIGINT AS as_units, (value::DECIMAL(18,2) * 100)::BIGINT % 10 = 0 AS exact_at_1
@@ -259,6 +261,10 @@ ORACLE["backrun_metrics"] = with_(*CB, recursive=True, body=f"SELECT {KEY}, viab
 ORACLE["backrun_labels"] = with_(*CB, recursive=True, body="SELECT pool, reverse_label, count(*) AS n, count(DISTINCT arb_origin) AS n_origins FROM bm GROUP BY ALL")
 ORACLE["reverse_backrun_summary"] = with_(T_, E_, B_, back_metrics("back"), body=f"""
 SELECT reverse_label, count(*) AS n, {rd("sigma_mean", 12, "avg(sigma_gross)")}, {rd("profit_p50", 12, "quantile_cont(profit_obs_per_x0, 0.5)")} FROM bm GROUP BY reverse_label""")
+TIERS = (("missing", 5 / 10_000.0), ("fraction", 0.003 * 10_000 / 10_000.0), ("points", 30 / 10_000.0), ("hundred", 100 / 10_000.0))
+ORACLE["backrun_fee_tiers"] = with_(T_, E_, B_, sizes_sql("back", "bz", "victim_dir = 'x2y'"), body=" UNION ALL ".join(
+    f"SELECT '{name}' AS fee, {lit(fee)} AS fee_fraction, count(*) FILTER (sigma_gross >= {lit(backrun_threshold(1 - fee))}) AS n_viable,"
+    f" {rd('mmax_sum', 3, f'sum(CASE WHEN xy THEN {lit(fee)} * s_net_token0 ELSE {lit(fee)} * (s_net_token1 / p0) END)')} FROM bz" for name, fee in TIERS))
 ORACLE["jit_metrics"] = with_(T_, E_, J_, JIT_METRICS, body=f"""
 SELECT {KEY}, victim_dir, {rds(SIZES | {"profit_fee_token0": 8, "profit_il_token0": 4, "profit_total_token0": 4, "profit_total_per_x0": 12})} FROM jt""")
 SAND_DIGITS = {"profit_token0_base": 4, "jit_fee_token0": 8, "lp_token_delta_token0": 4, "profit_token0": 4, "profit_per_x0": 12, "eps_gross": 13, "eps_net": 13, "i_measured": 11}
@@ -288,6 +294,9 @@ SELECT pool, block_number, log_index, kind, affects_active, delta_l_applied::BIG
        tick_before::INT AS tick_before, tick::INT AS tick_after, {rd("sqrt_after", 12, f"sq / {Q96}")}, {rd("x_before", 2, f"l_before::DOUBLE / (sq_before / {Q96})")},
        {rd("y_after", 2, f"l_after::DOUBLE * (sq / {Q96})")} FROM s5""")
 ORACLE["stream_running_state"] = ORACLE["running_state"]
+ORACLE["stream_counters"] = with_(T_, body="SELECT kind, count(*) AS n_events, min(block_number) AS first_block, max(block_number) AS last_block FROM tape GROUP BY kind")
+ORACLE["closed_block_backruns"] = with_(T_, E_, B_, body=f"""
+SELECT {KEY}, back_tx FROM back JOIN (SELECT pool AS p, max(block_number) AS last FROM tape GROUP BY pool) ON p = pool WHERE block_number < last""")
 ORACLE["resume_dedup"] = with_(T_, body="""
 , k AS (SELECT * FROM tape WHERE block_number > 236800 OR (block_number = 236800 AND log_index > 3))
 SELECT pool, max(block_number) AS block_number, arg_max(log_index, block_number * 100000 + log_index) AS log_index, count(*) AS n_events FROM k GROUP BY pool""".replace("\n, k", ", k", 1))
@@ -304,6 +313,16 @@ SELECT pool, block_number, l_after, round(sqrt_before / {Q96}, 12) AS sqrt_p FRO
 ORACLE["time_window_scan"] = with_(T_, body=f"""
 SELECT ts_unix, block_number, log_index, pool, kind, tx_hash, {rd("amount", 1, "CASE WHEN kind = 'burn' THEN -abs(amount) ELSE amount END")}
 FROM tape WHERE ts_unix BETWEEN 1704400000 AND 1705400000 AND event_id > 100""")
+ORACLE["raw_entities"] = with_(T_, body=f"""
+SELECT block_number, log_index, ts_unix, tx_hash, CASE kind WHEN 'swap' THEN 'Swap' WHEN 'mint' THEN 'Mint' ELSE 'Burn' END AS kind, origin, CASE WHEN kind <> 'burn' THEN 's' END AS sender,
+       CASE WHEN kind <> 'swap' THEN 'w' END AS owner, CASE WHEN kind = 'swap' THEN 'r' END AS recipient, CASE WHEN kind = 'swap' THEN q::VARCHAR END AS sqrt_event,
+       CASE WHEN kind = 'swap' THEN q % 40 - 20 END::INT AS tick_event, CASE WHEN kind <> 'swap' THEN -10 END::INT AS tick_lower, CASE WHEN kind <> 'swap' THEN 10 END::INT AS tick_upper,
+       CASE kind WHEN 'mint' THEN q * 7 WHEN 'burn' THEN -q * 7 END::BIGINT AS liquidity_delta, {rd("amount0", 5)}, {rd("amount1", 5)} FROM tape""")
+ORACLE["log_files"] = with_(T_, body=" UNION ALL ".join(
+    f"SELECT {n}::INT AS file, kind, count(*) AS n, {'count(CASE WHEN kind <> $$mint$$ THEN amount1 END)' if n == 2 else 'count(amount1)'} AS n_amount1, {rd('net0', 2, 'sum(amount0)')} FROM tape GROUP BY kind" for n in range(3)))
+ORACLE["tidy_files"] = with_(T_, E_, J_, body="""
+SELECT pool, count(*) AS n, 0::INT AS run, sum(n_victims)::BIGINT AS victims, 2 * count(*) AS n_saved, 2::BIGINT AS n_fees FROM jit GROUP BY pool""")
+ORACLE["first_events"] = with_(T_, body="SELECT ts_unix, block_number, log_index, pool, kind FROM tape ORDER BY ts_unix, block_number, log_index, pool LIMIT 100")
 ORACLE["batch_ranges"] = with_(T_, body="SELECT pool, kind, min(block_number) AS first_block, max(block_number) AS last_block, count(*) AS n_events FROM tape GROUP BY ALL")
 
 GAPS_SQL = """
@@ -320,30 +339,35 @@ ORACLE["enrichment_worklist"] = with_(T_, body="SELECT tx_hash FROM tape WHERE e
 ORACLE["fill_rates"] = with_(T_, body="""
 SELECT 'origin' AS attribute, count(*) AS total, count(*) FILTER (event_id % 5 = 4) AS filled, count(*) FILTER (event_id % 5 <> 4) AS missing FROM tape
 UNION ALL SELECT 'gas', count(*), count(*) FILTER (event_id % 4 = 3), count(*) FILTER (event_id % 4 <> 3) FROM tape""")
+ORACLE["exact_reserves"] = with_(T_, body="""
+, z AS (SELECT *, (event_id % 90000 + 1)::HUGEINT * 18446744073709551616 + q::HUGEINT * 1000003 AS l, (event_id % 1000)::HUGEINT AS m, (1::HUGEINT << (event_id % 21)::INT) AS p FROM tape WHERE kind = 'swap' AND event_id % 13 <> 0)
+SELECT pool, block_number, log_index, CASE WHEN m > 0 THEN ((l * p) // m)::VARCHAR END AS x, CASE WHEN m > 0 THEN ((l * m) // p)::VARCHAR END AS y FROM z""".replace("\n, z AS", ", z AS", 1))
+ORACLE["slippage_worklist"] = with_(T_, body="SELECT DISTINCT lower(tx_hash) AS tx_hash FROM tape WHERE kind = 'swap' AND event_id % 50 <> 0")
 ORACLE["swap_log_decode"] = with_(T_, body="""
 SELECT pool, block_number, log_index, CASE WHEN event_id % 13 <> 0 THEN ((event_id % 90000 + 1)::HUGEINT * 18446744073709551616 + q::HUGEINT * 1000003)::VARCHAR END AS liquidity,
        CASE WHEN event_id % 13 <> 0 THEN (q % 40 - 20)::INT END AS tick FROM tape WHERE kind = 'swap'""")
 ORACLE["liquidity_refill"] = with_(T_, body="""
 SELECT pool, block_number, log_index, CASE WHEN kind = 'swap' THEN CASE WHEN log_index % 2 = 0 THEN (1000000000 + 1000 * (event_id % 7))::VARCHAR
-       WHEN block_number BETWEEN 236700 AND 237000 AND event_id % 13 <> 0 THEN ((event_id % 90000 + 1)::HUGEINT * 18446744073709551616 + q::HUGEINT * 1000003)::VARCHAR END END AS liquidity_after FROM tape""")
+       WHEN event_id % 13 <> 0 THEN ((event_id % 90000 + 1)::HUGEINT * 18446744073709551616 + q::HUGEINT * 1000003)::VARCHAR END END AS liquidity_after FROM tape""")
 TOKEN = "'0x' || repeat('aa', 19) || lpad(lower(hex((event_id + {n}) % 200)), 2, '0')"
 ORACLE["path_decode"] = with_(T_, body=f"""
 SELECT event_id, tx_hash, CASE WHEN event_id % 5 <> 0 THEN concat_ws(',', {", ".join(TOKEN.format(n=n) for n in (1, 2, 3))}) END AS tokens,
        CASE WHEN event_id % 5 <> 0 THEN '500,3000' END AS fees FROM tape WHERE kind = 'swap'""")
 ORACLE["slippage_tolerance"] = with_(T_, body=f"""
-, n AS (SELECT *, event_id % 8 AS k, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 9 = 0 THEN 0 ELSE q + 3 END::DOUBLE AS expected FROM tape WHERE kind = 'swap')
+, n AS (SELECT *, CASE WHEN event_id % 10 >= 8 THEN 7 ELSE event_id % 8 END AS k, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 9 = 0 THEN 0 ELSE q + 3 END::DOUBLE AS expected FROM tape WHERE kind = 'swap')
 SELECT '0x' || tx_hash AS tx_hash, CASE k WHEN 0 THEN 'exactInputSingle' WHEN 1 THEN 'exactOutputSingle' WHEN 2 THEN 'exactInput' WHEN 3 THEN 'exactOutput' WHEN 4 THEN 'exactOutputSingle'
          WHEN 5 THEN 'universalExactIn' WHEN 6 THEN 'universalExactOut' END AS kind,
        CASE WHEN k < 7 THEN {TOKEN.format(n=1)} END AS token_in, CASE WHEN k IN (0, 1, 4) THEN {TOKEN.format(n=2)} WHEN k < 7 THEN {TOKEN.format(n=3)} END AS token_out,
-       CASE WHEN k IN (0, 1, 4) THEN 500 END AS fee, CASE WHEN k IN (0, 2, 5) THEN q::DOUBLE END AS amount_in, CASE WHEN k IN (1, 3, 4, 6) THEN q::DOUBLE END AS amount_out,
-       CASE WHEN k < 7 THEN (q - 1)::DOUBLE END AS "limit", CASE WHEN k IN (2, 3, 5, 6) THEN '500,3000' END AS fees, expected,
+       CASE WHEN k IN (0, 1, 4) THEN 500 END AS fee, CASE WHEN k IN (0, 2, 5) THEN q::VARCHAR END AS amount_in, CASE WHEN k IN (1, 3, 4, 6) THEN q::VARCHAR END AS amount_out,
+       CASE WHEN k < 7 THEN (q - 1)::VARCHAR END AS "limit", CASE WHEN k IN (2, 3, 5, 6) THEN '500,3000' END AS fees, expected,
        {rd("tolerance_bps", 8, "CASE WHEN expected > 0 AND k IN (0, 2, 5) THEN (1.0 - (q - 1)::DOUBLE / expected) * 1e4 WHEN expected > 0 AND k < 7 THEN ((q - 1)::DOUBLE / expected - 1.0) * 1e4 END")},
        CASE WHEN k = 7 THEN 'no supported call' WHEN expected IS NULL THEN 'no quote' WHEN expected <= 0 THEN 'bad quote' END AS error FROM n""".replace("\n, n AS", ", n AS", 1))
 
-ALL = (T_, E_, B_, J_, S_, CLEAN_SQL, back_metrics("clean"), JIT_METRICS, sand_metrics(8))
+ALL = (T_, E_, B_, J_, S_, CLEAN_SQL, back_metrics("clean"), JIT_METRICS, sand_metrics(128))
 
 
-def stats(source: str, name: str, sigma: str, profit: str, origin: str, pattern: str, flags: bool) -> str:
+def stats(source: str, name: str, sigma: str, profit: str, origin: str, pattern: str, flags: bool, whole: bool = False) -> str:
+    rd = (lambda n, _, x: f"{x} AS {n}") if whole else globals()["rd"]
     q = lambda c, v: f"quantile_cont({c}, {v})"
     cols = [f"'{name}' AS dataset", "count(*) AS n_rows", f"count(DISTINCT nullif(trim({origin}), '')) AS n_unique_origins", f"count(DISTINCT {pattern}) AS n_patterns"]
     for n, c in (("sigma", sigma), ("profit", profit)):
@@ -353,12 +377,19 @@ def stats(source: str, name: str, sigma: str, profit: str, origin: str, pattern:
     return f"SELECT {', '.join(cols)} FROM {source}"
 
 
-SUMMARY = " UNION ALL ".join([
-    stats("(SELECT *, 'Pure JIT' AS pt FROM jt)", "jit", "sigma_gross", "profit_total_per_x0", "origin", "pt", False),
-    stats("sw", "sandwich", "sigma_gross", "profit_per_x0", "origin", "pattern_type", False),
-    stats("bm", "backrun", "sigma_gross", "profit_obs_per_x0", "arb_origin", "reverse_label", True),
-])
-ORACLE["summary_metrics"] = with_(*ALL, recursive=True, body=SUMMARY)
+def summary_sql(whole: bool) -> str:
+    return " UNION ALL ".join([
+        stats("(SELECT *, 'Pure JIT' AS pt FROM jt)", "jit", "sigma_gross", "profit_total_per_x0", "origin", "pt", False, whole),
+        stats("sw", "sandwich", "sigma_gross", "profit_per_x0", "origin", "pattern_type", False, whole),
+        stats("bm", "backrun", "sigma_gross", "profit_obs_per_x0", "arb_origin", "reverse_label", True, whole),
+    ])
+
+
+ORACLE["summary_metrics"] = with_(*ALL, recursive=True, body=summary_sql(False))
+TOLD = ", ".join(f"coalesce(printf('%.6g', {c}), '')" for c in ("sigma_p50", "sigma_p90", "profit_p50", "profit_p90"))
+ORACLE["summary_lines"] = with_(*ALL, f"sm2 AS ({summary_sql(True)})", recursive=True, body=f"""
+SELECT 1::INT AS line_no, '| Dataset | Rows | Unique origins | σ p50 | σ p90 | Profit p50 | Profit p90 |' AS line UNION ALL SELECT 2, '|---|---:|---:|---:|---:|---:|---:|'
+UNION ALL SELECT CASE dataset WHEN 'jit' THEN 3 WHEN 'sandwich' THEN 4 ELSE 5 END, '| ' || concat_ws(' | ', dataset, n_rows::VARCHAR, n_unique_origins::VARCHAR, {TOLD}) || ' |' FROM sm2""")
 COUNTS = """
 cnt AS (
   SELECT 'jit' AS dataset, 'origin' AS kind, origin AS key, count(*) AS count FROM jit GROUP BY ALL
@@ -368,7 +399,8 @@ cnt AS (
   UNION ALL SELECT 'backrun', 'pattern', reverse_label, count(*) FROM bm GROUP BY ALL)
 """
 ORACLE["top_origins"] = with_(*ALL, COUNTS, recursive=True, body="""
-SELECT dataset, kind, key, count FROM (SELECT *, row_number() OVER (PARTITION BY dataset, kind ORDER BY count DESC, key) AS n FROM cnt) WHERE n <= 2""")
+SELECT dataset, kind, key, count FROM (SELECT *, row_number() OVER (PARTITION BY dataset, kind ORDER BY count DESC, key) AS n FROM cnt) WHERE n <= 25""")
+ORACLE["report_files"] = with_(*ALL, COUNTS, recursive=True, body="SELECT dataset, key, count FROM cnt WHERE kind = 'pattern'")
 ORACLE["pattern_frequencies"] = with_(*ALL, COUNTS, recursive=True, body="SELECT dataset, kind, key, count FROM cnt WHERE kind = 'pattern'")
 SERIES = """
 ser0 AS (
@@ -380,6 +412,15 @@ ser AS (SELECT * FROM ser0 WHERE sigma IS NOT NULL AND y IS NOT NULL)
 ORACLE["strategy_series"] = with_(*ALL, SERIES, recursive=True, body=f"SELECT {rds({'sigma': 13, 'y': 12})}, label, origin, under_threshold FROM ser")
 
 
+LEGS = "abs({net}abs(CASE WHEN front_dir = 'x2y' THEN back_a1 ELSE back_a0 END / 10000.0){close} - abs(CASE WHEN front_dir = 'x2y' THEN front_a1 ELSE front_a0 END / 10000.0)) <= 5.0"
+GROSS, NET = LEGS.format(net="", close=""), LEGS.format(net="(", close=f" / {r})")
+ORACLE["strategy_series_by_origin"] = with_(*ALL, recursive=True, body=f"""
+SELECT {rds({'sigma': 13, 'y': 12})}, label, origin, under_threshold FROM (
+  SELECT sigma_gross AS sigma, profit_total_per_x0 AS y, 'JIT' AS label, origin, false AS under_threshold FROM jt
+  UNION ALL SELECT sigma_gross, profit_per_x0, CASE WHEN is_jit THEN 'JIT-Sandwich' ELSE 'Classical sandwich' END, origin, abs(sigma_gross) < sigma_min_backrun FROM sw WHERE is_jit OR {GROSS}
+  UNION ALL SELECT sigma_gross, profit_obs_per_x0, 'Back-run Arbitrage', arb_origin, NOT viable_sigma FROM bm) WHERE sigma IS NOT NULL AND y IS NOT NULL""")
+
+
 def chosen(n_jit: int, n_other: int) -> str:
     return f"""
 oc AS (SELECT label = 'JIT' AS j, origin AS key, count(*) AS count FROM ser GROUP BY ALL),
@@ -395,7 +436,7 @@ ORACLE["series_summary"] = with_(*ALL, SERIES, recursive=True, body=f"""
 SELECT label, count(y) AS n, {rd("median", 12, "median(y)")}, {rd("mean", 12, "avg(y)")}, {rd("p90", 12, "quantile_cont(y, 0.9)")} FROM ser GROUP BY label""")
 ORACLE["sigma_ranges"] = with_(*ALL, SERIES, recursive=True, body=f"SELECT {rd('lowest', 12, 'min(y)')}, {rd('highest', 12, 'max(y)')}, {rd('largest_abs', 12, 'max(abs(y))')} FROM ser")
 ORACLE["self_funded_sandwiches"] = with_(T_, E_, S_, recursive=True, body=f"""
-SELECT {KEY}, pattern_type FROM sand WHERE abs(CASE WHEN front_dir = 'x2y' THEN abs(back_a1) - abs(front_a1) ELSE abs(back_a0) - abs(front_a0) END * 100.0) <= 500.0""")
+SELECT {KEY}, pattern_type, false AS div_r FROM sand WHERE {GROSS} UNION ALL SELECT {KEY}, pattern_type, true FROM sand WHERE {NET}""")
 IDENT = """
 idr AS (
   SELECT CASE front_dir WHEN 'x2y' THEN 'x_to_y' ELSE 'y_to_x' END AS victim_dir, -CASE WHEN front_dir = 'x2y' THEN front_a1 ELSE front_a0 END AS q_fr,
@@ -409,8 +450,13 @@ FIT = {
     "median_rel_error": (7, "median(CASE WHEN q_br_hat <> 0 THEN abs((q_br_obs - q_br_hat) / q_br_hat) END)"), "share_br_below_fr": (9, "avg((abs(q_br_obs) < abs(q_fr))::INT)"),
     "corr_av_gap": (7, "corr(alpha * v, abs(q_fr) - abs(q_br_obs))"), "intercept": (2, "regr_intercept(q_br_obs, q_br_hat)"), "slope": (6, "regr_slope(q_br_obs, q_br_hat)"),
 }
-ORACLE["backrun_identity_fit"] = with_(T_, E_, S_, IDENT, recursive=True, body=f"""
-SELECT victim_dir, grouping(victim_dir) = 1 AS overall, count(*) AS n, {", ".join(rd(n, d, x) for n, (d, x) in FIT.items())} FROM idn GROUP BY GROUPING SETS ((), (victim_dir))""")
+FIT_SQL = f"""
+SELECT victim_dir, grouping(victim_dir) = 1 AS overall, count(*) AS n, {", ".join(rd(n, d, x) for n, (d, x) in FIT.items())} FROM idn GROUP BY GROUPING SETS ((), (victim_dir))"""
+ORACLE["backrun_identity_fit"] = with_(T_, E_, S_, IDENT, recursive=True, body=FIT_SQL)
+IDENT_NET = IDENT.replace("back_a0 END AS q_br_obs", f"back_a0 END / {r} AS q_br_obs")
+ORACLE["backrun_identity_fit_net"] = with_(T_, E_, S_, IDENT_NET, recursive=True, body=FIT_SQL)
+ORACLE["backrun_identity_pairs"] = with_(T_, E_, S_, IDENT, recursive=True, body=f"""
+SELECT victim_dir, {rd("front_size", 8, "abs(q_fr) / 1000.0")}, {rd("back_size", 8, "abs(q_br_obs) / 1000.0")}, abs(q_br_obs) < abs(q_fr) AS below FROM idn""")
 
 SIZES_SQL = "sz1 AS (SELECT DISTINCT q, q / 1e6::DOUBLE AS sigma FROM tape WHERE kind = 'swap')"
 
@@ -436,24 +482,74 @@ ORACLE["threshold_guides"] = with_(T_, SIZES_SQL, body=" UNION ALL ".join(
     for b in (1.0, 5.0, 30.0)))
 
 
-def cube_sql(n: int) -> str:
-    """Mixed profit over sizes, eps on [0, 0.02] and alpha on [0, 1]."""
-    step = lambda high: lit(high / (n - 1))
-    return f"""
-cu AS (SELECT q AS i_sigma, sigma, e.i AS i_eps, 0.0::DOUBLE + e.i * {step(0.02)} AS eps, a.i AS i_alpha, 0.0::DOUBLE + a.i * {step(1.0)} AS alpha FROM sz1, range({n}) e(i), range({n}) a(i)),
-ct AS (
-  SELECT *, greatest(0.0::DOUBLE, {R30} / (1.0 + {R30} * eps) * (eps - alpha * sigma / ((1.0 + {R30} * eps) * (1.0 + alpha) + {R30} * sigma))) AS th,
-         (1.0 + {R30} * eps) * (1.0 + alpha) + {R30} * sigma AS t FROM cu),
-cube AS (
-  SELECT *, t * t * {R30} * th / ((1.0 + alpha) * ((1.0 + alpha) + t * {R30} * th)) - eps + alpha * sigma / (1.0 + alpha) AS profit FROM ct)"""
+ONE = "1.0::DOUBLE"
+
+
+def theta_sql(eps: str, alpha: str, rr: str) -> str:
+    d = f"({ONE} + {rr} * {eps})"
+    return f"({rr} / {d} * ({eps} - {alpha} * sigma / ({d} * ({ONE} + {alpha}) + {rr} * sigma)))"
+
+
+def mixed_sql(eps: str, alpha: str, rr: str, th: str) -> str:
+    t = f"(({ONE} + {rr} * {eps}) * ({ONE} + {alpha}) + {rr} * sigma)"
+    return f"({t} * {t} * {rr} * {th} / (({ONE} + {alpha}) * (({ONE} + {alpha}) + {t} * {rr} * {th})) - {eps} + {alpha} * sigma / ({ONE} + {alpha}))"
+
+
+def jit_sql(alpha: str, fee: str, rr: str) -> str:
+    return f"({alpha} / ({ONE} + {alpha}) * sigma * ({fee} + {rr}) - {alpha} * {rr} * sigma / ({ONE} + {alpha} + {rr} * sigma))"
+
+
+def surface_sql(eps: str, alpha: str) -> str:
+    return mixed_sql(eps, alpha, R30, f"greatest(0.0::DOUBLE, {theta_sql(eps, alpha, R30)})")
+
+
+def grid_sql(i: str, low: float, high: float, n: int) -> str:
+    return f"({lit(low)} + {i} * {lit((high - low) / (n - 1))})"
 
 
-ORACLE["profit_surface"] = with_(T_, SIZES_SQL, cube_sql(20), body=f"""
-SELECT count(*) AS cells, {rd("lowest", 10, "min(profit)")}, {rd("highest", 10, "max(profit)")}, {rd("largest_abs", 10, "max(abs(profit))")} FROM cube""")
-ORACLE["profit_contour"] = with_(T_, SIZES_SQL, cube_sql(20), body="""
+EPS, ALPHA = grid_sql("e.i", 0.001, 0.99, 100), grid_sql("a.i", 0.001, 10.0, 100)
+ORACLE["profit_surface"] = with_(T_, SIZES_SQL, body=f"""
+SELECT count(*) AS cells, {rd("lowest", 10, "min(profit)")}, {rd("highest", 10, "max(profit)")}, {rd("largest_abs", 10, "max(abs(profit))")}
+FROM (SELECT {surface_sql("eps", "alpha")} AS profit FROM (SELECT sigma, {EPS} AS eps, {ALPHA} AS alpha FROM sz1, range(100) e(i), range(100) a(i)))""")
+ORACLE["profit_contour"] = with_(T_, SIZES_SQL, body=f"""
 SELECT i_eps, count(*) AS n_cells, min(i_alpha) AS first_alpha
-FROM (SELECT *, lag(profit) OVER (PARTITION BY i_sigma, i_eps ORDER BY i_alpha) AS b FROM cube) WHERE b * profit < 0 OR (profit = 0 AND b <> 0) GROUP BY i_eps""")
-ORACLE["alpha_slope"] = with_(T_, SIZES_SQL, cube_sql(10), body=f"""
-SELECT a.i_eps, a.i_alpha, {rd("mean_slope", 8, "avg((c.profit - b.profit) / (c.alpha - b.alpha))")}
-FROM cube a JOIN cube b ON b.i_sigma = a.i_sigma AND b.i_eps = a.i_eps AND b.i_alpha = a.i_alpha - 1
-JOIN cube c ON c.i_sigma = a.i_sigma AND c.i_eps = a.i_eps AND c.i_alpha = a.i_alpha + 1 GROUP BY a.i_eps, a.i_alpha""")
+FROM (SELECT i_eps, i_alpha, {surface_sql("eps", "alpha")} AS p, {surface_sql("eps", "before")} AS b
+      FROM (SELECT sigma, e.i AS i_eps, a.i AS i_alpha, {EPS} AS eps, {ALPHA} AS alpha, {grid_sql("(a.i - 1)", 0.001, 10.0, 100)} AS before FROM sz1, range(100) e(i), range(1, 100) a(i)))
+WHERE b * p < 0 OR (p = 0 AND b <> 0) GROUP BY i_eps""")
+A400 = {n: grid_sql(f"(a.i + {n})", 0.001, 10.0, 400) for n in (-1, 1)}
+ORACLE["alpha_slope"] = with_(T_, SIZES_SQL, body=f"""
+SELECT i_eps, i_alpha, {rd("mean_slope", 8, f"avg(({surface_sql('eps', 'a1')} - {surface_sql('eps', 'a0')}) / (a1 - a0))")}
+FROM (SELECT sigma, e.i AS i_eps, a.i AS i_alpha, {grid_sql("e.i", 0.001, 0.02, 3)} AS eps, {A400[-1]} AS a0, {A400[1]} AS a1 FROM sz1, range(3) e(i), range(1, 399) a(i)) GROUP BY i_eps, i_alpha""")
+F30 = lit(0.003)
+CURVE = f"CASE WHEN {theta_sql('eps', ONE, R30)} > 0 THEN {mixed_sql('eps', ONE, R30, theta_sql('eps', ONE, R30))} ELSE {jit_sql(ONE, F30, R30)} END"
+ORACLE["mixed_curve"] = with_(T_, SIZES_SQL, body=f"""
+SELECT q, {rd("best", 10, "max(profit)")}, {rd("worst", 10, "min(profit)")}, count(*) FILTER (profit > 0) AS n_paying
+FROM (SELECT q, {CURVE} AS profit FROM (SELECT q, sigma, {grid_sql("e.i", 0.0, 1.0, 500)} AS eps FROM sz1, range(500) e(i))) GROUP BY q""")
+
+
+def optimum_sql(bps: float, n: int = 41, alpha_max: float = 10.0) -> list[str]:
+    """Common table expressions of the two grids of one fee, the second around the first one's best point; the last is named b<bps>."""
+    rl, tag = lit(1.0 - bps / 1e4), f"{bps:g}"
+    last = f"{n - 1}.0::DOUBLE"
+
+    def best(name: str, source: str) -> str:
+        points = f"SELECT q, sigma, i.i AS i, j.i AS j, a0 + (a1 - a0) * (i.i / {last}) AS a, u0 + (u1 - u0) * (j.i / {last}) AS u FROM {source}, range({n}) i(i), range({n}) j(i)"
+        capped = f"SELECT *, {cap_of('sigma', GAMMA, rl, f'({ONE} + a)')} * u AS e FROM ({points})"
+        profit = f"SELECT *, {mixed_sql('e', 'a', rl, theta_sql('e', 'a', rl))} AS p FROM ({capped}) WHERE e > 0 AND {theta_sql('e', 'a', rl)} > 1e-12::DOUBLE"
+        return f"{name} AS (SELECT q, arg_max((p, e, a, u), (p, -i, -j)) AS b FROM ({profit}) GROUP BY q)"
+
+    whole = f"w{tag} AS (SELECT q, sigma, 0.0::DOUBLE AS a0, {lit(alpha_max)} AS a1, 0.0::DOUBLE AS u0, {ONE} AS u1 FROM sz1)"
+    da, du = lit(2.0 * alpha_max / (n - 1)), lit(2.0 / (n - 1))
+    around = f"""x{tag} AS (
+  SELECT z.q, sigma, greatest(coalesce(b[3], 0.0) - {da}, 0.0::DOUBLE) AS a0, least(coalesce(b[3], {lit(alpha_max)}) + {da}, {lit(alpha_max)}) AS a1,
+         greatest(coalesce(b[4], 0.0) - {du}, 0.0::DOUBLE) AS u0, least(coalesce(b[4], 1.0) + {du}, {ONE}) AS u1 FROM sz1 z LEFT JOIN f{tag} USING (q))"""
+    done = f"""b{tag} AS (
+  SELECT {lit(bps)} AS fee_bps, z.q, sigma, b[2] AS eps_best, b[3] AS alpha_best, b[1] IS NOT NULL AS feasible,
+         coalesce(b[1], {jit_sql(lit(alpha_max), lit(bps / 1e4), rl)}) AS pi_best FROM sz1 z LEFT JOIN g{tag} USING (q))"""
+    return [whole, best(f"f{tag}", f"w{tag}"), around, best(f"g{tag}", f"x{tag}"), done]
+
+
+OPTIMA = [x for b in (1.0, 5.0, 30.0) for x in optimum_sql(b)]
+BESTS = "(SELECT * FROM b1 UNION ALL SELECT * FROM b5 UNION ALL SELECT * FROM b30)"
+ORACLE["mixed_strategy"] = with_(T_, SIZES_SQL, *OPTIMA, body=f"SELECT fee_bps, q, {rd('pi_best', 8)}, feasible FROM {BESTS}")
+ORACLE["regime_transition"] = with_(T_, SIZES_SQL, *OPTIMA, body=f"SELECT fee_bps, q, {rds({'sigma': 9, 'eps_best': 6, 'alpha_best': 4, 'pi_best': 9})}, feasible FROM {BESTS}")

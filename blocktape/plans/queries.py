@@ -11,7 +11,7 @@ from blocktape.functions import scalars as S
 from blocktape.functions import theory as T
 from blocktape.operators import augment, decode, detect, enrich, state
 from blocktape.plans import report, sweep
-from blocktape.sources import readers
+from blocktape.sources import readers, sinks
 from blocktape.sources.sinks import shared_folder, staged
 from blocktape.sources.tape import pool_events
 from blocktape.streaming import harvest
@@ -50,7 +50,8 @@ def backruns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_backruns(spark: SparkSession, sf_dir: str) -> DataFrame:
     tape = pool_events(spark, sf_dir)
-    return detect.without_sandwich_ends(detect.reverse_backruns(tape), detect.sandwiches(tape))
+    frame = detect.block_frame(tape)
+    return detect.without_sandwich_ends(detect.reverse_backruns(tape, frame), detect.sandwich_ends(frame))
 
 
 @query
@@ -83,7 +84,10 @@ def scalar_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(n == 0, "TRUE").when(n == 1, " no").when(n == 2, "1").when(n == 3, "maybe").otherwise("False")
     when = F.when(n == 0, F.unix_timestamp("ts").cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     units = F.concat(F.when(n == 1, "-").otherwise(""), F.col("value").cast("decimal(18,2)").cast("string"))
-    return e.select("event_id", S.to_number(text).alias("as_number"), S.to_float(text).alias("as_float"), S.to_bool(flag).alias("as_bool"), S.to_unix(when).alias("as_unix"), S.raw_units(units, 6).cast("long").alias("as_units"), S.raw_units_exact(units, 1).alias("exact_at_1"))
+    spelling = F.element_at(F.array(*map(F.lit, (*S.X_TO_Y, *S.Y_TO_X, "sideways"))), (F.col("event_id") % 15 + 1).cast("int"))
+    spelling = F.when(n == 0, F.upper(spelling)).when(n == 1, F.concat(F.lit(" "), spelling)).otherwise(spelling)
+    fee = F.when(n == 0, F.lit(None)).when(n == 1, 0.003).otherwise(n.cast("double"))
+    return e.select("event_id", S.direction_label(spelling).alias("dir_label"), S.fee_column(fee).alias("fee_in_bps"), S.general(F.when(n != 3, F.col("value") / F.pow(F.lit(10.0), (F.col("event_id") % 12).cast("double")))).alias("as_text"), S.to_number(text).alias("as_number"), S.to_float(text).alias("as_float"), S.to_bool(flag).alias("as_bool"), S.to_unix(when).alias("as_unix"), S.raw_units(units, 6).cast("long").alias("as_units"), S.raw_units_exact(units, 1).alias("exact_at_1"))
 
 
 @query
@@ -153,8 +157,20 @@ def backrun_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def reverse_backrun_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back-runs before the anti-join, by label."""
-    m = augment.backrun_metrics(backruns_of(spark, sf_dir))
-    return m.groupBy("reverse_label").agg(F.count(F.lit(1)).alias("n"), r("sigma_mean", 12, F.avg("sigma_gross")), r("profit_p50", 12, F.percentile("profit_obs_per_x0", F.lit(0.5))))
+    m = staged(augment.backrun_metrics(backruns_of(spark, sf_dir)).select("reverse_label", "sigma_gross", "profit_obs_per_x0"))
+    middle = report.quantiles(m.select("reverse_label", F.col("profit_obs_per_x0").alias("v")), ["reverse_label"], (0.5,))
+    means = m.groupBy("reverse_label").agg(F.count(F.lit(1)).alias("n"), r("sigma_mean", 12, F.avg("sigma_gross")))
+    return means.join(middle, "reverse_label", "left").select("reverse_label", "n", "sigma_mean", r("profit_p50", 12, F.col("q")[0]))
+
+
+@query
+def backrun_fee_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-runs that pay, by fee: missing (5 basis points), a fraction, basis points."""
+    b, out = staged(backruns_of(spark, sf_dir)), None
+    for name, fee in (("missing", None), ("fraction", 0.003), ("points", 30), ("hundred", 100.0)):
+        m = augment.backrun_metrics(b, fee).groupBy(F.lit(name).alias("fee")).agg(F.first("fee_fraction").alias("fee_fraction"), F.count_if("viable_sigma").alias("n_viable"), r("mmax_sum", 3, F.sum("mmax_jit_token0")))
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 @query
@@ -231,9 +247,8 @@ def state_reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(good, "n_sound").join(count(bad, "n_rejected"), "pool", "left").select("pool", "n_sound", F.coalesce("n_rejected", F.lit(0)).cast("long").alias("n_rejected"))
 
 
-@query
-def stream_running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running state by micro-batches over parts in block order, one of them delivered twice; each is one batch, however many files it has."""
+def streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The running state by micro-batches over parts in block order, one of them delivered twice, and the run's folder; each part is one batch, however many files it has."""
     folder, e = shared_folder(spark, "stream"), state_events(spark, sf_dir)
     cuts = e.agg(F.percentile_approx("block_number", [0.25, 0.5, 0.75], 1000)).first()[0]
     bounds = [-1, *cuts, 1 << 60]
@@ -243,7 +258,25 @@ def stream_running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         for copy in range(2 if n == 1 else 1):
             part.write.parquet(f"{folder}/landed/part={n}-{copy}")
             done = harvest.stream_running_state(spark, f"{folder}/landed/*", e.schema, start, run)
-    return state_rows(done)
+    return done, run
+
+
+@query
+def stream_running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state_rows(streamed(spark, sf_dir)[0])
+
+
+@query
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches counted, the part that came twice only once."""
+    return harvest.counters(spark, streamed(spark, sf_dir)[1]).select("kind", "n_events", "first_block", "last_block")
+
+
+@query
+def closed_block_backruns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-runs of the blocks that a later event of their pool has closed."""
+    t = pool_events(spark, sf_dir)
+    return detect.reverse_backruns(harvest.closed_blocks(t, state.last_key(t))).select("pool", "block_number", "pos", "back_tx")
 
 
 # --- scans ---------------------------------------------------------------------------------------------------
@@ -270,6 +303,67 @@ def time_window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("ts_unix", "block_number", "log_index", "pool", "kind", "tx_hash", r("amount", 1))
 
 
+@query
+def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested raw entities of text numbers, flattened; fields that a kind does not have come out NULL."""
+    t, text = pool_events(spark, sf_dir), lambda c: F.col(c).cast("string")
+    raw = t.select(
+        "kind", F.struct(F.col("tx_hash").alias("id"), text("block_number").alias("block")).alias("transaction"), text("log_index").alias("logIndex"), text("ts_unix").alias("timestamp"), "origin",
+        F.lit("s").alias("sender"), F.lit("w").alias("owner"), F.lit("r").alias("recipient"), text("amount0").alias("amount0"), text("amount1").alias("amount1"), (text("q")).alias("sqrtPriceX96"),
+        (F.col("q") % 40 - 20).cast("string").alias("tick"), F.lit("-10").alias("tickLower"), F.lit("10").alias("tickUpper"), (F.col("q") * 7).cast("string").alias("amount"),
+    )
+    f = readers.flattened(raw).withColumn("liquidity_delta", F.col("liquidity_delta").cast("long"))
+    return f.select("block_number", "log_index", "ts_unix", "tx_hash", "kind", "origin", "sender", "owner", "recipient", "sqrt_event", "tick_event", "tick_lower", "tick_upper", "liquidity_delta", r("amount0", 5), r("amount1", 5))
+
+
+@query
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as CSV, gzipped CSV and by appends to Parquet, read back by each path's ending, and counted by kind."""
+    folder, t = shared_folder(spark, "files"), pool_events(spark, sf_dir).select("pool", "block_number", "log_index", "kind", "amount0", "amount1")
+    t.write.option("header", True).csv(f"{folder}/log.csv")
+    t.write.option("header", True).option("compression", "gzip").csv(f"{folder}/log.csv.gz")
+    for kind in ("swap", "mint", "burn"):
+        sinks.append(t.filter(F.col("kind") == kind).drop("amount1" if kind == "mint" else "tick"), f"{folder}/log.parquet", t.schema)
+    out = None
+    for n, end in enumerate(("csv", "csv.gz", "parquet")):
+        e = readers.read_events(spark, f"{folder}/log.{end}", t.schema)
+        part = e.groupBy(F.lit(n).alias("file"), "kind").agg(F.count(F.lit(1)).alias("n"), F.count("amount1").alias("n_amount1"), r("net0", 2, F.sum("amount0")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def tidy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections saved by fee, found again by their stem, and a table that is computed once and then read."""
+    folder = shared_folder(spark, "tidy")
+    jit = staged(detect.jit_cycles(pool_events(spark, sf_dir)).select("pool", "block_number", "pos", "n_victims"))
+    for fee in (5, 30, 5):
+        sinks.save_by_fee(jit.withColumn("fee_bps", F.lit(fee)), f"{folder}/by_fee.parquet")
+    jit.write.parquet(f"{folder}/jit_cycles_5.parquet")
+    found = readers.read_tidy(spark, folder, "jit_cycles")
+    kept = [sinks.materialized(spark, f"{folder}/kept", lambda n=n: found.withColumn("run", F.lit(n))) for n in (0, 1)][-1]
+    saved = spark.read.parquet(f"{folder}/by_fee.parquet").groupBy("pool").agg(F.count(F.lit(1)).alias("n_saved"), F.countDistinct("fee_bps").alias("n_fees"))
+    return kept.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.max("run").alias("run"), F.sum("n_victims").alias("victims")).join(saved, "pool")
+
+
+@query
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern counts written as one CSV and as lines of text, read back."""
+    folder = shared_folder(spark, "report")
+    counts = staged(origin_counts(spark, sf_dir).filter("kind = 'pattern'"))
+    sinks.write_report(counts, f"{folder}/patterns.csv", ["dataset", "key", "count"])
+    sinks.write_lines(counts.select(F.concat_ws(" ", "dataset", F.col("count").cast("string")).alias("line")), f"{folder}/patterns.txt")
+    lines = spark.read.text(f"{folder}/patterns.txt").select(F.split("value", " ").alias("x")).select(F.col("x")[0].alias("dataset"), F.col("x")[1].cast("long").alias("told"))
+    table = spark.read.schema("dataset string, key string, count long").option("header", True).csv(f"{folder}/patterns.csv")
+    return table.join(lines, (table["dataset"] == lines["dataset"]) & (table["count"] == lines["told"])).select(table["dataset"], "key", "count").distinct()
+
+
+@query
+def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred events in the log's order."""
+    return sinks.first_events(pool_events(spark, sf_dir).select("ts_unix", "block_number", "log_index", "pool", "kind"), 100, "ts_unix", "block_number", "log_index", "pool")
+
+
 @query
 def batch_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.batch_ranges(pool_events(spark, sf_dir), "pool", "kind")
@@ -329,6 +423,16 @@ def swap_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("pool", "block_number", "log_index", F.lit("swap").alias("topic0"), F.col("event_id").alias("seq"), data.alias("data"))
 
 
+@query
+def exact_reserves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-unit reserves of the swaps' liquidity at prices of up to 107 bits, digit by digit."""
+    logs = enrich.decode_swap_logs(swap_logs(spark, sf_dir).filter("seq % 13 <> 0"))
+    steps = F.create_map(*(F.lit(x) for n in range(21) for x in (n, str(1 << (96 - n)))))
+    price = F.element_at(steps, (F.col("seq") % 21).cast("int")).cast("decimal(30,0)") * (F.col("seq") % 1000).cast("decimal(4,0)")
+    at = logs.select("pool", "block_number", "log_index", state.exact_reserves(F.col("liquidity"), price.cast("decimal(38,0)")).alias("e"))
+    return at.select("pool", "block_number", "log_index", "e.x", "e.y")
+
+
 @query
 def swap_log_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.decode_swap_logs(swap_logs(spark, sf_dir)).select("pool", "block_number", "log_index", F.col("liquidity").cast("string").alias("liquidity"), "tick")
@@ -365,7 +469,9 @@ def calldata(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 3, F.concat(F.lit(sel["exactOutput"]), routed)).when(n == 4, F.concat(F.lit(sel["multicall"]), multi))
         .when(n == 5, F.concat(F.lit(sel["execute"]), execute("0b80"))).when(n == 6, F.concat(F.lit(sel["execute"]), execute("0b01"))).otherwise(F.lit("12345678"))
     )
-    return t.select("event_id", "tx_hash", F.concat(F.lit("0x"), data).alias("input"), path.alias("path"), "q")
+    own = F.when(n.isin(5, 6), decode.COMMAND_ROUTER).when(n == 1, decode.ROUTERS[1]).otherwise(F.concat(F.lit("0xE592"), F.substring(F.lit(decode.ROUTERS[0]), 7, 36)))
+    to = F.when(F.col("event_id") % 10 == 9, "0x" + "12" * 20).when(F.col("event_id") % 10 == 8, None).otherwise(own)
+    return t.select("event_id", "tx_hash", to.alias("to"), F.concat(F.lit("0x"), data).alias("input"), path.alias("path"), "q")
 
 
 @query
@@ -376,6 +482,11 @@ def path_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("event_id", "tx_hash", joined("tokens", decode.path_tokens(p)), joined("fees", decode.path_fees(p)))
 
 
+@query
+def slippage_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.worklist(gaps(spark, sf_dir).withColumn("tx_hash", F.when(F.col("event_id") % 50 == 0, "None").otherwise(F.upper("tx_hash"))))
+
+
 @query
 def slippage_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = calldata(spark, sf_dir)
@@ -387,21 +498,34 @@ def slippage_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports -------------------------------------------------------------------------------------------------
 
 
-def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """jit, sandwich and back-run tables with their metrics: detected once and kept, then read by all that a report asks."""
-    t = staged(pool_events(spark, sf_dir))
-    sand, jit = staged(detect.sandwiches(t)), staged(detect.jit_cycles(t))
-    back = staged(detect.without_sandwich_ends(detect.reverse_backruns(t), sand))
-    return augment.jit_metrics(jit), augment.sandwich_metrics(sand, gamma=GAMMA, grid=8), augment.backrun_metrics(back)
+def report_tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """The named tables of jit, sandwich and backrun with their metrics, detected from one block frame and kept once each."""
+    t = pool_events(spark, sf_dir)
+    frame = detect.block_frame(t)
+    made = {
+        "jit": lambda: augment.jit_metrics(detect.jit_cycles(t, frame)),
+        "sandwich": lambda: augment.sandwich_metrics(detect.sandwiches(t, frame=frame), gamma=GAMMA),
+        "backrun": lambda: augment.backrun_metrics(detect.without_sandwich_ends(detect.reverse_backruns(t, frame), detect.sandwich_ends(frame))),
+    }
+    return [made[n]().select(*REPORTED[n]) for n in names]
+
+
+#: What reports read of each table: the rest, best sandwiches by grid above all, is never computed.
+REPORTED = {
+    "jit": ["pattern_type", "origin", "sigma_gross", "profit_total_per_x0"],
+    "sandwich": ["pool", "block_number", "pos", "pattern_type", "origin", "victim_dir", "front_dir", "sigma_gross", "profit_per_x0", "sigma_min_backrun", "attacker_liq_share", "r", "front_a0", "front_a1", "back_a0", "back_a1", "s_net_token0", "s_net_token1"],
+    "backrun": ["arb_origin", "sigma_gross", "profit_obs_per_x0", "reverse_label", "viable_sigma", "reverted", "near_target"],
+}
+DATASETS = ("jit", "sandwich", "backrun")
 
 
 def metrics_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jit, sand, back = tables(spark, sf_dir)
-    return report.combined(
-        report.summary(jit, "jit", "sigma_gross", "profit_total_per_x0", "origin", "pattern_type"),
-        report.summary(sand, "sandwich", "sigma_gross", "profit_per_x0", "origin", "pattern_type"),
-        report.summary(back, "backrun", "sigma_gross", "profit_obs_per_x0", "arb_origin", "reverse_label", ("viable_sigma", "reverted", "near_target")),
-    )
+    jit, sand, back = map(staged, report_tables(spark, sf_dir, *DATASETS))
+    return report.summary({
+        "jit": (jit, "sigma_gross", "profit_total_per_x0", "origin", "pattern_type", ()),
+        "sandwich": (sand, "sigma_gross", "profit_per_x0", "origin", "pattern_type", ()),
+        "backrun": (back, "sigma_gross", "profit_obs_per_x0", "arb_origin", "reverse_label", ("viable_sigma", "reverted", "near_target")),
+    })
 
 
 @query
@@ -412,18 +536,18 @@ def summary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.markdown(metrics_rows(spark, sf_dir))
+    return report.markdown(metrics_rows(spark, sf_dir), DATASETS)
 
 
 def origin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jit, sand, back = tables(spark, sf_dir)
+    jit, sand, back = report_tables(spark, sf_dir, *DATASETS)
     f = report.frequencies
     return report.combined(f(jit, "origin", "jit", "origin"), f(sand, "origin", "sandwich", "origin"), f(back, "arb_origin", "backrun", "origin"), f(sand, "pattern_type", "sandwich", "pattern"), f(back, "reverse_label", "backrun", "pattern"))
 
 
 @query
 def top_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.top(origin_counts(spark, sf_dir), 2)
+    return report.top(origin_counts(spark, sf_dir), 25)
 
 
 @query
@@ -431,9 +555,8 @@ def pattern_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origin_counts(spark, sf_dir).filter("kind = 'pattern'")
 
 
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jit, sand, back = tables(spark, sf_dir)
-    return staged(report.strategy_series(jit, sand, back, by_origin=False))
+def series(spark: SparkSession, sf_dir: str, **how: bool) -> DataFrame:
+    return staged(report.strategy_series(*report_tables(spark, sf_dir, *DATASETS), **({"by_origin": False} | how)))
 
 
 @query
@@ -441,6 +564,14 @@ def strategy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).select(r("sigma", 13), r("y", 12), "label", "origin", "under_threshold")
 
 
+@query
+def strategy_series_by_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series with signed sizes, and of the classical sandwiches the self-funded ones only."""
+    jit, sand, back = report_tables(spark, sf_dir, *DATASETS)
+    s = report.strategy_series(jit, tape_units(sand), back, by_origin=True, absolute=False)
+    return s.select(r("sigma", 13), r("y", 12), "label", "origin", "under_threshold")
+
+
 @query
 def highlighted_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.highlighted(series(spark, sf_dir), 1, 3, cap=3)
@@ -457,11 +588,18 @@ def series_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.series_summary(series(spark, sf_dir)).select("label", "n", r("median", 12), r("mean", 12), r("p90", 12))
 
 
+def tape_units(sandwich: DataFrame) -> DataFrame:
+    """Base units of the tape are ten thousands: five of them are the difference that legs of one size may have."""
+    legs = {f"{leg}_a{n}": F.col(f"{leg}_a{n}") / 10000.0 for leg in ("front", "back") for n in (0, 1)}
+    return sandwich.withColumns(legs | {"dec0": F.lit(0), "dec1": F.lit(0)})
+
+
 @query
 def self_funded_sandwiches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose legs match within a hundred-thousandth of the pool: decimals 0 stand for the tape's units."""
-    sand = tables(spark, sf_dir)[1].withColumns({"token0_decimals": F.lit(-2), "token1_decimals": F.lit(-2)})
-    return report.self_funded(sand).select("pool", "block_number", "pos", "pattern_type")
+    """Sandwiches whose two legs move the same amount, within five of the tape's base units; also after the fee is taken off."""
+    sand = tape_units(staged(report_tables(spark, sf_dir, "sandwich")[0]))
+    gross = report.self_funded(sand).select("pool", "block_number", "pos", "pattern_type", F.lit(False).alias("div_r"))
+    return gross.unionByName(report.self_funded(sand, back_div_r=True).select("pool", "block_number", "pos", "pattern_type", F.lit(True).alias("div_r")))
 
 
 @query
@@ -471,13 +609,30 @@ def sigma_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def backrun_identity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.identity_rows(tables(spark, sf_dir)[1]).select("victim_dir", *rounded({"q_fr": 5, "v": 5, "alpha": 12, "q_br_obs": 5, "q_br_hat": 5}))
+    return report.identity_rows(report_tables(spark, sf_dir, "sandwich")[0]).select("victim_dir", *rounded({"q_fr": 5, "v": 5, "alpha": 12, "q_br_obs": 5, "q_br_hat": 5}))
 
 
 @query
 def backrun_identity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = report.identity_fit(report.identity_rows(tables(spark, sf_dir)[1]))
-    return f.select("victim_dir", "overall", "n", *rounded({"corr_obs_hat": 7, "rmse": 4, "median_rel_error": 7, "share_br_below_fr": 9, "corr_av_gap": 7, "intercept": 2, "slope": 6}))
+    rows = staged(report.identity_rows(report_tables(spark, sf_dir, "sandwich")[0]))
+    return report.identity_fit(rows).select("victim_dir", "overall", "n", *rounded(FIT_DIGITS))
+
+
+FIT_DIGITS = {"corr_obs_hat": 7, "rmse": 4, "median_rel_error": 7, "share_br_below_fr": 9, "corr_av_gap": 7, "intercept": 2, "slope": 6}
+
+
+@query
+def backrun_identity_fit_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit with observed back-runs divided by what is left after the fee."""
+    rows = staged(report.identity_rows(report_tables(spark, sf_dir, "sandwich")[0], back_div_r=True))
+    return report.identity_fit(rows).select("victim_dir", "overall", "n", *rounded(FIT_DIGITS))
+
+
+@query
+def backrun_identity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scatter of front-runs against back-runs shows, in thousands of units."""
+    rows = report.identity_rows(report_tables(spark, sf_dir, "sandwich")[0])
+    return report.identity_pairs(rows, 1000.0).select("victim_dir", r("front_size", 8), r("back_size", 8), "below")
 
 
 # --- sweeps over observed sizes ------------------------------------------------------------------------------
@@ -514,22 +669,41 @@ def threshold_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("fee_bps").agg(r("sigma_min_backrun", 12, F.first("sigma_min_backrun")), r("sandwich_onset", 12, F.first("sandwich_onset")), F.count_if(F.col("sigma") >= F.col("sigma_min_backrun")).alias("n_backrun"), F.count_if(F.col("sigma") >= F.col("sandwich_onset")).alias("n_sandwich"))
 
 
-@query
-def regime_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best front-run and added liquidity at every tenth of the observed range of sizes' logarithms, per fee."""
-    step = F.floor(F.log10("sigma") * 20).cast("long")
-    s = staged(observed_sizes(spark, sf_dir).groupBy(step.alias("step")).agg(F.max("sigma").alias("sigma"), F.count(F.lit(1)).alias("n_sizes")))
-    out = None
+ALPHA_MAX = 10.0
+
+
+def optimum_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best mixed bundle at every observed size and fee, or just-in-time liquidity alone where no back-run is funded."""
+    s, out = staged(observed_sizes(spark, sf_dir)), None
     for b in FEES_BPS:
-        part = sweep.mixed_optimum(s, ["step", "n_sizes"], b / 1e4, GAMMA, 1.0).withColumn("fee_bps", F.lit(b))
-        part = part.withColumn("pi_best", F.coalesce("mixed_best", T.jit_profit(F.col("sigma"), b / 1e4, 1 - b / 1e4, F.lit(1.0))))
+        part = sweep.mixed_optimum(s, ["q"], b / 1e4, GAMMA, ALPHA_MAX).withColumn("fee_bps", F.lit(b))
+        part = part.withColumn("pi_best", F.coalesce("mixed_best", T.jit_profit(F.col("sigma"), b / 1e4, 1 - b / 1e4, F.lit(ALPHA_MAX))))
         out = part if out is None else out.unionByName(part)
-    return out.select("fee_bps", "step", "n_sizes", r("sigma", 9), r("eps_best", 6), r("alpha_best", 4), r("pi_best", 9), F.col("mixed_best").isNotNull().alias("feasible"))
+    return out
+
+
+@query
+def mixed_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourth strategy of the comparison: profit of the best mixed bundle at every observed size and fee."""
+    return optimum_rows(spark, sf_dir).select("fee_bps", "q", r("pi_best", 8), F.col("mixed_best").isNotNull().alias("feasible"))
+
+
+@query
+def regime_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Front-run and added liquidity of the best bundle at every observed size and fee."""
+    return optimum_rows(spark, sf_dir).select("fee_bps", "q", r("sigma", 9), r("eps_best", 6), r("alpha_best", 4), r("pi_best", 9), F.col("mixed_best").isNotNull().alias("feasible"))
+
+
+@query
+def mixed_curve(spark: SparkSession, sf_dir: str, n: int = 500) -> DataFrame:
+    """Profit of the rational bundle (liquidity equal to the pool's, fee 0.3 %) along front-runs from 0 to the pool, at every observed size: its best point."""
+    curve = sweep.rational_curve(observed_sizes(spark, sf_dir), ["q"], 0.0, 1.0, n, 1.0, 0.003)
+    return curve.groupBy("q").agg(r("best", 10, F.max("profit")), r("worst", 10, F.min("profit")), F.count_if(F.col("profit") > 0).alias("n_paying"))
 
 
-def profit_cube(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    sizes = observed_sizes(spark, sf_dir).withColumn("i_sigma", F.col("q"))
-    return sweep.surface(sizes, sweep.grid(spark, "eps", 0.0, 0.02, n), sweep.grid(spark, "alpha", 0.0, 1.0, n), 0.997)
+def profit_cube(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
+    """The landscape of 100 x 100 points over front-runs and added liquidity, at every observed size."""
+    return sweep.surface(observed_sizes(spark, sf_dir), sweep.grid(spark, "eps", 0.001, 0.99, n), sweep.grid(spark, "alpha", 0.001, 10.0, n), 0.997)
 
 
 @query
@@ -539,11 +713,13 @@ def profit_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def profit_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.zero_contour(profit_cube(spark, sf_dir)).groupBy("i_eps").agg(F.count(F.lit(1)).alias("n_cells"), F.min("i_alpha").alias("first_alpha"))
+    """Where profit changes its sign along added liquidity, over all observed sizes."""
+    cells = sweep.zero_contour(observed_sizes(spark, sf_dir), sweep.grid(spark, "eps", 0.001, 0.99, 100), sweep.neighbours(spark, 0.001, 10.0, 100), 0.997)
+    return cells.groupBy("i_eps").agg(F.count(F.lit(1)).alias("n_cells"), F.min("i_alpha").alias("first_alpha"))
 
 
 @query
 def alpha_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean slope of the mixed profit along added liquidity, per front-run size, over all observed sizes."""
-    curve = sweep.slope_along_alpha(profit_cube(spark, sf_dir, 10), ["i_sigma", "i_eps"])
+    """Mean slope of the mixed profit along added liquidity (400 points), at three front-runs, over all observed sizes."""
+    curve = sweep.slope_along_alpha(observed_sizes(spark, sf_dir), sweep.grid(spark, "eps", 0.001, 0.02, 3), sweep.neighbours(spark, 0.001, 10.0, 400), 400, 0.997)
     return curve.groupBy("i_eps", "i_alpha").agg(r("mean_slope", 8, F.avg("slope")))

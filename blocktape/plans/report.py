@@ -2,34 +2,70 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocktape.functions.scalars import direction_label, finite, or_default, to_bool, to_float
+from blocktape.functions.scalars import direction_label, finite, general, or_default, to_bool, to_float
+from blocktape.sources.sinks import staged
 
 QUANTILES = (0.1, 0.5, 0.9, 0.99)
 LABELS = {"classical": "Classical sandwich", "jit-sandwich": "JIT-Sandwich"}
 
 
-def summary(df: DataFrame, dataset: str, sigma: str, profit: str, origin: str, pattern: str | None = None, flags: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
-    """One row of counts, distinct keys, means, quantiles and true shares; missing and infinite values are left out.
+def quantiles(values: DataFrame, keys: list[str], levels: tuple[float, ...]) -> DataFrame:
+    """(keys, q): linearly interpolated quantiles of column ``v`` per key, at each level; NULL values are left out.
 
-    Quantiles interpolate linearly; with exact=False they are approximate and need memory of a fixed size.
+    Equal values are counted first, then the distinct ones are sorted by ranges, and counts before each
+    range give every value its ranks; only values at a wanted rank go on.  So a key may have more
+    values than one task holds.
+    """
+    counts = values.filter("v is not null").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = staged(counts.repartitionByRange(*keys, "v").sortWithinPartitions(*keys, "v").withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_rows"))
+    by_key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_rows").over(by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*keys, "_part", before.alias("_before"), F.sum("_rows").over(by_key).alias("_all"))  # a row for each range and key
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("_upto", upto).join(parts, [*keys, "_part"]).withColumn("_last", F.col("_before") + F.col("_upto") - 1)
+    low = [F.floor((F.col("_all") - 1) * q) for q in levels]
+    high = [F.ceil((F.col("_all") - 1) * q) for q in levels]
+    holds = lambda rank: (rank <= F.col("_last")) & (rank > F.col("_last") - F.col("_n"))
+    wanted = placed.filter(reduce(lambda x, y: x | y, map(holds, low + high)))
+    at = [F.max(F.when(holds(rank), F.col("v"))) for rank in low + high]
+    found = wanted.groupBy(*keys).agg(F.max("_all").alias("_all"), F.array(*at).alias("_at"))
+
+    def between(i: int, q: float) -> Column:
+        share = (F.col("_all") - 1) * q - F.floor((F.col("_all") - 1) * q)
+        a, b = F.col("_at")[i], F.col("_at")[i + len(levels)]
+        return F.when(a == b, a).otherwise(a * (1.0 - share) + b * share)
+
+    return found.select(*keys, F.array(*(between(i, q) for i, q in enumerate(levels))).alias("q"))
+
+
+def summary(datasets: dict[str, tuple[DataFrame, str, str, str, str | None, tuple[str, ...]]]) -> DataFrame:
+    """One row a dataset (frame, sigma, profit, origin, pattern, flags): counts, distinct keys, means, quantiles and true shares.
+
+    Missing and infinite values are left out.  All quantiles come from one sort by ranges.
     """
-    q = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
     blank = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
-    s, p = to_float(F.col(sigma)), to_float(F.col(profit))
-    out = df.withColumns({"_s": s, "_p": p} | {f"_f{i}": to_bool(F.col(c)) for i, c in enumerate(flags)})
-    level = F.array(*map(F.lit, QUANTILES))
-    row = out.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct(blank(origin)).alias("n_unique_origins"),
-        (F.countDistinct(blank(pattern)) if pattern else F.lit(0).cast("long")).alias("n_patterns"),
-        F.count("_s").alias("sigma_n"), F.avg("_s").alias("sigma_mean"), q(F.col("_s"), level).alias("_qs"),
-        F.count("_p").alias("profit_n"), F.avg("_p").alias("profit_mean"), q(F.col("_p"), level).alias("_qp"),
-        *(c for i, n in enumerate(flags) for c in (F.count(f"_f{i}").alias(f"{n}_n"), F.avg(F.col(f"_f{i}").cast("int")).alias(f"{n}_true_share"))),
-    )
-    cols = {f"{n}_p{int(v * 100)}": F.col(f"_q{n[0]}")[i] for n in ("sigma", "profit") for i, v in enumerate(QUANTILES) if v != 0.1}
-    return row.withColumns({"dataset": F.lit(dataset), "sigma_col": F.lit(sigma), "profit_col": F.lit(profit)} | cols).drop("_qs", "_qp")
+    rows, values = [], []
+    for name, (df, sigma, profit, origin, pattern, flags) in datasets.items():
+        out = df.withColumns({"_s": to_float(F.col(sigma)), "_p": to_float(F.col(profit))} | {f"_f{i}": to_bool(F.col(c)) for i, c in enumerate(flags)})
+        rows.append(out.agg(
+            F.lit(name).alias("dataset"), F.lit(sigma).alias("sigma_col"), F.lit(profit).alias("profit_col"),
+            F.count(F.lit(1)).alias("n_rows"), F.countDistinct(blank(origin)).alias("n_unique_origins"),
+            (F.countDistinct(blank(pattern)) if pattern else F.lit(0).cast("long")).alias("n_patterns"),
+            F.count("_s").alias("sigma_n"), F.avg("_s").alias("sigma_mean"), F.count("_p").alias("profit_n"), F.avg("_p").alias("profit_mean"),
+            *(c for i, n in enumerate(flags) for c in (F.count(f"_f{i}").alias(f"{n}_n"), F.avg(F.col(f"_f{i}").cast("int")).alias(f"{n}_true_share"))),
+        ))
+        pair = F.array(F.struct(F.lit("sigma").alias("of"), F.col("_s").alias("v")), F.struct(F.lit("profit").alias("of"), F.col("_p").alias("v")))
+        values.append(out.select(F.lit(name).alias("dataset"), F.explode(pair).alias("x")).select("dataset", "x.of", "x.v"))
+    found = quantiles(combined(*values), ["dataset", "of"], QUANTILES)
+    cells = {f"{of}_p{int(round(q * 100))}": F.max(F.when(F.col("of") == of, F.col("q")[i])) for of in ("sigma", "profit") for i, q in enumerate(QUANTILES) if q != 0.1}
+    wide = found.groupBy("dataset").agg(*(c.alias(n) for n, c in cells.items()))
+    return combined(*rows).join(wide, "dataset", "left")
 
 
 def combined(*rows: DataFrame | None) -> DataFrame:
@@ -55,11 +91,18 @@ def top(counts: DataFrame, n: int) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
-def markdown(metrics: DataFrame) -> DataFrame:
-    """Lines of a table of seven summary columns."""
-    cols = ["n_rows", "n_unique_origins", "sigma_p50", "sigma_p90", "profit_p50", "profit_p90"]
-    cell = lambda c: F.coalesce(F.format_string("%.6g", F.col(c).cast("double")), F.lit("nan"))
-    return metrics.select(F.concat_ws(" | ", "dataset", *(cell(c) for c in cols)).alias("line"))
+#: Titles of the summary table and its rule.
+TITLES = ("Dataset", "Rows", "Unique origins", "σ p50", "σ p90", "Profit p50", "Profit p90")
+RULE = "|---|---:|---:|---:|---:|---:|---:|"
+
+
+def markdown(metrics: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(line_no, line) of a table of seven summary columns, datasets in the given order; missing numbers are blank."""
+    spark = metrics.sparkSession
+    cells = [F.col("dataset"), F.col("n_rows").cast("string"), F.col("n_unique_origins").cast("string"), *(general(F.col(c)) for c in ("sigma_p50", "sigma_p90", "profit_p50", "profit_p90"))]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(c, F.lit("")) for c in cells)), F.lit(" |"))
+    head = spark.createDataFrame([(1, f"| {' | '.join(TITLES)} |"), (2, RULE)], "line_no int, line string")
+    return head.unionByName(metrics.select((F.array_position(F.array(*map(F.lit, order)), F.col("dataset")) + 2).cast("int").alias("line_no"), line.alias("line")))
 
 
 def _series(df: DataFrame, sigma: Column, y: Column, label: str, origin: str, under: Column) -> DataFrame:
@@ -88,7 +131,7 @@ def backrun_series(df: DataFrame, absolute: bool = True) -> DataFrame:
 def self_funded(df: DataFrame, back_div_r: bool = False) -> DataFrame:
     """Sandwiches whose legs move the same amount of the token that the victims get, within five base units."""
     x2y = F.col("front_dir") == "x2y"
-    dec = F.when(x2y, or_default(df, "token1_decimals", 18)).otherwise(or_default(df, "token0_decimals", 6))
+    dec = F.when(x2y, or_default(df, ("token1_decimals", "dec1"), 18)).otherwise(or_default(df, ("token0_decimals", "dec0"), 6))
     unit = F.pow(F.lit(10.0), dec)
     side = lambda leg: F.when(x2y, F.abs(F.col(f"{leg}_a1"))).otherwise(F.abs(F.col(f"{leg}_a0")))
     back = side("back") / F.col("r") if back_div_r else side("back")
@@ -119,7 +162,9 @@ def split_by_highlight(series: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def series_summary(series: DataFrame) -> DataFrame:
-    return series.groupBy("label").agg(F.count("y").alias("n"), F.median("y").alias("median"), F.avg("y").alias("mean"), F.percentile("y", F.lit(0.9)).alias("p90"))
+    q = quantiles(series.select("label", F.col("y").alias("v")), ["label"], (0.5, 0.9))
+    means = series.groupBy("label").agg(F.count("y").alias("n"), F.avg("y").alias("mean"))
+    return means.join(q, "label", "left").select("label", "n", F.col("q")[0].alias("median"), "mean", F.col("q")[1].alias("p90"))
 
 
 def identity_rows(sandwich: DataFrame, back_div_r: bool = False) -> DataFrame:
@@ -138,13 +183,22 @@ def identity_fit(rows: DataFrame) -> DataFrame:
     """Fit statistics over all rows (victim_dir NULL, overall true) and by direction.  A constant prediction has no slope."""
     e = F.col("q_br_obs") - F.col("q_br_hat")
     gap = F.abs("q_fr") - F.abs("q_br_obs")
-    base = rows.withColumns({"_rel": F.when(F.col("q_br_hat") != 0, F.abs(e / F.col("q_br_hat"))), "_e": e, "_gap": gap, "_av": F.col("alpha") * F.col("v")})
-    return base.groupingSets([[], ["victim_dir"]], "victim_dir").agg(
-        (F.grouping("victim_dir") == 1).alias("overall"), F.count(F.lit(1)).alias("n"), F.corr("q_br_obs", "q_br_hat").alias("corr_obs_hat"),
-        F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.median("_rel").alias("median_rel_error"),
+    base = rows.withColumns({"v": F.when(F.col("q_br_hat") != 0, F.abs(e / F.col("q_br_hat"))), "_e": e, "_gap": gap, "_av": F.col("alpha") * F.col("v")})
+    each = base.withColumn("group", F.explode(F.array(F.lit("all"), F.col("victim_dir"))))  # two rows for one: all, and its direction
+    fits = each.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.corr("q_br_obs", "q_br_hat").alias("corr_obs_hat"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
         F.avg((F.abs("q_br_obs") < F.abs("q_fr")).cast("int")).alias("share_br_below_fr"), F.corr("_av", "_gap").alias("corr_av_gap"),
         F.regr_intercept("q_br_obs", "q_br_hat").alias("intercept"), F.regr_slope("q_br_obs", "q_br_hat").alias("slope"),
     )
+    middle = quantiles(each.select("group", "v"), ["group"], (0.5,)).select("group", F.col("q")[0].alias("median_rel_error"))
+    overall = F.col("group") == "all"
+    return fits.join(middle, "group", "left").withColumns({"overall": overall, "victim_dir": F.when(~overall, F.col("group"))}).drop("group")
+
+
+def identity_pairs(rows: DataFrame, unit: float = 1.0) -> DataFrame:
+    """(victim_dir, front_size, back_size, below): what a scatter of front-runs against back-runs shows, in whole units."""
+    front, back = F.abs("q_fr") / unit, F.abs("q_br_obs") / unit
+    return rows.select("victim_dir", front.alias("front_size"), back.alias("back_size"), (back < front).alias("below"))
 
 
 def value_range(df: DataFrame, column: str) -> DataFrame:

@@ -1,14 +1,20 @@
 """Theory sweeps as grid jobs: parameter grids crossed with one another, formula columns, constrained maxima.
 
-Grids are parameters of the job, not data: their sizes are known, and the smaller ones are broadcast.
+Grids are parameters of the job, not data: their sizes are known, and they are broadcast to the sizes, which are data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blocktape.functions import theory as T
+from blocktape.sources.sinks import staged
+
+
+def spread(sizes: DataFrame, *keys: str) -> DataFrame:
+    """Few rows that each make many points, over all cores: by their own size they would share one task."""
+    return sizes.repartition(max(8, sizes.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def grid(spark: SparkSession, name: str, low: float, high: float, n: int) -> DataFrame:
@@ -17,7 +23,15 @@ def grid(spark: SparkSession, name: str, low: float, high: float, n: int) -> Dat
     return spark.range(n).select(F.col("id").alias(f"i_{name}"), (F.lit(low) + F.col("id") * F.lit(step)).alias(name))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: plain projections would be merged and repeat them wherever they are read."""
+    names = ", ".join(f"_k.{c}" for c in columns)
+    once = df.withColumn("_k", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return once.select(*[c for c in df.columns if c not in columns], *names.split(", "))
+
+
 def crossed(first: DataFrame, *others: DataFrame) -> DataFrame:
+    first = spread(first)
     for g in others:
         first = first.crossJoin(F.broadcast(g))  # a grid of known size
     return first
@@ -27,36 +41,42 @@ def mixed_optimum(sigmas: DataFrame, keys: list[str], f: float, gamma: float, al
     """(keys, sigma, eps_best, alpha_best, mixed_best): the largest mixed profit with eps up to its cap and a funded back-run.
 
     A grid of n x n points over (alpha, eps / cap), then a second one of the same size around its best
-    point.  The points of a row are made and dropped inside a task; only one best point per task and row
-    is shuffled.  NULL where no point is feasible.
+    point.  The points of a row are made and dropped inside a task.  NULL where no point is feasible.
     """
     r, sigma = 1.0 - f, F.col("sigma")
+    steps = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def placed(df: DataFrame) -> DataFrame:
+        """Adds _a, _u, _e and _p of the point (_i, _j)."""
+        at = computed(df, **{c: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * (F.col(i) / float(n - 1)) for c, i in (("_a", "_i"), ("_u", "_j"))})
+        at = computed(at, _e=T.eps_cap_jit(sigma, gamma, r, F.col("_a")) * F.col("_u"))
+        at = computed(at, _th=T.theta(F.col("_e"), F.col("_a"), sigma, r, clip=False))
+        ok = (F.col("_e") > 0) & (F.col("_th") > floor)
+        return computed(at, _p=F.when(ok, T.mixed_profit(F.col("_e"), F.col("_a"), sigma, r, th=F.col("_th"))))
 
     def searched(df: DataFrame) -> DataFrame:
-        steps = F.sequence(F.lit(0), F.lit(n - 1))
-        at = df.withColumn("_i", F.explode(steps)).withColumn("_a", F.col("_a0") + (F.col("_a1") - F.col("_a0")) * (F.col("_i") / float(n - 1)))
-        at = at.withColumn("_cap", T.eps_cap_jit(sigma, gamma, r, F.col("_a"))).withColumn("_j", F.explode(steps))
-        at = at.withColumn("_u", F.col("_u0") + (F.col("_u1") - F.col("_u0")) * (F.col("_j") / float(n - 1))).withColumn("_e", F.col("_cap") * F.col("_u"))
-        ok = (F.col("_e") > 0) & (T.theta(F.col("_e"), F.col("_a"), sigma, r, clip=False) > floor)
-        profit = F.when(ok, T.mixed_profit(F.col("_e"), F.col("_a"), sigma, r, clip=False))
-        at = at.withColumn("_p", profit)
-        return at.groupBy(*keys, "sigma").agg(F.max_by(F.struct("_p", "_e", "_a", "_u"), F.struct("_p", -F.col("_i"), -F.col("_j"))).alias("_b"))
+        """df with the first of its best points.  Sums of plain numbers are what a task holds, so the points never leave it."""
+        every = lambda x: placed(spread(x, *keys).withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps)))
+        best = every(df).groupBy(*keys, "sigma").agg(F.max("_p").alias("_best"))
+        first = every(df.join(best, [*keys, "sigma"])).filter("_p = _best").groupBy(*keys, "sigma").agg(F.min(F.col("_i") * n + F.col("_j")).alias("_at"))
+        at = df.join(first, [*keys, "sigma"], "left").withColumns({"_i": F.floor(F.col("_at") / n), "_j": F.col("_at") % n})
+        return staged(placed(at).select(*keys, "sigma", "_a", "_u", "_e", "_p"))
 
     whole = {"_a0": F.lit(0.0), "_a1": F.lit(float(alpha_max)), "_u0": F.lit(0.0), "_u1": F.lit(1.0)}
     first = searched(sigmas.select(*keys, "sigma").withColumns(whole))
     da, du = 2.0 * alpha_max / (n - 1), 2.0 / (n - 1)
     around = {
-        "_a0": F.greatest(F.coalesce(F.col("_b._a"), F.lit(0.0)) - da, F.lit(0.0)), "_a1": F.least(F.coalesce(F.col("_b._a"), F.lit(float(alpha_max))) + da, F.lit(float(alpha_max))),
-        "_u0": F.greatest(F.coalesce(F.col("_b._u"), F.lit(0.0)) - du, F.lit(0.0)), "_u1": F.least(F.coalesce(F.col("_b._u"), F.lit(1.0)) + du, F.lit(1.0)),
+        "_a0": F.greatest(F.coalesce(F.col("_a"), F.lit(0.0)) - da, F.lit(0.0)), "_a1": F.least(F.coalesce(F.col("_a"), F.lit(float(alpha_max))) + da, F.lit(float(alpha_max))),
+        "_u0": F.greatest(F.coalesce(F.col("_u"), F.lit(0.0)) - du, F.lit(0.0)), "_u1": F.least(F.coalesce(F.col("_u"), F.lit(1.0)) + du, F.lit(1.0)),
     }
-    second = searched(first.withColumns(around).drop("_b"))
-    return second.select(*keys, "sigma", F.col("_b._e").alias("eps_best"), F.col("_b._a").alias("alpha_best"), F.col("_b._p").alias("mixed_best"))
+    second = searched(first.select(*keys, "sigma", *(c.alias(name) for name, c in around.items())))
+    return second.select(*keys, "sigma", F.col("_e").alias("eps_best"), F.col("_a").alias("alpha_best"), F.col("_p").alias("mixed_best"))
 
 
 def strategies(df: DataFrame, keys: list[str], f: float, gamma: float, alpha: float = 1.0, grid_n: int = 100) -> DataFrame:
     """(keys, sigma, fee_fraction, pi_jit, pi_backrun, pi_sandwich): profits of just-in-time liquidity, back-run and best sandwich at each sigma."""
     r, sigma = 1.0 - f, F.col("sigma")
-    points = df.select(*keys, "sigma").withColumn("_cap", T.eps_cap(sigma, gamma, r)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(grid_n - 1))))
+    points = spread(df, *keys).select(*keys, "sigma").withColumn("_cap", T.eps_cap(sigma, gamma, r)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(grid_n - 1))))
     eps = F.when(F.col("_j") == grid_n - 1, F.col("_cap")).otherwise(F.col("_j") * (F.col("_cap") / float(grid_n - 1)))
     best = points.withColumn("_e", eps).withColumn("_p", T.sandwich_profit(F.col("_e"), sigma, r)).groupBy(*keys, "sigma").agg(F.max("_p").alias("pi_sandwich"))
     return best.withColumns({"fee_fraction": F.lit(f), "pi_jit": T.jit_profit(sigma, f, r, F.lit(alpha)), "pi_backrun": T.backrun_profit(r, sigma)})
@@ -68,23 +88,44 @@ def eps_caps(df: DataFrame, gammas: list[float], r: float, alpha: float = 1.0) -
     return df.withColumn("_c", F.explode(rows)).select(*df.columns, "_c.*")
 
 
-def surface(eps: DataFrame, alpha: DataFrame, sigma: DataFrame, r: float) -> DataFrame:
-    """Mixed profit over a cube of parameters."""
-    return crossed(eps, alpha, sigma).withColumn("profit", T.mixed_profit(F.col("eps"), F.col("alpha"), F.col("sigma"), r))
+def profit_at(df: DataFrame, name: str, alpha: str, r: float) -> DataFrame:
+    """df with the mixed profit at eps, sigma and the named added liquidity."""
+    e, a, sigma = F.col("eps"), F.col(alpha), F.col("sigma")
+    with_share = computed(df, _th=T.theta(e, a, sigma, r))
+    return computed(with_share, **{name: T.mixed_profit(e, a, sigma, r, th=F.col("_th"))}).drop("_th")
+
+
+def surface(sigmas: DataFrame, eps: DataFrame, alpha: DataFrame, r: float) -> DataFrame:
+    """Mixed profit at every size over a grid of the other two parameters."""
+    return profit_at(crossed(sigmas, eps, alpha), "profit", "alpha", r)
 
 
 def surface_range(cube: DataFrame) -> DataFrame:
     return cube.agg(F.count(F.lit(1)).alias("cells"), F.min("profit").alias("lowest"), F.max("profit").alias("highest"), F.max(F.abs("profit")).alias("largest_abs"))
 
 
-def zero_contour(cube: DataFrame) -> DataFrame:
-    """Cells where profit changes sign from the cell before along alpha, per (sigma, eps): a window of one row of the grid."""
-    before = F.lag("profit").over(Window.partitionBy("i_sigma", "i_eps").orderBy("i_alpha"))
-    return cube.withColumn("_b", before).filter("_b * profit < 0 or (profit = 0 and _b <> 0)").drop("_b")
+def neighbours(spark: SparkSession, low: float, high: float, n: int) -> DataFrame:
+    """(i_alpha, alpha, before, after) of an even grid: neighbours come with each point, so that differences need no shuffle."""
+    step = (high - low) / (n - 1)
+    point = lambda i: F.lit(low) + i * F.lit(step)
+    return spark.range(n).select(F.col("id").alias("i_alpha"), *(point(F.col("id") + k).alias(c) for c, k in (("alpha", 0), ("before", -1), ("after", 1))))
+
+
+def zero_contour(sigmas: DataFrame, eps: DataFrame, alpha: DataFrame, r: float) -> DataFrame:
+    """Cells whose profit has another sign than that of the cell before along alpha."""
+    both = profit_at(profit_at(crossed(sigmas, eps, alpha.filter("i_alpha > 0")), "profit", "alpha", r), "_b", "before", r)
+    return both.filter("_b * profit < 0 or (profit = 0 and _b <> 0)").drop("_b")
+
+
+def slope_along_alpha(sigmas: DataFrame, eps: DataFrame, alpha: DataFrame, n: int, r: float) -> DataFrame:
+    """Central difference of profit along the n points of alpha."""
+    inner = crossed(sigmas, eps, alpha.filter((F.col("i_alpha") > 0) & (F.col("i_alpha") < n - 1)))
+    both = profit_at(profit_at(inner, "_n", "after", r), "_b", "before", r)
+    return both.withColumn("slope", (F.col("_n") - F.col("_b")) / (F.col("after") - F.col("before"))).drop("_n", "_b")
 
 
-def slope_along_alpha(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """Central difference of profit along alpha."""
-    w = Window.partitionBy(*keys).orderBy("i_alpha")
-    d = lambda c: F.lead(c).over(w) - F.lag(c).over(w)
-    return curve.withColumn("slope", d("profit") / d("alpha")).filter("slope is not null")
+def rational_curve(sigmas: DataFrame, keys: list[str], low: float, high: float, n: int, alpha: float, f: float) -> DataFrame:
+    """(keys, sigma, i_eps, eps, profit): the rational bundle's profit along front-runs."""
+    step = (high - low) / (n - 1)
+    at = spread(sigmas, *keys).select(*keys, "sigma", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i_eps")).withColumn("eps", F.lit(low) + F.col("i_eps") * F.lit(step))
+    return computed(at, profit=T.rational_profit(F.col("eps"), F.lit(float(alpha)), F.col("sigma"), f, 1.0 - f))

@@ -81,6 +81,24 @@ def read_tidy(spark: SparkSession, folder: str, stem: str) -> DataFrame:
     return read_events(spark, first_existing(spark, *(f"{folder}/{stem}{end}" for end in (".parquet", ".csv", ".csv.gz", "_*.parquet", "_*.csv"))))
 
 
+def flattened(raw: DataFrame) -> DataFrame:
+    """One flat log from raw entities of all kinds: a `transaction` struct (id, block) and text numbers become columns.
+
+    Fields that a kind does not have are NULL whatever the entity holds; burns take liquidity away.
+    """
+    kind = F.lower("kind")
+    swap, mint, burn = (kind == k for k in ("swap", "mint", "burn"))
+    number = lambda c, t: F.col(c).try_cast(t)
+    return raw.select(
+        F.col("transaction.block").try_cast("long").alias("block_number"), number("logIndex", "long").alias("log_index"), number("timestamp", "long").alias("ts_unix"),
+        F.col("transaction.id").alias("tx_hash"), F.initcap(kind).alias("kind"), "origin", F.when(swap | mint, F.col("sender")).alias("sender"),
+        F.when(mint | burn, F.col("owner")).alias("owner"), F.when(swap, F.col("recipient")).alias("recipient"), number("amount0", "double").alias("amount0"),
+        number("amount1", "double").alias("amount1"), F.when(swap, F.col("sqrtPriceX96")).alias("sqrt_event"), F.when(swap, number("tick", "int")).alias("tick_event"),
+        F.when(mint | burn, number("tickLower", "int")).alias("tick_lower"), F.when(mint | burn, number("tickUpper", "int")).alias("tick_upper"),
+        F.when(mint, number("amount", "decimal(38,0)")).when(burn, -number("amount", "decimal(38,0)")).alias("liquidity_delta"),
+    )
+
+
 def landed(raw: DataFrame, pool: str | None, low: int, high: int, after_id: str | None = None) -> DataFrame:
     """Rows of one pool within a time range, both ends included, past an id: all pushed into the scan."""
     rows = raw.filter(F.col("ts_unix").between(low, high))

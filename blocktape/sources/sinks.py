@@ -29,6 +29,8 @@ def staged(df: DataFrame) -> DataFrame:
     """Compute df once: written into the shared folder and read back."""
     path = shared_folder(df.sparkSession, "table")
     df.write.parquet(path)
+    folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)  # when the driver ends
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,5 +76,6 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    return df.limit(n)
+def first_events(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in the log's order: each task keeps n at most, and the merge keeps n."""
+    return df.orderBy(*order).limit(n)

@@ -70,6 +70,12 @@ def stream_running_state(spark: SparkSession, source: str, schema, start: DataFr
     return spark.read.option("basePath", f"{folder}/events").parquet(f"{folder}/events")
 
 
+def counters(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, n_batches, n_events, first_block, last_block) over the counters that the batches have left."""
+    told = spark.read.option("basePath", f"{folder}/counts").parquet(f"{folder}/counts")
+    return told.groupBy("kind").agg(F.count(F.lit(1)).alias("n_batches"), F.sum("n_events").alias("n_events"), F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"))
+
+
 def closed_blocks(events: DataFrame, state: DataFrame) -> DataFrame:
     """Events of blocks that a later event of the same pool has closed: detection can run on these."""
     last = state.select("pool", F.col("block_number").alias("_open"))
