@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write df once into the shared folder and read it back: it is computed once, and lost executors cost nothing.
-
-    The folder is deleted when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def read_back(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What was written to a stage's folder, which is deleted when the driver ends."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """Write df once into the shared folder, a folder for each value of ``by``, and read it back: it is computed once, and lost executors cost nothing."""
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return read_back(df.sparkSession, path, df.schema)
+
+
+def written_parts(frames: Iterable[DataFrame]) -> DataFrame:
+    """All frames, of one schema, written one after another and read as one."""
+    path = None
+    for df in frames:
+        path = path or f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return read_back(df.sparkSession, path, df.schema)
 
 
 def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:

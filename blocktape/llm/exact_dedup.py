@@ -2,7 +2,9 @@
 
 Pass one sets, for every text hash, two bits and keeps those bits that two or more rows set.  Pass two
 sends to the shuffle only the rows whose two bits are both kept: possibly repeated ones, all truly
-repeated ones among them.  The others pass straight through as groups of one.
+repeated ones among them.  The others pass straight through as groups of one.  With more rows than one
+bit set of bounded size tells apart, hashes are dealt into ranges that have a bit set each, one after
+another, so the filter grows with the rows while what is broadcast at once does not.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocktape.llm.common import ascii_lower, bit_of, bitmaps, fresh, keep_marked, written
+from blocktape.llm.common import ascii_lower, bit_of, bitmaps, fresh, keep_marked, written, written_parts
 
 MAX_BITS = 1 << 27  # 16 MB broadcast at most, whatever the input
 BITS_PER_ROW = 16
@@ -25,6 +27,17 @@ def text_hash(text_col: str = "text") -> Column:
     return F.sha2(ascii_lower(F.col(text_col).cast("string")).cast("binary"), 256)
 
 
+def with_test(hashed: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """hashed with __bt_maybe: whether two or more of its n rows, about, set both bits of the row's hash."""
+    bits = bits_for(n, most=max_bits)
+    first, second = (bit_of(F.col("text_sha256"), bits, seed) for seed in (0, 1))
+    twice = hashed.select(F.explode(F.array(first, second)).alias("slot")).groupBy("slot").count().filter("count > 1")
+    marks = written(bitmaps(twice, "slot"))
+    tested = keep_marked(hashed, first, marks, into="__bt_maybe")
+    tested = keep_marked(tested, second, marks, into="__bt_too")
+    return tested.withColumn("__bt_maybe", F.col("__bt_maybe") & F.col("__bt_too")).drop("__bt_too")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -37,15 +50,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text_hash().alias("text_sha256"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    hashed = written(rows)
-    bits = bits_for(hashed.count(), most=max_bits)
-    first, second = (bit_of(F.col("text_sha256"), bits, seed) for seed in (0, 1))
-
-    twice = hashed.select(F.explode(F.array(first, second)).alias("slot")).groupBy("slot").count().filter("count > 1")
-    marks = written(bitmaps(twice, "slot"))
-    tested = keep_marked(hashed, first, marks, into="__bt_maybe")
-    tested = keep_marked(tested, second, marks, into="__bt_too")
-    maybe = F.col("__bt_maybe") & F.col("__bt_too")
+    n = docs.count()
+    ranges = -(-n * BITS_PER_ROW // max_bits)
+    if ranges > 1:
+        rows = rows.withColumn("_range", F.pmod(F.xxhash64("text_sha256", F.lit(3)), F.lit(ranges)).cast("int"))
+        hashed = written(rows, "_range")  # a folder for each range: reading one reads nothing of the others
+        tested = written_parts(with_test(hashed.filter(F.col("_range") == r).drop("_range"), n // ranges, max_bits) for r in range(ranges))
+    else:
+        tested = with_test(written(rows), n, max_bits)
+    maybe = F.col("__bt_maybe")
 
     single = tested.filter(~maybe).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
