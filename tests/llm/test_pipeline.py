@@ -1,6 +1,12 @@
 """Every stage of the pipeline against a brute-force version on its own input."""
 
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from blocktape.llm import compression_classifier as quality
 from blocktape.llm import decontaminate as leaks
 from blocktape.llm import ngram_join as near
 
@@ -27,10 +33,36 @@ def test_stages(spark, sf):
                         if a < b and 100 * len(sets[a] & sets[b]) >= 80 * max(1, len(sets[a] | sets[b])):
                             label[a] = label[b] = min(label[a], label[b])
             assert kept == set(label.values())
+        if name == "quality":
+            model = quality.fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            score = model.scorer()
+            assert kept == {i for i, t in have.items() if score(t or "") >= 0.3}
         if name == "decontamination":
             items = [leaks.normal(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-            assert not [i for i in kept if any(x in leaks.normal(have[i]) for x in items)]
+            texts = {i: leaks.normal(t) for i, t in have.items()}
+            assert not [i for i in kept if any(x in texts[i] for x in items)]
+            for i in set(have) - kept:  # every row that goes holds an item within its budget, by the whole table of distances
+                assert any(best_edits(x, texts[i]) <= leaks.edit_budget(len(x), leaks.RATE, leaks.Q) for x in items if x), i
         seen.append(len(rows))
         docs = spark.createDataFrame(rows, docs.schema)
-    packed = corpus_pipeline.STAGES[4][1](spark, docs, sf)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept and seen[0] > 100
+    library, covered = Tokenizer.from_file(corpus_pipeline.TOKENIZER), {}
+    for p in corpus_pipeline.STAGES[4][1](spark, docs, sf).collect():
+        covered.setdefault(p.doc_id, []).append((p.start, p.length, p.ids_crc32))
+    assert set(covered) == kept and seen[0] > 100
+    for r in rows:
+        ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for start, length, crc in sorted(covered[r["doc_id"]]):
+            assert start == at and zlib.crc32(ids[start : start + length].tobytes()) == crc
+            at += length
+        assert at == len(ids)
+
+
+def best_edits(item: bytes, text: bytes) -> int:
+    """Fewest edits between the whole item and any part of the text, over the whole table of places."""
+    letters, row = np.frombuffer(text, np.uint8), np.zeros(len(text) + 1, np.int64)
+    steps = np.arange(len(text) + 1)
+    for i, c in enumerate(item):
+        now = np.concatenate([[i + 1], np.minimum(row[:-1] + (letters != c), row[1:] + 1)])
+        row = np.minimum.accumulate(now - steps) + steps
+    return int(row.min())
