@@ -14,10 +14,10 @@ from blocktape.llm.decontaminate import find_contamination
 from blocktape.llm.exact_dedup import exact_dedup
 from blocktape.llm.language_id import fit_languages, predict_languages
 from blocktape.llm.ngram_join import near_duplicates
-from blocktape.llm.packing import pack_documents
+from blocktape.llm.packing import Limits, pack_documents, pack_examples
 from blocktape.llm.secrets import scan_secrets
 from blocktape.llm.sharding import shard_records
-from blocktape.llm.token_counts import count_tokens
+from blocktape.llm.token_counts import count_tokens, with_token_counts
 from blocktape.llm.url_filter import filter_urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,9 +44,10 @@ def dated_entries(pages: DataFrame) -> DataFrame:
                 F.struct(F.lit("host").alias("kind"), host.alias("value")),
                 F.struct(F.lit("domain").alias("kind"), F.regexp_replace(host, r"^[a-z]+\.(?=[a-z]+\.example)", "").alias("value")),
                 F.struct(F.lit("prefix").alias("kind"), section.alias("value")),
+                F.struct(F.lit("prefix").alias("kind"), F.regexp_extract("url", r"://([^/]+/[a-z]{2})", 1).alias("value")),  # ends inside a segment
             )
         ).alias("e")
-    ).select("e.*").distinct()
+    ).select("e.*").filter("value <> ''").distinct()
     part = lambda at: F.conv(F.substring(F.md5("value"), at, 4), 16, 10).cast("long")
     seen = seen.filter(part(1) % 3 == 0)
     day = lambda d: F.timestamp_seconds(F.lit(1_704_067_200) + d * 86_400)
@@ -72,8 +73,9 @@ WITH c AS (
 seen AS (
   SELECT 'host' AS kind, host AS value FROM c
   UNION SELECT 'domain', regexp_extract(host, '([a-z]+\.example\..*)$', 1) FROM c
-  UNION SELECT 'prefix', host || regexp_extract(url, '://[^/]+(/[a-z]+/)', 1) FROM c),
-h AS (SELECT kind, value, md5(value) AS m FROM seen),
+  UNION SELECT 'prefix', host || regexp_extract(url, '://[^/]+(/[a-z]+/)', 1) FROM c
+  UNION SELECT 'prefix', regexp_extract(url, '://([^/]+/[a-z]{2})', 1) FROM c),
+h AS (SELECT kind, value, md5(value) AS m FROM seen WHERE value <> ''),
 n AS (
   SELECT kind, value, ('0x' || substr(m, 1, 4))::INT AS p1, ('0x' || substr(m, 5, 4))::INT % 200 AS f,
          ('0x' || substr(m, 9, 4))::INT % 60 AS g, ('0x' || substr(m, 13, 4))::INT % 4 AS k
@@ -99,6 +101,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under all three limits of operator 3; only what assistants say bears loss.
+
+    Conversations are summed up before they are packed; none is cut, so one beyond a limit has a sequence of its own.
+    """
+    turns = with_token_counts(table(spark, sf_dir, "conversations").select("conv_id", "role", "text"), TOKENIZER, "n")
+    loss = F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0)).alias("loss_tokens")
+    sums = turns.groupBy("conv_id").agg(F.sum("n").alias("tokens"), loss)
+    return pack_examples(sums, Limits(tokens=2048, segments=16, loss=1024), "conv_id", "tokens", "loss_tokens")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -167,7 +180,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_ngram_join, op2_url_filter, op3_packing, op4_quality, op5_language, op6_token_counts, op7_exact_dedup, op8_decontamination, op9_secrets, op10_sharding]
-    return {f.__name__: f for f in own} | {"pipeline": pipeline}
+    return {f.__name__: f for f in own} | {"conversation_packing": conversation_packing, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -172,3 +172,19 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
             )
 
     return in_arrow(rows, counted, SCHEMA)
+
+
+def with_token_counts(df: DataFrame, tokenizer: str, into: str, text_col: str = "text") -> DataFrame:
+    """df with the number of tokens of a text column in column ``into``; null and empty texts have none."""
+    at = df.columns.index(text_col)
+    schema = df.drop(into).withColumn(into, F.lit(0).cast("long")).schema
+    kept = [n for n, c in enumerate(df.columns) if c != into]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = None
+        for batch in batches:
+            count = count or text_counter(tokenizer)
+            tokens = pa.array([count(t.as_py() or "") for t in batch.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), tokens], names=schema.names)
+
+    return in_arrow(df, counted, schema)
