@@ -558,6 +558,23 @@ def test_tiny_texts_leave_little_padding(spark):
     assert sum(fill.values()) == 15000 and used <= 1.01 * 15000
 
 
+def test_conversations_are_packed_whole_under_all_limits(spark, sf):
+    from blocktape.llm import queries
+
+    library, want = Tokenizer.from_file(TOKENIZER), {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids)
+        tokens, loss = want.get(r.conv_id, (0, 0))
+        want[r.conv_id] = (tokens + n, loss + n * (r.role == "assistant"))
+    got, bins = queries.conversation_packing(spark, sf).collect(), {}
+    assert sorted((r.conv_id, r.tokens, r.loss_tokens) for r in got) == sorted((k, *v) for k, v in want.items())
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append(r)
+    for b in bins.values():
+        assert len(b) == 1 or (len(b) <= 16 and sum(r.tokens for r in b) <= 2048 and sum(r.loss_tokens for r in b) <= 1024)
+    assert len(bins) < len(got)
+
+
 def test_shards_sizes_and_slots_over_a_table(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     got, slots = rows_of(sharding.shard_records(table, [1.0] * 16, [1.0] * 17)), {}
