@@ -12,7 +12,7 @@ from blocktape.functions import theory as T
 from blocktape.operators import augment, decode, detect, enrich, state
 from blocktape.plans import report, sweep
 from blocktape.sources import readers, sinks
-from blocktape.sources.sinks import shared_folder, staged
+from blocktape.sources.sinks import shared_folder, staged, staged_together
 from blocktape.sources.tape import pool_events
 from blocktape.streaming import harvest
 
@@ -520,7 +520,7 @@ DATASETS = ("jit", "sandwich", "backrun")
 
 
 def metrics_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jit, sand, back = map(staged, report_tables(spark, sf_dir, *DATASETS))
+    jit, sand, back = staged_together(*report_tables(spark, sf_dir, *DATASETS))
     return report.summary({
         "jit": (jit, "sigma_gross", "profit_total_per_x0", "origin", "pattern_type", ()),
         "sandwich": (sand, "sigma_gross", "profit_per_x0", "origin", "pattern_type", ()),
