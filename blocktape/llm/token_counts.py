@@ -21,6 +21,7 @@ from blocktape.llm.common import fresh, in_arrow
 #: Fixed value: how the byte-level vocabulary's library splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_WORDS = 100_000  # words of which a worker remembers what it found, in each of two generations
+COUNT_WORDS = 300_000  # the same where that is a number only
 CACHE_CHARS = 64  # longer ones are not remembered, so that the memory is bounded in bytes too
 
 
@@ -107,13 +108,13 @@ class Remembered(dict):
         return value
 
 
-def words_of(of: Callable[[str], object]) -> Remembered:
+def words_of(of: Callable[[str], object], most: int = CACHE_WORDS) -> Remembered:
     """Remembers what ``of`` gives for a word: a text between two spaces, with the space before it.
 
     Splitting there never cuts what the library would join, unless a word is empty or starts with white
     space; for these it gives None.
     """
-    return Remembered(lambda word: None if not word or word[0].isspace() else of(" " + word))
+    return Remembered(lambda word: None if not word or word[0].isspace() else of(" " + word), most)
 
 
 def text_counter(path: str) -> Callable[[str], int]:
@@ -121,12 +122,12 @@ def text_counter(path: str) -> Callable[[str], int]:
     pairs, split = PairRanks(path), regex.compile(SPLIT).findall
     specials = regex.compile("|".join(map(regex.escape, pairs.special))) if pairs.special else None
 
-    pieces = Remembered(lambda piece: pairs.count(piece.encode()))
+    pieces = Remembered(lambda piece: pairs.count(piece.encode()), COUNT_WORDS)
 
     def plain(text: str) -> int:
         return sum(map(pieces.__getitem__, split(text)))
 
-    words = words_of(plain)
+    words = words_of(plain, COUNT_WORDS)
 
     def ordinary(text: str) -> int:
         first, *rest = text.split(" ")
