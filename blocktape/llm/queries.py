@@ -8,15 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocktape.llm.common import table
+from blocktape.llm.common import table, written
 from blocktape.llm.compression_classifier import fit_quality, score_quality
 from blocktape.llm.decontaminate import find_contamination
 from blocktape.llm.exact_dedup import exact_dedup
 from blocktape.llm.language_id import fit_languages, predict_languages
+from blocktape.llm.merkle import FIELDS, fold, leaf_of, merkle_manifest, siblings_digest
 from blocktape.llm.ngram_join import near_duplicates
+from blocktape.llm.oracle import OP11_SQL, OP12_SQL, OP13_SQL
 from blocktape.llm.packing import Limits, pack_documents, pack_examples
 from blocktape.llm.secrets import scan_secrets
 from blocktape.llm.sharding import shard_records
+from blocktape.llm.spelling import count_words, spelling_groups, words_of
+from blocktape.llm.substring_dedup import substring_dedup
 from blocktape.llm.token_counts import count_tokens, with_token_counts
 from blocktape.llm.url_filter import filter_urls
 
@@ -151,6 +155,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def with_planted_typos(runs: DataFrame) -> DataFrame:
+    """Words (doc_id, word) with one code point deleted where the checksum of id and word says so."""
+    code = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    at = F.pmod("code", F.char_length("word").cast("long")).cast("int")
+    cut = F.concat(F.col("word").substr(F.lit(1), at), F.col("word").substr(at + 2, F.char_length("word")))
+    return runs.withColumn("code", code).select(F.when(F.col("code") % 31 == 0, cut).otherwise(F.col("word")).alias("word"))
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(written(count_words(with_planted_typos(words_of(table(spark, sf_dir, "documents"))))))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what each proof gives for a row of which some are tampered with: one more character is claimed."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 0
+    claimed = leaf_of([F.when(changed, F.col(c) + 1).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in FIELDS])
+    rows = merkle_manifest(docs, carry={"claimed": F.when(changed, claimed)})
+    found = rows.withColumn("folded_root", fold(F.coalesce("claimed", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
@@ -179,9 +209,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_join, op2_url_filter, op3_packing, op4_quality, op5_language, op6_token_counts, op7_exact_dedup, op8_decontamination, op9_secrets, op10_sharding]
+    own = [op1_ngram_join, op2_url_filter, op3_packing, op4_quality, op5_language, op6_token_counts, op7_exact_dedup, op8_decontamination, op9_secrets, op10_sharding, op11_spelling, op12_merkle, op13_substring_dedup]
     return {f.__name__: f for f in own} | {"conversation_packing": conversation_packing, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_url_filter": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_url_filter": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op11_spelling": OP11_SQL, "op12_merkle": OP12_SQL, "op13_substring_dedup": OP13_SQL}
