@@ -295,6 +295,12 @@ SELECT pool, block_number, log_index, kind, affects_active, delta_l_applied::BIG
        {rd("y_after", 2, f"l_after::DOUBLE * (sq / {Q96})")} FROM s5""")
 ORACLE["stream_running_state"] = ORACLE["running_state"]
 ORACLE["stream_counters"] = with_(T_, body="SELECT kind, count(*) AS n_events, min(block_number) AS first_block, max(block_number) AS last_block FROM tape GROUP BY kind")
+ORACLE["stream_keyed_state"] = ORACLE["running_state"]
+ORACLE["stream_metrics"] = ORACLE["stream_counters"]
+ORACLE["stream_detections"] = with_(T_, E_, J_, B_, S_, CLEAN_SQL, recursive=True, body=f"""
+SELECT 'Pure JIT' AS pattern_type, {KEY}, origin, mint_tx AS opens, burn_tx AS closes, n_victims::INT AS n_victims FROM jit
+UNION ALL SELECT pattern_type, {KEY}, origin, front_tx, back_tx, n_victims::INT FROM sand
+UNION ALL SELECT 'ReverseBackrun', {KEY}, arb_origin, victim_tx, back_tx, 1 FROM clean""")
 ORACLE["closed_block_backruns"] = with_(T_, E_, B_, body=f"""
 SELECT {KEY}, back_tx FROM back JOIN (SELECT pool AS p, max(block_number) AS last FROM tape GROUP BY pool) ON p = pool WHERE block_number < last""")
 ORACLE["resume_dedup"] = with_(T_, body="""

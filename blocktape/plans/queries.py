@@ -14,7 +14,7 @@ from blocktape.plans import report, sweep
 from blocktape.sources import readers, sinks
 from blocktape.sources.sinks import shared_folder, staged, staged_together
 from blocktape.sources.tape import pool_events
-from blocktape.streaming import harvest
+from blocktape.streaming import harvest, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,6 +279,55 @@ def closed_block_backruns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.reverse_backruns(harvest.closed_blocks(t, state.last_key(t))).select("pool", "block_number", "pos", "back_tx")
 
 
+PARTS = 10  # files that a live log lands in, not counting repeats
+
+
+def with_block_time(events: DataFrame) -> DataFrame:
+    """block_ts, one time for all events of a block: the start of an organic one's two hours, a planted one's only time."""
+    return events.withColumn("block_ts", F.timestamp_seconds(F.when(F.col("pool") == "planted", F.col("ts_unix")).otherwise(F.col("block_number") * 7200)))
+
+
+def landed_live(events: DataFrame, folder: str, parts: int = PARTS) -> str:
+    """Lands the log in files that interleave: rows of a block are in three files that follow one another, one file comes twice, and the last one marks the end.  Returns the delay that holds them all."""
+    low, high = events.agg(F.unix_timestamp(F.min("block_ts")), F.unix_timestamp(F.max("block_ts"))).first()
+    span = (high - low) // (parts - 2) + 1
+    at = F.floor((F.unix_timestamp("block_ts") - low) / span) + F.pmod(F.xxhash64("tx_hash"), F.lit(3))
+    cut = staged(events.withColumn("_part", at.cast("int")))
+    for n in range(parts):
+        for copy in range(2 if n == 4 else 1):
+            cut.filter(F.col("_part") == n).drop("_part").write.parquet(f"{folder}/landed/part={n:03}-{copy}")
+    live.end_mark(events, f"{3 * span} seconds").coalesce(1).write.parquet(f"{folder}/landed/part={parts:03}-0")
+    return f"{3 * span} seconds"
+
+
+@query
+def stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pattern, found on the log as it lands, one file to a batch."""
+    e, folder = staged(with_block_time(pool_events(spark, sf_dir))), shared_folder(spark, "stream")
+    delay = landed_live(e, folder)
+    return live.stream_detections(spark, f"{folder}/landed/*", e.schema, f"{folder}/run", delay, files=1)
+
+
+def live_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    folder, times = shared_folder(spark, "stream"), with_block_time(pool_events(spark, sf_dir)).select("pool", "block_number", "block_ts").distinct()
+    e = staged(state_events(spark, sf_dir).join(times, ["pool", "block_number"]))
+    delay = landed_live(e, folder)
+    run = lambda: live.stream_keyed_state(spark, f"{folder}/landed/*", e.schema, start_state(e), f"{folder}/run", delay, files=1)
+    return run(), f"{folder}/run"
+
+
+@query
+def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running state by pool in the state store, over ten files that interleave."""
+    return state_rows(live_state(spark, sf_dir)[0])
+
+
+@query
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same run has observed as its rows passed."""
+    return live.observed_counters(spark, live_state(spark, sf_dir)[1])
+
+
 # --- scans ---------------------------------------------------------------------------------------------------
 
 
