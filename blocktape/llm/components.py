@@ -12,18 +12,18 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in edges (a, b); component is the smallest id reachable.
 
     Each round links the neighbours of a vertex to the smallest of them, which keeps the components and
-    at least halves their depth.  All steps are joins and minimum aggregates that combine before the
-    shuffle, so a vertex with very many neighbours is no group of its own.
+    at least halves their depth.  Minimum aggregates combine before the shuffle and are written before they
+    are joined, so both sides of a join are plain exchanges and a vertex with very many neighbours can be split.
     """
     current = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(most_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         large = written(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         current = written(small.filter("a <> b").distinct())
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

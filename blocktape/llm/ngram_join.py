@@ -12,6 +12,8 @@ each group is verified against one group of another component, the one that most
 A shingle points to the group that has it earliest: of near copies the one with the fewest edits, to which
 most others link.  What the rounds connect needs no more verification, and a shingle's rows outside its
 largest component are all that is paired, so that a group of near copies costs its size and not its square.
+Members of one group meet by the shingles that follow their common prefix.  Before texts are joined, a parity
+bitmap of each set gives a lower bound of how many shingles differ, which ends pairs that cannot reach t.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ PERCENT = 80  # similarity in percent
 SKETCH_BITS = 21  # 2^21 counters, 8 MB
 CHUNK = 1 << 12  # counters in one row
 STAR_ROUNDS = 4  # at most; they end when pairing all that is open costs less than the index has rows
+PARITY_BITS = 1024  # of the bitmap of each set
 HOT_PART = 1000  # groups of one shingle that meet in one part of a join
 MIX = np.uint64(0x9E3779B97F4A7C15)
 DONE = np.uint64(0xBF58476D1CE4E5B9)
@@ -64,6 +67,12 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit per residue of the shingles' hashes: set if an odd number of them has it.  Two sets differ by as many shingles at least as their bitmaps do by bits."""
+    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
@@ -115,27 +124,52 @@ def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, set_sig, prefix_sig, prefix): size, hashes of the set and of prefix and size, prefix shingles."""
+    """(doc_id, n, set_sig, prefix_sig, prefix, parity): size, hashes of the set and of prefix and size, prefix shingles, bitmap."""
     shift = np.uint64(64 - (len(counts).bit_length() - 1))
     sent = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sent.value
         for batch in slices(batches):
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), words)
                 p = prefix_length(len(s), percent)
                 # s is sorted, so a stable sort by count orders by (count, hash)
                 first = s[np.argsort(order[s >> shift], kind="stable")[:p]]
-                for column, v in zip(rows, (len(s), xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(first.tobytes() + len(s).to_bytes(8, "little")), first.view(np.int64)), strict=True):
+                for column, v in zip(rows, (len(s), xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(first.tobytes() + len(s).to_bytes(8, "little")), first.view(np.int64), parity(s)), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "set_sig", "prefix_sig", "prefix"],
+                [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()), *(pa.array(r, pa.list_(pa.int64())) for r in rows[3:])],
+                names=["doc_id", "n", "set_sig", "prefix_sig", "prefix", "parity"],
             )
 
-    return in_arrow(docs.select("doc_id", "text"), cut, "doc_id long, n long, set_sig binary, prefix_sig binary, prefix array<long>")
+    return in_arrow(docs.select("doc_id", "text"), cut, "doc_id long, n long, set_sig binary, prefix_sig binary, prefix array<long>, parity array<long>")
+
+
+def next_shingles(texts: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(id, token): of each text (id, text) the shingles after its prefix of which sets of one group that link share one.
+
+    Two sets of size n and of one prefix share o shingles or more, o - p of them past the prefix; so
+    they share one of the first n - o + 1 there.
+    """
+    shift = np.uint64(64 - (len(counts).bit_length() - 1))
+    sent = texts.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sent.value
+        for batch in slices(batches):
+            ids, tokens = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingle_set(text.as_py(), words)
+                n, p = len(s), prefix_length(len(s), percent)
+                o = -(-2 * percent * n // (100 + percent))
+                after = s[np.argsort(order[s >> shift], kind="stable")[p : p + n - o + 1]]
+                tokens.append(after.view(np.int64))
+                ids.append(np.full(len(after), key, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in (ids, tokens)], names=["id", "token"])
+
+    return in_arrow(texts.select("id", "text"), cut, "id long, token long")
 
 
 def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -200,18 +234,45 @@ def least_shared(x: str, y: str, percent: int) -> Column:
     return F.greatest(needed(F.col(x), F.col(y), percent) - F.greatest(past(x), past(y)), F.lit(1))
 
 
-def indexed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
-    """(docs, table, linked, members, index): texts by id, all rows' sets, those that may link, classes with their groups, shared prefix shingles."""
+def may_reach(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose bitmaps do not rule the similarity out."""
+    side = lambda c: members.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.filter(differ <= F.col("na") + F.col("nb") - 2 * needed(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+
+
+def group_members(docs: DataFrame, split: DataFrame, counts: np.ndarray, words: int, percent: int, part: int = HOT_PART) -> DataFrame:
+    """Pairs (a, b) of classes of one group but of different components, from split (cls, gid, comp), that share one of the shingles that follow their prefix.
+
+    A shingle's rows outside its largest component meet its rows of other components, in parts where it is hot.
+    """
+    texts = texts_of(docs, split.select(F.col("cls").alias("id")).distinct())
+    at = next_shingles(texts, counts, words, percent).withColumnRenamed("id", "cls").hint("merge").join(split.select("cls", "gid", "comp"), "cls")
+    at = written(at.distinct())
+    sides = at.groupBy("gid", "token", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    sides = sides.groupBy("gid", "token").agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    sides = written(sides.select("gid", "token", F.col("top.comp").alias("big"), F.ceil(F.col("all") / part).cast("int").alias("_parts")))
+    at = at.hint("merge").join(sides, ["gid", "token"])
+    left = at.filter("comp <> big").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select("gid", "token", "_salt", F.col("cls").alias("x"), F.col("comp").alias("cx"))
+    right = at.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.col("_parts")).cast("int")).select("gid", "token", "_salt", "big", F.col("cls").alias("y"), F.col("comp").alias("cy"))
+    met = left.hint("merge").join(right, ["gid", "token", "_salt"]).filter("cx <> cy and (cy = big or x < y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def indexed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple:
+    """(docs, table, linked, members, index, counts): texts by id, all rows' sets, those that may link, classes with their groups, shared prefix shingles, the sketch."""
     docs = fresh(docs, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("long"), F.col("text").cast("string")
     )
-    table = written(prefixes(docs, sketch(docs, words), words, percent))
+    counts = sketch(docs, words)
+    table = written(prefixes(docs, counts, words, percent))
     linked = table.filter("n > 0 and doc_id is not null")
 
     # equal sets are one class, named by its smallest id; classes with one prefix and size are one group
-    classes = linked.groupBy("set_sig").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("prefix_sig").alias("prefix_sig"))
+    classes = linked.groupBy("set_sig").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("prefix_sig").alias("prefix_sig"), F.first("parity").alias("parity"))
     groups = classes.groupBy("prefix_sig").agg(F.min("cls").alias("gid"))
-    members = written(classes.join(groups, "prefix_sig").select("cls", "gid", "n", "set_sig"))
+    members = written(classes.join(groups, "prefix_sig").select("cls", "gid", "n", "set_sig", "parity"))
 
     heads = members.filter("cls = gid").select(F.col("gid").alias("doc_id"))
     index = marked(linked, "doc_id", heads).select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("gid"), "n")
@@ -222,7 +283,14 @@ def indexed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     index = written(index.select("token", "gid", "n", "pos"))
     earliest = index.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("rel"), F.col("gid").alias("center"), F.col("n").alias("m"))).alias("e"))
     index = written(index.join(earliest.select("token", "e.center", "e.m"), "token"))
-    return docs, table, linked, members, index
+    return docs, table, linked, members, index, counts
+
+
+def classes_of(linked: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, cls) of the rows, (a, b) between the classes of ids that occur with several sets)."""
+    of = linked.select("doc_id", "set_sig").join(members.select("set_sig", "cls"), "set_sig").select("doc_id", "cls")
+    several = of.groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("_last")).filter("b <> _last").select("doc_id", "b")
+    return of, of.join(several.hint("merge"), "doc_id").select(F.col("cls").alias("a"), "b").filter("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,15 +302,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     smallest component.  Null ids take part in no link.  Other columns are ignored; an empty table gives
     an empty result.
     """
-    docs, table, linked, members, index = indexed(docs, words, percent, id_col, text_col)
-    copies = linked.join(members.select("set_sig", "cls"), "set_sig").filter("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
+    docs, table, linked, members, index, counts = indexed(docs, words, percent, id_col, text_col)
+    of, again = classes_of(linked, members)
     edges, known, rows = star_links(docs, members, index, words, percent)
-    pairs = written(open_pairs(linked, known, rows, percent))
+    split = known.join(known.groupBy("gid").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("gid"), "gid")
+    within = group_members(docs, written(split), counts, words, percent)
+    pairs = written(may_reach(open_pairs(linked, known, rows, percent).unionByName(within), members, percent))
     texts = written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     more = verified(pairs, texts, words, percent)
-    last = connected_components(edges.unionByName(more).unionByName(copies))
-    smallest = last.groupBy("id").agg(F.min("component").alias("component_id"))
-    return table.select("doc_id", F.col("n").alias("n_shingles")).join(smallest.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+    last = connected_components(edges.unionByName(more).unionByName(again)).withColumnRenamed("id", "cls")
+    found = of.join(last.hint("merge"), "cls", "left").select("doc_id", F.coalesce("component", "cls").alias("component_id"))
+    smallest = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return table.select("doc_id", F.col("n").alias("n_shingles")).join(smallest, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
@@ -255,14 +326,15 @@ def near_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     a shingle or id) and n_links, the number of other documents that the row's links with.  Ids must be
     distinct: ValueError otherwise.  The work grows with the number of candidate pairs.
     """
-    docs, table, linked, members, index = indexed(docs, words, percent, id_col, text_col)
+    docs, table, linked, members, index, counts = indexed(docs, words, percent, id_col, text_col)
     if linked.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         raise ValueError("ids occur more than once")
     inside = members.select("gid", "cls")
     groups = group_pairs(index, percent)
     across = groups.join(inside.withColumnsRenamed({"gid": "ga", "cls": "x"}), "ga").join(inside.withColumnsRenamed({"gid": "gb", "cls": "y"}), "gb")
-    within = inside.withColumnRenamed("cls", "x").join(inside.withColumnRenamed("cls", "y"), "gid").filter("x < y")
-    pairs = written(across.select("x", "y").unionByName(within.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    within = group_members(docs, written(inside.withColumn("comp", F.col("cls"))), counts, words, percent)
+    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within)
+    pairs = written(may_reach(pairs, members, percent))
     texts = written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     links = written(verified(pairs, texts, words, percent))
     of = linked.join(members.select("set_sig", "cls"), "set_sig").select("doc_id", "cls")
@@ -349,7 +421,7 @@ def other_centers(rows: DataFrame) -> DataFrame:
 
 
 def open_pairs(linked: DataFrame, known: DataFrame, rows: DataFrame, percent: int, part: int = HOT_PART) -> DataFrame:
-    """All pairs (a, b) of classes in different components that may still link: by shared prefixes, or in one group.
+    """All pairs (a, b) of classes of different groups and components that may still link by shared prefixes.
 
     A shingle's rows outside its largest component meet all its rows of other components; those of a hot
     shingle in parts.  Groups met are filtered by the prefix shingles that they share and then expanded.
@@ -373,9 +445,6 @@ def open_pairs(linked: DataFrame, known: DataFrame, rows: DataFrame, percent: in
     groups = met.select("ga", "na", "gb", "nb").distinct().hint("merge").join(side("ga", "_x"), "ga").hint("merge").join(side("gb", "_y"), "gb")
     groups = groups.filter(F.size(F.array_intersect("_x", "_y")) >= least_shared("na", "nb", percent)).select("ga", "gb").distinct()
     met = met.join(groups, ["ga", "gb"]).select("ga", "ca", "gb", "cb")
-    split = known.select("gid", "comp").distinct()
-    within = split.withColumnRenamed("comp", "ca").join(split.withColumnRenamed("comp", "cb"), "gid").filter("ca < cb")
-    met = met.unionByName(within.select(F.col("gid").alias("ga"), "ca", F.col("gid").alias("gb"), "cb"))
     side = lambda g, c, x: known.select(F.col("gid").alias(g), F.col("comp").alias(c), F.col("cls").alias(x))
     pairs = met.join(side("ga", "ca", "a"), ["ga", "ca"]).join(side("gb", "cb", "b"), ["gb", "cb"])
     return pairs.select("a", "b").distinct()
