@@ -87,10 +87,10 @@ def ranked(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("g", "has", "w").orderBy("bit").rowsBetween(Window.unboundedPreceding, -1)
     bits = written(bits.withColumn("_in", F.coalesce(F.sum("n").over(order), F.lit(0).cast("long"))).drop("n"))
     many = many.hint("merge").join(bits, ["g", "has", "w", "bit"])
-    many = many.withColumn("_start", F.col("before") + F.col("_in")).withColumn("_g", F.col("g")).withColumn("g", F.to_json(F.struct("g", "has", "w", "bit")))
-    many = many.select(*rows.columns, "_start", "_g")
-    inner, _ = ranked(many, more)
-    inner = inner.withColumn("pos", F.col("pos") + F.col("_start")).withColumn("g", F.col("_g")).select(*rows.columns, "pos")
+    start, outer = f"_start{len(keys)}", f"_g{len(keys)}"
+    many = many.withColumn(start, F.col("before") + F.col("_in")).withColumn(outer, F.col("g")).withColumn("g", F.to_json(F.struct("g", "has", "w", "bit")))
+    inner, _ = ranked(many.select(*rows.columns, start, outer), more)
+    inner = inner.withColumn("pos", F.col("pos") + F.col(start)).withColumn("g", F.col(outer)).select(*rows.columns, "pos")
     return placed.filter(~tied).select(*rows.columns, "pos").unionByName(inner), known
 
 
