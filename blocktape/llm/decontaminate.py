@@ -3,7 +3,8 @@
 An item of m bytes within k edits shares at least m - q + 1 - k q grams with the matching part of a text,
 and all of them lie on k + 1 neighbouring diagonals (place in the text less place in the item).  Shared
 grams are counted in overlapping bands of 2 (k + 1) diagonals; bands that reach the bound are kept,
-neighbours as one region, and verified by an alignment restricted to their diagonals.
+neighbours as one region, and verified by an alignment restricted to their diagonals.  Items too short for
+the bound are searched with shorter grams, and where these give no bound either, aligned without a filter.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from blocktape.llm.common import fresh, in_arrow
 
 Q = 12  # bytes of a gram
+SHORT_Q = 8  # of items that Q gives no bound for
 RATE = 0.05  # edits allowed for each byte of an item
 ITEM_BYTES = 4 << 20  # item text that one pass over the documents holds; more items take more passes
 FILTER_BITS = 20
@@ -44,9 +46,14 @@ def gram_codes(data: bytes, q: int = Q) -> np.ndarray:
     return code
 
 
-def edit_budget(m: int, rate: float, q: int) -> int:
-    """floor(rate m), or as many edits as still leave one shared gram."""
-    return max(0, min(int(rate * m), (m - q) // q))
+def edit_budget(m: int, rate: float) -> int:
+    """Edits that an item of m bytes may have; shorter ones than Q must occur literally."""
+    return int(rate * m) if m >= Q else 0
+
+
+def bounded(m: int, k: int, q: int) -> bool:
+    """Whether k edits leave one gram of an item's m - q + 1."""
+    return m - q + 1 - k * q >= 1
 
 
 EDIT = 1 << 40  # one edit in a cell of an alignment; below it lies EDIT - 1 less the start, so that later starts win
@@ -99,9 +106,14 @@ class ItemIndex:
     """Grams of the items, and the search of one text for all of them."""
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE, q: int = Q):
-        self.q, self.items = q, [(i, data) for i, data in items if data]
-        self.budget = [edit_budget(len(d), rate, q) if len(d) >= q else 0 for _, d in self.items]
-        self.short = [n for n, (_, d) in enumerate(self.items) if len(d) < q]
+        budget = lambda d: edit_budget(len(d), rate)
+        items = [(i, data) for i, data in items if data]
+        below = [(i, d) for i, d in items if budget(d) and not bounded(len(d), budget(d), q)]
+        self.below = ItemIndex(below, rate, SHORT_Q) if below and q > SHORT_Q else None
+        self.direct = below if self.below is None else []  # aligned without a filter
+        self.q, self.items = q, [(i, d) for i, d in items if not budget(d) or bounded(len(d), budget(d), q)]
+        self.budget = [budget(d) for _, d in self.items]
+        self.rate, self.short = rate, [n for n, (_, d) in enumerate(self.items) if len(d) < q]
         codes = [gram_codes(d, q) for _, d in self.items]
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         self.codes, number, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -187,7 +199,11 @@ class ItemIndex:
         for n in self.short:
             if (exact := text.find(self.items[n][1])) >= 0:
                 out.append((n, exact, exact + len(self.items[n][1]), 0))
-        return [(self.items[n][0], a, b, e) for n, a, b, e in sorted(out)]
+        placed = [(self.items[n][0], a, b, e) for n, a, b, e in sorted(out)]
+        for i, data in self.direct:
+            hits = aligned(data, text, -len(data), len(text), edit_budget(len(data), self.rate))
+            placed += [(i, *hit) for hit in apart(*hits)]
+        return placed + (self.below.search(text) if self.below else [])
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, bytes]]]:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from blocktape.llm import merkle, ngram_join, queries, spelling, substring_dedup
+from blocktape.llm import decontaminate, merkle, ngram_join, queries, spelling, substring_dedup
 
 rng = random.Random(11)
 BASE = [f"word{i}" for i in range(200)]
@@ -220,3 +220,36 @@ def test_pairs_to_verify_stay_near_linear(spark, monkeypatch, header):
         assert got == label
         counts.append(sum(told))
     assert counts[1] <= 3 * counts[0] + 50 and counts[1] <= 6 * 120 * 3, counts
+
+
+# --- short items of operator 8 -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.15])
+def test_items_of_any_length_within_their_budget(spark, rate):
+    g, letters = random.Random(8), "abcdefgh"
+    items = [(m, "".join(g.choice(letters) for _ in range(m))) for m in (*range(8, 30), 40, 61)]
+    made = []
+    for m, item in items:
+        for n in range(6):
+            y = list(item)
+            for _ in range(n % 3 + (n > 3)):
+                p = g.randrange(len(y))
+                y[p : p + g.randint(0, 1)] = g.choice(["z", "zz", "", "y"])
+            made.append((m * 10 + n, "Before " + "".join(y) + " after"))
+    want = set()
+    for i, t in made:
+        for k, x in items:
+            row = [0] * (len(t) + 1)
+            for c in x:
+                now = [row[0] + 1]
+                for j, d in enumerate(t.lower()):
+                    now.append(min(row[j] + (c != d), row[j + 1] + 1, now[j] + 1))
+                row = now
+            if min(row) <= (int(rate * len(x)) if len(x) >= 12 else 0):
+                want.add((i, k, min(row)))
+    found = decontaminate.find_contamination(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), rate)
+    best = {}
+    for r in found.collect():
+        best[r.doc_id, r.item_id] = min(r.edits, best.get((r.doc_id, r.item_id), 99))
+    assert {(*k, e) for k, e in best.items()} == want
