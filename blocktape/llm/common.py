@@ -34,10 +34,10 @@ def read_back(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def written(df: DataFrame, *by: str) -> DataFrame:
-    """Write df once into the shared folder, a folder for each value of ``by``, and read it back: it is computed once, and lost executors cost nothing."""
+def written(df: DataFrame) -> DataFrame:
+    """Write df once into the shared folder and read it back: it is computed once, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    df.write.parquet(path)
     return read_back(df.sparkSession, path, df.schema)
 
 
@@ -70,10 +70,10 @@ def bit_of(key: Column, bits: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits).cast("long"))
 
 
-def bitmaps(slots: DataFrame, column: str) -> DataFrame:
-    """(bucket, bitmap) rows of a bit set from a column of bit numbers: at most bits / 32768 rows of 4 KB."""
+def bitmaps(slots: DataFrame, column: str, *by: str) -> DataFrame:
+    """(bucket, bitmap) rows of a bit set from a column of bit numbers: at most bits / 32768 rows of 4 KB; with ``by``, of a set for each of its values."""
     bucket = F.floor(F.col(column) / BITMAP_BITS).cast("long")
-    return slots.groupBy(bucket.alias("__bt_bucket")).agg(
+    return slots.groupBy(*by, bucket.alias("__bt_bucket")).agg(
         F.bitmap_construct_agg(F.pmod(F.col(column), F.lit(BITMAP_BITS).cast("long"))).alias("__bt_bitmap")
     )
 

@@ -3,8 +3,8 @@
 Pass one sets, for every text hash, two bits and keeps those bits that two or more rows set.  Pass two
 sends to the shuffle only the rows whose two bits are both kept: possibly repeated ones, all truly
 repeated ones among them.  The others pass straight through as groups of one.  With more rows than one
-bit set of bounded size tells apart, hashes are dealt into ranges that have a bit set each, one after
-another, so the filter grows with the rows while what is broadcast at once does not.
+bit set of bounded size tells apart, hashes are dealt into ranges that have a bit set each: all sets come from
+one job, and rows are tested range by range, so the filter grows with the rows while what is broadcast at once does not.
 """
 
 from __future__ import annotations
@@ -27,14 +27,16 @@ def text_hash(text_col: str = "text") -> Column:
     return F.sha2(ascii_lower(F.col(text_col).cast("string")).cast("binary"), 256)
 
 
-def with_test(hashed: DataFrame, n: int, max_bits: int) -> DataFrame:
-    """hashed with __bt_maybe: whether two or more of its n rows, about, set both bits of the row's hash."""
-    bits = bits_for(n, most=max_bits)
+def marked_twice(hashed: DataFrame, bits: int) -> DataFrame:
+    """The bit set of every range: bits that two or more rows of it set."""
+    both = F.explode(F.array(*(bit_of(F.col("text_sha256"), bits, seed) for seed in (0, 1)))).alias("slot")
+    return bitmaps(hashed.select("_range", both).groupBy("_range", "slot").count().filter("count > 1"), "slot", "_range")
+
+
+def with_test(hashed: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
+    """hashed with __bt_maybe: whether both bits of the row's hash are set."""
     first, second = (bit_of(F.col("text_sha256"), bits, seed) for seed in (0, 1))
-    twice = hashed.select(F.explode(F.array(first, second)).alias("slot")).groupBy("slot").count().filter("count > 1")
-    marks = written(bitmaps(twice, "slot"))
-    tested = keep_marked(hashed, first, marks, into="__bt_maybe")
-    tested = keep_marked(tested, second, marks, into="__bt_too")
+    tested = keep_marked(keep_marked(hashed, first, marks, into="__bt_maybe"), second, marks, into="__bt_too")
     return tested.withColumn("__bt_maybe", F.col("__bt_maybe") & F.col("__bt_too")).drop("__bt_too")
 
 
@@ -51,13 +53,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.monotonically_increasing_id().alias("_row"),
     )
     n = docs.count()
-    ranges = -(-n * BITS_PER_ROW // max_bits)
+    ranges = max(1, -(-n * BITS_PER_ROW // max_bits))
+    bits = bits_for(-(-n // ranges), most=max_bits)
+    rows = rows.withColumn("_range", F.pmod(F.xxhash64("text_sha256", F.lit(3)), F.lit(ranges)).cast("int"))
+    # there are as many files as tasks, and in each the rows of a range are together: reading one skips the others
+    hashed = written(rows.sortWithinPartitions("_range") if ranges > 1 else rows)
+    marks = written(marked_twice(hashed, bits))
+    of = lambda df, r: df.filter(F.col("_range") == r).drop("_range")
     if ranges > 1:
-        rows = rows.withColumn("_range", F.pmod(F.xxhash64("text_sha256", F.lit(3)), F.lit(ranges)).cast("int"))
-        hashed = written(rows, "_range")  # a folder for each range: reading one reads nothing of the others
-        tested = written_parts(with_test(hashed.filter(F.col("_range") == r).drop("_range"), n // ranges, max_bits) for r in range(ranges))
+        tested = written_parts(with_test(of(hashed, r), of(marks, r), bits) for r in range(ranges))
     else:
-        tested = with_test(written(rows), n, max_bits)
+        tested = with_test(hashed.drop("_range"), marks.drop("_range"), bits)
     maybe = F.col("__bt_maybe")
 
     single = tested.filter(~maybe).select(

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from blocktape.llm import decontaminate, merkle, ngram_join, queries, spelling, substring_dedup
+from blocktape.llm import decontaminate, exact_dedup, merkle, ngram_join, queries, spelling, substring_dedup
 
 rng = random.Random(11)
 BASE = [f"word{i}" for i in range(200)]
@@ -253,3 +253,23 @@ def test_items_of_any_length_within_their_budget(spark, rate):
     for r in found.collect():
         best[r.doc_id, r.item_id] = min(r.edits, best.get((r.doc_id, r.item_id), 99))
     assert {(*k, e) for k, e in best.items()} == want
+
+
+# --- ranges of operator 7 ------------------------------------------------------------------------------------
+
+
+def test_many_ranges_take_few_files_and_jobs(spark, monkeypatch):
+    texts = [f"Text {rng.randrange(60_000)}" for _ in range(100_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    files, real = [], exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda x: files.append(len(real(x).inputFiles())) or real(x))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranges", "ranges")
+    found = exact_dedup.exact_dedup(df, max_bits=1 << 15)  # 49 ranges
+    jobs = len(tracker.getJobIdsForGroup("ranges"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    kept, sizes = {}, Counter(t.lower() for t in texts)
+    for i, t in enumerate(texts):
+        kept[t.lower()] = i
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in found.select("doc_id", "keep_id", "group_size").collect()} == {(i, kept[t.lower()], sizes[t.lower()]) for i, t in enumerate(texts)}
+    assert max(files) <= 4 and jobs <= 49 * 4 + 40, (files, jobs)
