@@ -63,6 +63,31 @@ def raw_units_exact(c: Column, decimals: int) -> Column:
     return F.regexp_replace(F.substring(rest, decimals + 1, 80), "0", "") == ""
 
 
+def raw_units_text(c: Column, decimals: int, strict: bool = False) -> Column:
+    """Decimal text times 10^decimals as the text of a whole number of any length, cut towards zero, or an error where strict and something is cut.
+
+    NULL if it is no plain decimal number.
+    """
+    if decimals < 0:
+        raise ValueError("decimals below 0")
+    text = F.trim(c.cast("string"))
+    sound = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$")
+    whole, part = F.regexp_extract(text, r"^[+-]?(\d*)", 1), F.regexp_extract(text, r"\.(\d*)$", 1)
+    kept = F.substring(F.rpad(part, decimals, "0"), 1, decimals) if decimals else F.lit("")
+    digits = F.regexp_replace(F.concat(whole, kept), "^0+(?=.)", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    value = F.when(text.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    if strict:
+        value = F.when(raw_units_exact(c, decimals), value).otherwise(F.raise_error(F.concat(F.lit("no whole number of units: "), text)).cast("string"))
+    return F.when(sound, value)
+
+
+def address(c: Column) -> Column:
+    """An address in its one spelling, lower case; NULL for anything that is none."""
+    text = F.lower(F.trim(c))
+    return F.when(text.rlike("^0x[0-9a-f]{40}$"), text)
+
+
 def direction(a0: Column, a1: Column) -> Column:
     """x2y where the pool gains token 0 and loses token 1, y2x the other way round, else NULL."""
     return F.when((a0 > 0) & (a1 < 0), "x2y").when((a0 < 0) & (a1 > 0), "y2x")

@@ -38,18 +38,18 @@ GUARD = T.StructType([
 
 
 def path_sound(path: Column) -> Column:
-    return (F.length(path) >= 86) & ((F.length(path) - 40) % 46 == 0) & path.rlike("^[0-9a-f]*$")
+    return (F.length(path) >= 40) & ((F.length(path) - 40) % 46 == 0) & path.rlike("^[0-9a-f]*$")
 
 
 def path_tokens(path: Column) -> Column:
-    """Addresses of a path, in hex, of 20-byte tokens with 3-byte fees between them; NULL if it is malformed."""
+    """Addresses of a path, in hex, of one or more 20-byte tokens with 3-byte fees between them; NULL if it is malformed."""
     hops = ((F.length(path) - 40) / 46).cast("int")
     return F.when(path_sound(path), F.transform(F.sequence(F.lit(0), hops), lambda i: F.concat(F.lit("0x"), F.substring(path, i * 46 + 1, F.lit(40)))))
 
 
 def path_fees(path: Column) -> Column:
     hops = ((F.length(path) - 40) / 46).cast("int")
-    return F.when(path_sound(path), F.transform(F.sequence(F.lit(0), hops - 1), lambda i: F.conv(F.substring(path, i * 46 + 41, F.lit(6)), 16, 10).cast("int")))
+    return F.when(path_sound(path), F.transform(F.slice(F.sequence(F.lit(0), hops), 1, hops), lambda i: F.conv(F.substring(path, i * 46 + 41, F.lit(6)), 16, 10).cast("int")))
 
 
 class Short(ValueError):
@@ -79,7 +79,7 @@ def byte_strings(data: bytes, at: int) -> list[bytes]:
 
 
 def route(path: bytes) -> tuple[list[str], list[int]]:
-    if len(path) < 43 or (len(path) - 20) % 23:
+    if len(path) < 20 or (len(path) - 20) % 23:
         raise Short
     return ["0x" + path[i : i + 20].hex() for i in range(0, len(path), 23)], [int.from_bytes(path[i : i + 3], "big") for i in range(20, len(path), 23)]
 

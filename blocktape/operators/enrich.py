@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocktape.functions.scalars import is_missing_number, is_missing_text
+from blocktape.functions.wide import decimal_text
 
 GAS = ["gas_used", "gas_price", "effective_gas_price"]
 
@@ -65,12 +66,13 @@ def unsigned_128(word: Column) -> Column:
 
 
 def decode_swap_logs(logs: DataFrame) -> DataFrame:
-    """liquidity and tick of the five 32-byte words in data; NULL where data is short or not hex."""
+    """liquidity, liquidity_text and tick of the five 32-byte words in data; NULL where data is short or not hex.  The text holds all 128 bits, the decimal what 38 digits can."""
     digits = F.lower(F.regexp_replace("data", "^0[xX]", ""))
     sound = (F.length(digits) >= 320) & digits.rlike("^[0-9a-f]*$")
     word = lambda n: F.when(sound, F.substring(digits, 64 * n + 1, 64))
     tick = F.conv(F.substring(word(4), 59, 6), 16, 10).cast("int")
-    return logs.withColumns({"liquidity": unsigned_128(word(3)), "tick": F.when(tick >= 1 << 23, tick - (1 << 24)).otherwise(tick)})
+    text = decimal_text(F.substring(word(3), 33, 32))
+    return logs.withColumns({"liquidity": unsigned_128(word(3)), "liquidity_text": text, "tick": F.when(tick >= 1 << 23, tick - (1 << 24)).otherwise(tick)})
 
 
 def missing_ranges(events: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def missing_ranges(events: DataFrame) -> DataFrame:
 
 def swap_liquidity(logs: DataFrame, topic: str, ranges: DataFrame) -> DataFrame:
     """(pool, block_number, log_index) -> liquidity of one topic's logs in each pool's range of blocks; the last write of a key wins."""
-    rows = logs.filter(F.col("topic0") == topic).join(F.broadcast(ranges), "pool")  # one row per pool
+    rows = logs.filter(F.col("topic0") == topic).join(ranges, "pool")
     rows = rows.filter(F.col("block_number").between(F.col("first_block"), F.col("last_block"))).drop("first_block", "last_block")
     return decode_swap_logs(rows).groupBy("pool", "block_number", "log_index").agg(F.max_by("liquidity", "seq").alias("liquidity"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blocktape.functions.scalars import virtual_x, virtual_y
+from blocktape.sources.sinks import staged
 
 BUCKET_BLOCKS = 100_000
 ORDER = ["block_number", "log_index"]
@@ -36,6 +37,16 @@ def last_key(state: DataFrame) -> DataFrame:
     return state.groupBy("pool").agg(F.max_by(F.struct(*ORDER, *kept), F.struct(*ORDER)).alias("k")).select("pool", "k.*")
 
 
+def in_order(events: DataFrame, *order: str) -> DataFrame:
+    """The events with ``seq``, their place from 0 in the order, written in ranges that follow one another: no task has them all."""
+    ranges = staged(events.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as ranges
+    start = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    at = ranges.join(sizes.select("_part", F.coalesce(start, F.lit(0)).alias("_start")), "_part")
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return at.withColumn("seq", F.col("_start") + inner - 1).drop("_part", "_start")
+
+
 def require_liquidity(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sound, rejected): a swap without its liquidity cannot be carried on from."""
     bad = (F.col("kind") == "swap") & F.col("liquidity_after").isNull()
@@ -67,7 +78,7 @@ def running_state(events: DataFrame, snapshots: DataFrame, bucket_blocks: int =
     by_bucket = Window.partitionBy("pool").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     full = F.when(F.col("z._seg") > 0, F.struct("_bucket", "z.l", "z.s", "z.t"))
     carry = tail.select("pool", "_bucket", F.last(full, ignorenulls=True).over(by_bucket).alias("c"), "z._seg")
-    carry = carry.join(F.broadcast(snapshots), "pool", "left").select(  # one row per pool
+    carry = carry.join(snapshots, "pool", "left").select(
         "pool", "_bucket", F.coalesce("c._bucket", F.lit(-1)).alias("_from"), F.coalesce("c.l", "l0").alias("c_l"), F.coalesce("c.s", "sqrt0").alias("c_s"), F.coalesce("c.t", "tick0").alias("c_t")
     )
     e = e.join(carry, ["pool", "_bucket"])

@@ -369,6 +369,36 @@ SELECT '0x' || tx_hash AS tx_hash, CASE k WHEN 0 THEN 'exactInputSingle' WHEN 1
        {rd("tolerance_bps", 8, "CASE WHEN expected > 0 AND k IN (0, 2, 5) THEN (1.0 - (q - 1)::DOUBLE / expected) * 1e4 WHEN expected > 0 AND k < 7 THEN ((q - 1)::DOUBLE / expected - 1.0) * 1e4 END")},
        CASE WHEN k = 7 THEN 'no supported call' WHEN expected IS NULL THEN 'no quote' WHEN expected <= 0 THEN 'bad quote' END AS error FROM n""".replace("\n, n AS", ", n AS", 1))
 
+PARTY = """CASE (event_id + {n}) % 4 WHEN 2 THEN NULL ELSE '0x' || right('abababababababababababababababababababab'[1:40 - length(h)] || h, 40) END"""
+ORACLE["entity_addresses"] = with_(T_, body=f"""
+SELECT tx_hash, upper(kind[1]) || kind[2:] AS kind, {PARTY.format(n=0)} AS origin, CASE WHEN kind <> 'burn' THEN {PARTY.format(n=1)} END AS sender,
+       CASE WHEN kind <> 'swap' THEN {PARTY.format(n=2)} END AS owner, CASE WHEN kind = 'swap' THEN {PARTY.format(n=3)} END AS recipient
+FROM (SELECT *, lower(to_hex(event_id)) AS h FROM tape)""")
+ORACLE["landed_window"] = with_(T_, body="""
+SELECT ts_unix, block_number, log_index, pool, kind, tx_hash FROM tape WHERE pool = 'p0' AND ts_unix BETWEEN 1704400000 AND 1705400000 AND event_id > 100""")
+ORACLE["landed_refill"] = ORACLE["liquidity_refill"]
+ORACLE["merged_log"] = with_(T_, body="""
+SELECT row_number() OVER (ORDER BY ts_unix, block_number, log_index, pool) - 1 AS seq, ts_unix, block_number, log_index, pool, kind FROM tape""")
+ORACLE["bucketed_enrichment"] = with_(T_, GAPS_SQL, body=f"""
+SELECT tx_hash, event_id, coalesce(own, CASE WHEN known THEN '0x' || origin_r END) AS origin,
+       {rd("gas_used", 3, "CASE WHEN event_id % 4 <> 3 AND known THEN gu_r * 2 ELSE gu END")}, {rd("gas_price", 3, "CASE WHEN event_id % 4 <> 3 AND known THEN gp * 3 ELSE gp END")},
+       {rd("effective_gas_price", 3, "CASE WHEN event_id % 4 <> 3 AND known THEN gp * 4 ELSE ep END")} FROM gaps""")
+ORACLE["wide_liquidity"] = with_(T_, body="""
+SELECT pool, block_number, log_index,
+       (('0x' || md5(event_id::VARCHAR)[1:16])::UBIGINT::UHUGEINT * 18446744073709551616::UHUGEINT + ('0x' || md5(event_id::VARCHAR)[17:32])::UBIGINT::UHUGEINT)::VARCHAR AS liquidity_text,
+       CASE WHEN event_id % 3 = 0 THEN '-' ELSE '' END || ltrim(event_id || repeat('1', 40), '0') || lpad((event_id % 97)::VARCHAR, 2, '0') || '0000' AS units,
+       CASE WHEN event_id % 3 = 0 THEN '-' ELSE '' END || ltrim(event_id || repeat('1', 40), '0') || lpad((event_id % 97)::VARCHAR, 2, '0')[1:1] AS cut
+FROM tape WHERE kind = 'swap' AND event_id % 13 <> 0""")
+ORACLE["short_paths"] = with_(T_, body=f"""
+SELECT event_id, tx_hash, CASE event_id % 4 WHEN 1 THEN {TOKEN.format(n=1)} WHEN 2 THEN concat_ws(',', {TOKEN.format(n=1)}, {TOKEN.format(n=2)}) WHEN 3 THEN concat_ws(',', {", ".join(TOKEN.format(n=n) for n in (1, 2, 3))}) END AS tokens,
+       CASE event_id % 4 WHEN 1 THEN '' WHEN 2 THEN '500' WHEN 3 THEN '500,3000' END AS fees FROM tape WHERE kind = 'swap'""")
+ORACLE["slippage_files"] = with_(T_, body=f"""
+, n AS (SELECT *, CASE WHEN event_id % 10 >= 8 THEN 7 ELSE event_id % 8 END AS k, (q + 3)::DOUBLE AS expected FROM tape WHERE kind = 'swap')
+SELECT '0x' || tx_hash AS tx_hash, CASE k WHEN 0 THEN 'exactInputSingle' WHEN 1 THEN 'exactOutputSingle' WHEN 2 THEN 'exactInput' WHEN 3 THEN 'exactOutput' WHEN 4 THEN 'exactOutputSingle'
+         WHEN 5 THEN 'universalExactIn' WHEN 6 THEN 'universalExactOut' END AS kind, CASE WHEN k < 7 THEN (q - 1)::VARCHAR END AS "limit", expected,
+       {rd("tolerance_bps", 8, "CASE WHEN k IN (0, 2, 5) THEN (1.0 - (q - 1)::DOUBLE / expected) * 1e4 WHEN k < 7 THEN ((q - 1)::DOUBLE / expected - 1.0) * 1e4 END")},
+       CASE WHEN k = 7 THEN 'no supported call' END AS error, row_number() OVER (ORDER BY '0x' || tx_hash) <= 20 AS shown FROM n""".replace("\n, n AS", ", n AS", 1))
+
 ALL = (T_, E_, B_, J_, S_, CLEAN_SQL, back_metrics("clean"), JIT_METRICS, sand_metrics(128))
 
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blocktape.functions import scalars as S
 from blocktape.functions import theory as T
 from blocktape.operators import augment, decode, detect, enrich, state
 from blocktape.plans import report, sweep
-from blocktape.sources import readers, sinks
+from blocktape.functions import wide
+from blocktape.sources import landed, readers, sinks
 from blocktape.sources.sinks import shared_folder, staged, staged_together
 from blocktape.sources.tape import pool_events
 from blocktape.streaming import harvest, live
@@ -49,7 +50,7 @@ def backruns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_backruns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = pool_events(spark, sf_dir)
+    tape = staged(pool_events(spark, sf_dir))
     frame = detect.block_frame(tape)
     return detect.without_sandwich_ends(detect.reverse_backruns(tape, frame), detect.sandwich_ends(frame))
 
@@ -101,13 +102,13 @@ JIT_AMOUNTS = {"mint_amount": 1, "burn_amount": 1, "mint_amount0": 1, "mint_amou
 
 @query
 def jit_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = detect.jit_cycles(pool_events(spark, sf_dir))
+    j = detect.jit_cycles(staged(pool_events(spark, sf_dir)))
     return j.select("pool", "block_number", "pos", "origin", "mint_tick_lower", "mint_tick_upper", "mint_tx", "burn_tx", "n_victims", joined("victim_txs"), *rounded(BEFORE | FLOW | JIT_AMOUNTS), joined("gas_used"), joined("gas_price"))
 
 
 @query
 def jit_cycles_outside_sandwiches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = pool_events(spark, sf_dir)
+    t = staged(pool_events(spark, sf_dir))
     return detect.without_sandwich_cycles(detect.jit_cycles(t), detect.sandwiches(t)).select("pool", "block_number", "pos", "mint_tx", "burn_tx")
 
 
@@ -120,12 +121,12 @@ def sandwich_rows(df: DataFrame) -> DataFrame:
 
 @query
 def sandwich_classical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sandwich_rows(detect.sandwiches(pool_events(spark, sf_dir)).filter("pattern_type = 'Classical'"))
+    return sandwich_rows(detect.sandwiches(staged(pool_events(spark, sf_dir))).filter("pattern_type = 'Classical'"))
 
 
 @query
 def sandwich_jit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sandwich_rows(detect.sandwiches(pool_events(spark, sf_dir)).filter("pattern_type = 'JIT-Sandwich'"))
+    return sandwich_rows(detect.sandwiches(staged(pool_events(spark, sf_dir))).filter("pattern_type = 'JIT-Sandwich'"))
 
 
 @query
@@ -175,12 +176,12 @@ def backrun_fee_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def jit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = augment.jit_metrics(detect.jit_cycles(pool_events(spark, sf_dir)))
+    m = augment.jit_metrics(detect.jit_cycles(staged(pool_events(spark, sf_dir))))
     return m.select("pool", "block_number", "pos", "victim_dir", *rounded(SIZES | {"profit_fee_token0": 8, "profit_il_token0": 4, "profit_total_token0": 4, "profit_total_per_x0": 12}))
 
 
 def sandwich_table(spark: SparkSession, sf_dir: str, grid: int = 128) -> DataFrame:
-    return augment.sandwich_metrics(detect.sandwiches(pool_events(spark, sf_dir)), gamma=GAMMA, grid=grid)
+    return augment.sandwich_metrics(detect.sandwiches(staged(pool_events(spark, sf_dir))), gamma=GAMMA, grid=grid)
 
 
 @query
@@ -225,7 +226,7 @@ def state_rows(df: DataFrame) -> DataFrame:
 
 @query
 def running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = state_events(spark, sf_dir)
+    e = staged(state_events(spark, sf_dir))
     return state_rows(state.running_state(e, start_state(e), bucket_blocks=50))
 
 
@@ -249,7 +250,7 @@ def state_reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """The running state by micro-batches over parts in block order, one of them delivered twice, and the run's folder; each part is one batch, however many files it has."""
-    folder, e = shared_folder(spark, "stream"), state_events(spark, sf_dir)
+    folder, e = shared_folder(spark, "stream"), staged(state_events(spark, sf_dir))
     cuts = e.agg(F.percentile_approx("block_number", [0.25, 0.5, 0.75], 1000)).first()[0]
     bounds = [-1, *cuts, 1 << 60]
     start, run = start_state(e), harvest.run_folder(folder, gamma=GAMMA)
@@ -352,6 +353,51 @@ def time_window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("ts_unix", "block_number", "log_index", "pool", "kind", "tx_hash", r("amount", 1))
 
 
+SPAN = 100_000  # seconds of a landed stretch
+BLOCKS = 20  # blocks of a landed stretch
+
+
+@query
+def landed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pool's events within a time range and past an id, from a table that is landed by pool and stretch of time."""
+    t = pool_events(spark, sf_dir).withColumn("id", F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    folder = f"{shared_folder(spark, 'landed')}/log"
+    landed.land(t, folder, "ts_unix", SPAN)
+    rows = landed.window(landed.read_landed(spark, folder, t.schema), "ts_unix", SPAN, 1_704_400_000, 1_705_400_000, "p0", "000000000100")
+    return rows.select("ts_unix", "block_number", "log_index", "pool", "kind", "tx_hash")
+
+
+@query
+def landed_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Liquidity that swaps lack, from raw logs landed by pool and stretch of blocks, of which only stretches that lack any are opened."""
+    e = staged(state_events(spark, sf_dir).withColumn("liquidity_after", F.when(F.col("log_index") % 2 == 0, F.col("liquidity_after"))))
+    logs, folder = swap_logs(spark, sf_dir), f"{shared_folder(spark, 'landed')}/logs"
+    landed.land(logs, folder, "block_number", BLOCKS)
+    wanted = staged(landed.wanted_stretches(e, (F.col("kind") == "swap") & F.col("liquidity_after").isNull(), BLOCKS))
+    rows = landed.of_stretches(landed.read_landed(spark, folder, logs.schema), wanted)
+    looked = enrich.swap_liquidity(rows, "swap", enrich.missing_ranges(e))
+    return enrich.fill_liquidity(e, looked).select("pool", "block_number", "log_index", F.col("liquidity_after").cast("string").alias("liquidity_after"))
+
+
+@query
+def merged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three landed kinds as one log in order, each event with its place."""
+    t = pool_events(spark, sf_dir)
+    both = readers.merged(*(t.filter(F.col("kind") == k) for k in ("swap", "mint", "burn")))
+    return state.in_order(both, "ts_unix", "block_number", "log_index", "pool").select("seq", "ts_unix", "block_number", "log_index", "pool", "kind")
+
+
+@query
+def entity_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of raw entities in any spelling come in one; what is none is NULL."""
+    t = pool_events(spark, sf_dir)
+    digits = F.lpad(F.lower(F.hex("event_id")), 40, "ab")
+    of = lambda n: F.when((F.col("event_id") + n) % 4 == 0, F.concat(F.lit("0X"), F.upper(digits))).when((F.col("event_id") + n) % 4 == 1, F.concat(F.lit(" 0x"), digits)).when((F.col("event_id") + n) % 4 == 2, F.substring(digits, 1, 39)).otherwise(F.concat(F.lit("0x"), digits))
+    text = lambda c: F.lit(None).cast("string").alias(c)
+    raw = t.select("kind", F.struct(F.col("tx_hash").alias("id"), text("block")).alias("transaction"), *(of(n).alias(c) for n, c in enumerate(("origin", "sender", "owner", "recipient"))), *map(text, ("logIndex", "timestamp", "amount0", "amount1", "sqrtPriceX96", "tick", "tickLower", "tickUpper", "amount")))
+    return readers.flattened(raw).select("tx_hash", "kind", "origin", "sender", "owner", "recipient")
+
+
 @query
 def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested raw entities of text numbers, flattened; fields that a kind does not have come out NULL."""
@@ -361,7 +407,7 @@ def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("s").alias("sender"), F.lit("w").alias("owner"), F.lit("r").alias("recipient"), text("amount0").alias("amount0"), text("amount1").alias("amount1"), (text("q")).alias("sqrtPriceX96"),
         (F.col("q") % 40 - 20).cast("string").alias("tick"), F.lit("-10").alias("tickLower"), F.lit("10").alias("tickUpper"), (F.col("q") * 7).cast("string").alias("amount"),
     )
-    f = readers.flattened(raw).withColumn("liquidity_delta", F.col("liquidity_delta").cast("long"))
+    f = readers.flattened(raw, addresses=False).withColumn("liquidity_delta", F.col("liquidity_delta").cast("long"))
     return f.select("block_number", "log_index", "ts_unix", "tx_hash", "kind", "origin", "sender", "owner", "recipient", "sqrt_event", "tick_event", "tick_lower", "tick_upper", "liquidity_delta", r("amount0", 5), r("amount1", 5))
 
 
@@ -404,7 +450,10 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_lines(counts.select(F.concat_ws(" ", "dataset", F.col("count").cast("string")).alias("line")), f"{folder}/patterns.txt")
     lines = spark.read.text(f"{folder}/patterns.txt").select(F.split("value", " ").alias("x")).select(F.col("x")[0].alias("dataset"), F.col("x")[1].cast("long").alias("told"))
     table = spark.read.schema("dataset string, key string, count long").option("header", True).csv(f"{folder}/patterns.csv")
-    return table.join(lines, (table["dataset"] == lines["dataset"]) & (table["count"] == lines["told"])).select(table["dataset"], "key", "count").distinct()
+    # equal counts of two patterns make equal lines: every row has one line of its own
+    nth = lambda df, *c: df.withColumn("_n", F.row_number().over(Window.partitionBy(*c).orderBy(*df.columns)))
+    both = nth(table.withColumnRenamed("count", "told"), "dataset", "told").join(nth(lines, "dataset", "told"), ["dataset", "told", "_n"])
+    return both.select("dataset", "key", F.col("told").alias("count"))
 
 
 @query
@@ -446,6 +495,18 @@ def gas_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.fill_gas(gaps(spark, sf_dir), receipts(spark, sf_dir)).select("tx_hash", "event_id", *(r(c, 3) for c in enrich.GAS))
 
 
+@query
+def bucketed_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origins and gas from tables dealt by transaction: bucket meets bucket, and the log is not shuffled."""
+    e = landed.bucketed(gaps(spark, sf_dir), "tx_hash", 8)
+    known = landed.bucketed(receipts(spark, sf_dir), "tx_hash", 8)
+    lookup = known.groupBy("tx_hash").agg(F.min("from_addr").alias("from_addr"), F.min(F.struct(*enrich.GAS)).alias("_g"))
+    both = landed.join_buckets(e, lookup, "tx_hash")
+    own, need = F.when(~S.is_missing_text(F.col("origin")), F.col("origin")), enrich.missing_gas() & F.col("_g").isNotNull()
+    filled = both.withColumns({c: F.when(need, F.col(f"_g.{c}")).otherwise(F.col(c)) for c in enrich.GAS} | {"origin": F.coalesce(own, "from_addr")})
+    return filled.select("tx_hash", "event_id", "origin", *(r(c, 3) for c in enrich.GAS))
+
+
 @query
 def enrichment_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = gaps(spark, sf_dir)
@@ -487,6 +548,15 @@ def swap_log_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.decode_swap_logs(swap_logs(spark, sf_dir)).select("pool", "block_number", "log_index", F.col("liquidity").cast("string").alias("liquidity"), "tick")
 
 
+@query
+def wide_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Liquidity of up to 128 bits, more than a decimal holds, and amounts of up to 60 digits in whole units."""
+    word = F.concat(F.lit("0" * 32), F.md5(F.col("seq").cast("string")))
+    logs = swap_logs(spark, sf_dir).filter("seq % 13 <> 0").withColumn("data", F.concat(F.lit("0x" + "0" * 192), word, F.lit("0" * 64)))
+    amount = F.concat(F.when(F.col("seq") % 3 == 0, "-").otherwise(""), F.col("seq").cast("string"), F.lit("1" * 40), F.lit("."), F.lpad((F.col("seq") % 97).cast("string"), 2, "0"))
+    return enrich.decode_swap_logs(logs).select("pool", "block_number", "log_index", "liquidity_text", S.raw_units_text(amount, 6, strict=True).alias("units"), S.raw_units_text(amount, 1).alias("cut"))
+
+
 @query
 def liquidity_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = state_events(spark, sf_dir).withColumn("liquidity_after", F.when(F.col("log_index") % 2 == 0, F.col("liquidity_after")))
@@ -531,6 +601,27 @@ def path_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("event_id", "tx_hash", joined("tokens", decode.path_tokens(p)), joined("fees", decode.path_fees(p)))
 
 
+@query
+def short_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of no, one, two and three tokens; one token alone is a path without a fee."""
+    c = calldata(spark, sf_dir)
+    p = F.substring(F.col("path"), F.lit(1), F.element_at(F.array(*map(F.lit, (0, 40, 86, 132))), (F.col("event_id") % 4 + 1).cast("int")))
+    return c.select("event_id", "tx_hash", joined("tokens", decode.path_tokens(p)), joined("fees", decode.path_fees(p)))
+
+
+@query
+def slippage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slippage results written as CSV and read again, and the first twenty that are shown without a path."""
+    c = calldata(spark, sf_dir)
+    s = decode.slippage(c, c.select(F.concat(F.lit("0x"), F.col("tx_hash")).alias("tx_hash"), (F.col("q") + 3).alias("expected")))
+    told = staged(s.select("tx_hash", "kind", "limit", "expected", r("tolerance_bps", 8), "error"))
+    path = f"{shared_folder(spark, 'results')}/slippage.csv"
+    sinks.write_results(told, path, "tx_hash")
+    back = spark.read.schema(told.schema).option("header", True).csv(path)
+    shown = sinks.write_results(told, None, "tx_hash").select("tx_hash", F.lit(True).alias("shown"))
+    return back.join(shown, "tx_hash", "left").select(*told.columns, F.coalesce("shown", F.lit(False)).alias("shown"))
+
+
 @query
 def slippage_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.worklist(gaps(spark, sf_dir).withColumn("tx_hash", F.when(F.col("event_id") % 50 == 0, "None").otherwise(F.upper("tx_hash"))))
@@ -548,15 +639,15 @@ def slippage_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    """The named tables of jit, sandwich and backrun with their metrics, detected from one block frame and kept once each."""
-    t = pool_events(spark, sf_dir)
+    """The named tables of jit, sandwich and backrun with their metrics, each kept once; the log is made once for all."""
+    t = staged(pool_events(spark, sf_dir))
     frame = detect.block_frame(t)
     made = {
         "jit": lambda: augment.jit_metrics(detect.jit_cycles(t, frame)),
         "sandwich": lambda: augment.sandwich_metrics(detect.sandwiches(t, frame=frame), gamma=GAMMA),
         "backrun": lambda: augment.backrun_metrics(detect.without_sandwich_ends(detect.reverse_backruns(t, frame), detect.sandwich_ends(frame))),
     }
-    return [made[n]().select(*REPORTED[n]) for n in names]
+    return staged_together(*(made[n]().select(*REPORTED[n]) for n in names))
 
 
 #: What reports read of each table: the rest, best sandwiches by grid above all, is never computed.
@@ -569,7 +660,7 @@ DATASETS = ("jit", "sandwich", "backrun")
 
 
 def metrics_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jit, sand, back = staged_together(*report_tables(spark, sf_dir, *DATASETS))
+    jit, sand, back = report_tables(spark, sf_dir, *DATASETS)
     return report.summary({
         "jit": (jit, "sigma_gross", "profit_total_per_x0", "origin", "pattern_type", ()),
         "sandwich": (sand, "sigma_gross", "profit_per_x0", "origin", "pattern_type", ()),
@@ -646,7 +737,7 @@ def tape_units(sandwich: DataFrame) -> DataFrame:
 @query
 def self_funded_sandwiches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sandwiches whose two legs move the same amount, within five of the tape's base units; also after the fee is taken off."""
-    sand = tape_units(staged(report_tables(spark, sf_dir, "sandwich")[0]))
+    sand = tape_units(report_tables(spark, sf_dir, "sandwich")[0])
     gross = report.self_funded(sand).select("pool", "block_number", "pos", "pattern_type", F.lit(False).alias("div_r"))
     return gross.unionByName(report.self_funded(sand, back_div_r=True).select("pool", "block_number", "pos", "pattern_type", F.lit(True).alias("div_r")))
 
@@ -723,12 +814,10 @@ ALPHA_MAX = 10.0
 
 def optimum_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best mixed bundle at every observed size and fee, or just-in-time liquidity alone where no back-run is funded."""
-    s, out = staged(observed_sizes(spark, sf_dir)), None
-    for b in FEES_BPS:
-        part = sweep.mixed_optimum(s, ["q"], b / 1e4, GAMMA, ALPHA_MAX).withColumn("fee_bps", F.lit(b))
-        part = part.withColumn("pi_best", F.coalesce("mixed_best", T.jit_profit(F.col("sigma"), b / 1e4, 1 - b / 1e4, F.lit(ALPHA_MAX))))
-        out = part if out is None else out.unionByName(part)
-    return out
+    s = staged(observed_sizes(spark, sf_dir)).withColumn("fee_bps", F.explode(F.array(*map(F.lit, FEES_BPS))))
+    fee = F.col("fee_bps") / F.lit(1e4)
+    best = sweep.mixed_optimum(s, ["q", "fee_bps"], fee, GAMMA, ALPHA_MAX)
+    return best.withColumn("pi_best", F.coalesce("mixed_best", T.jit_profit(F.col("sigma"), fee, 1 - fee, F.lit(ALPHA_MAX))))
 
 
 @query

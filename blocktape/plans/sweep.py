@@ -37,9 +37,11 @@ def crossed(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def mixed_optimum(sigmas: DataFrame, keys: list[str], f: float, gamma: float, alpha_max: float, n: int = 41, floor: float = 1e-12) -> DataFrame:
+def mixed_optimum(sigmas: DataFrame, keys: list[str], f: float | Column, gamma: float, alpha_max: float, n: int = 41, floor: float = 1e-12) -> DataFrame:
     """(keys, sigma, eps_best, alpha_best, mixed_best): the largest mixed profit with eps up to its cap and a funded back-run.
 
+    The fee f may be a column made of keys, so that one pass serves many fees.
+
     A grid of n x n points over (alpha, eps / cap), then a second one of the same size around its best
     point.  The points of a row are made and dropped inside a task.  NULL where no point is feasible.
     """

@@ -81,18 +81,22 @@ def read_tidy(spark: SparkSession, folder: str, stem: str) -> DataFrame:
     return read_events(spark, first_existing(spark, *(f"{folder}/{stem}{end}" for end in (".parquet", ".csv", ".csv.gz", "_*.parquet", "_*.csv"))))
 
 
-def flattened(raw: DataFrame) -> DataFrame:
+def flattened(raw: DataFrame, addresses: bool = True) -> DataFrame:
     """One flat log from raw entities of all kinds: a `transaction` struct (id, block) and text numbers become columns.
 
-    Fields that a kind does not have are NULL whatever the entity holds; burns take liquidity away.
+    Fields that a kind does not have are NULL whatever the entity holds; burns take liquidity away.  With
+    ``addresses`` origin, sender, owner and recipient come in their one spelling, NULL where they are no addresses.
     """
+    from blocktape.functions.scalars import address
+
+    party = address if addresses else lambda c: c
     kind = F.lower("kind")
     swap, mint, burn = (kind == k for k in ("swap", "mint", "burn"))
     number = lambda c, t: F.col(c).try_cast(t)
     return raw.select(
         F.col("transaction.block").try_cast("long").alias("block_number"), number("logIndex", "long").alias("log_index"), number("timestamp", "long").alias("ts_unix"),
-        F.col("transaction.id").alias("tx_hash"), F.initcap(kind).alias("kind"), "origin", F.when(swap | mint, F.col("sender")).alias("sender"),
-        F.when(mint | burn, F.col("owner")).alias("owner"), F.when(swap, F.col("recipient")).alias("recipient"), number("amount0", "double").alias("amount0"),
+        F.col("transaction.id").alias("tx_hash"), F.initcap(kind).alias("kind"), party(F.col("origin")).alias("origin"),
+        F.when(swap | mint, party(F.col("sender"))).alias("sender"), F.when(mint | burn, party(F.col("owner"))).alias("owner"), F.when(swap, party(F.col("recipient"))).alias("recipient"), number("amount0", "double").alias("amount0"),
         number("amount1", "double").alias("amount1"), F.when(swap, F.col("sqrtPriceX96")).alias("sqrt_event"), F.when(swap, number("tick", "int")).alias("tick_event"),
         F.when(mint | burn, number("tickLower", "int")).alias("tick_lower"), F.when(mint | burn, number("tickUpper", "int")).alias("tick_upper"),
         F.when(mint, number("amount", "decimal(38,0)")).when(burn, -number("amount", "decimal(38,0)")).alias("liquidity_delta"),
@@ -100,7 +104,7 @@ def flattened(raw: DataFrame) -> DataFrame:
 
 
 def landed(raw: DataFrame, pool: str | None, low: int, high: int, after_id: str | None = None) -> DataFrame:
-    """Rows of one pool within a time range, both ends included, past an id: all pushed into the scan."""
+    """Rows of one pool within a time range, both ends included, past an id: pushed into the scan where these are columns of a file (`landed.window` leaves out whole partitions too)."""
     rows = raw.filter(F.col("ts_unix").between(low, high))
     rows = rows.filter(F.col("pool") == pool) if pool is not None else rows
     return rows.filter(F.col("id") > after_id) if after_id is not None else rows
@@ -119,7 +123,7 @@ def snapshot_at(snapshots: DataFrame, block: int) -> DataFrame:
 
 
 def merged(swaps: DataFrame, mints: DataFrame, burns: DataFrame) -> DataFrame:
-    """One log of the three landed kinds; burns take liquidity away.  Order by (ts_unix, block_number, log_index)."""
+    """One log of the three landed kinds; burns take liquidity away.  `state.in_order` puts it into the order of (ts_unix, block_number, log_index)."""
     both = swaps.withColumn("kind", F.lit("swap")).unionByName(mints.withColumn("kind", F.lit("mint")), allowMissingColumns=True)
     burned = burns.withColumns({"kind": F.lit("burn"), "amount": -F.abs(F.col("amount"))})
     return both.unionByName(burned, allowMissingColumns=True)

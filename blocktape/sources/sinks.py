@@ -18,20 +18,24 @@ def to_schema(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all machines see; a local one is set only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all machines see, deleted when the driver ends; a local one is set only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="blocktape-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(hadoop)
+    system.mkdirs(folder)  # only what is there can be marked
+    system.deleteOnExit(folder)
+    return path
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Compute df once: written into the shared folder and read back."""
-    path = shared_folder(df.sparkSession, "table")
+    path = f"{shared_folder(df.sparkSession, 'table')}/rows"
     df.write.parquet(path)
-    folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)  # when the driver ends
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -83,6 +87,14 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_results(df: DataFrame, path: str | None, order: str, preview: int = 20) -> DataFrame:
+    """df as CSV with a header, a file per task, or without a path its first rows in order, to be shown."""
+    if path is None:
+        return df.orderBy(order).limit(preview)
+    df.write.mode("overwrite").option("header", True).csv(path)
+    return df
+
+
 def first_events(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The first n rows in the log's order: each task keeps n at most, and the merge keeps n."""
     return df.orderBy(*order).limit(n)

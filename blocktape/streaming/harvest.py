@@ -29,7 +29,7 @@ def run_folder(root: str, **parameters) -> str:
 def continue_state(batch: DataFrame, state: DataFrame) -> DataFrame:
     """Running state of a batch's new events from one state row per pool."""
     known = state.select("pool", F.struct("block_number", "log_index").alias("_last"))
-    fresh = deduplicated(batch).join(F.broadcast(known), "pool", "left")  # one row per pool
+    fresh = deduplicated(batch).join(known, "pool", "left")
     fresh = fresh.filter(F.col("_last").isNull() | (F.struct(*ORDER) > F.col("_last"))).drop("_last")
     return running_state(fresh, state.select("pool", "l0", "sqrt0", "tick0"))
 
@@ -79,4 +79,4 @@ def counters(spark: SparkSession, folder: str) -> DataFrame:
 def closed_blocks(events: DataFrame, state: DataFrame) -> DataFrame:
     """Events of blocks that a later event of the same pool has closed: detection can run on these."""
     last = state.select("pool", F.col("block_number").alias("_open"))
-    return events.join(F.broadcast(last), "pool").filter(F.col("block_number") < F.col("_open")).drop("_open")
+    return events.join(last, "pool").filter(F.col("block_number") < F.col("_open")).drop("_open")
