@@ -71,11 +71,12 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.unset(name) if was is None else spark.conf.set(name, was)
 
 
-def run(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str) -> None:
-    """Take the stream to its present end, from where the folder's last run stopped."""
-    with setting(stream.sparkSession, PROVIDER, ROCKSDB):
+def run(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str) -> list:
+    """Take the stream to its present end, from where the folder's last run stopped; returns the progress of its last batches."""
+    with setting(stream.sparkSession, PROVIDER, ROCKSDB):  # open blocks may outgrow the memory of an executor
         query = stream.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    return query.recentProgress
 
 
 def written_so_far(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,6 +89,8 @@ def stream_detections(spark: SparkSession, source: str, schema: StructType, fold
     def step(batch: DataFrame, number: int) -> None:
         rows = batch.persist()  # the frame and the members of matches read it
         try:
+            if number and rows.isEmpty():
+                return  # no block has closed
             detections(rows).write.mode("overwrite").parquet(f"{folder}/detections/batch={number}")
         finally:
             rows.unpersist()
