@@ -296,6 +296,7 @@ SELECT pool, block_number, log_index, kind, affects_active, delta_l_applied::BIG
 ORACLE["stream_running_state"] = ORACLE["running_state"]
 ORACLE["stream_counters"] = with_(T_, body="SELECT kind, count(*) AS n_events, min(block_number) AS first_block, max(block_number) AS last_block FROM tape GROUP BY kind")
 ORACLE["stream_keyed_state"] = ORACLE["running_state"]
+ORACLE["stream_restart"] = ORACLE["running_state"]
 ORACLE["stream_metrics"] = ORACLE["stream_counters"]
 ORACLE["stream_detections"] = with_(T_, E_, J_, B_, S_, CLEAN_SQL, recursive=True, body=f"""
 SELECT 'Pure JIT' AS pattern_type, {KEY}, origin, mint_tx AS opens, burn_tx AS closes, n_victims::INT AS n_victims FROM jit
@@ -374,6 +375,8 @@ ORACLE["entity_addresses"] = with_(T_, body=f"""
 SELECT tx_hash, upper(kind[1]) || kind[2:] AS kind, {PARTY.format(n=0)} AS origin, CASE WHEN kind <> 'burn' THEN {PARTY.format(n=1)} END AS sender,
        CASE WHEN kind <> 'swap' THEN {PARTY.format(n=2)} END AS owner, CASE WHEN kind = 'swap' THEN {PARTY.format(n=3)} END AS recipient
 FROM (SELECT *, lower(to_hex(event_id)) AS h FROM tape)""")
+ORACLE["merged_summaries"] = with_(T_, body="""
+SELECT kind AS dataset, count(*) AS n_values, true AS p50_near, true AS p90_near, true AS p99_near, true AS items_near FROM tape GROUP BY kind""")
 ORACLE["landed_window"] = with_(T_, body="""
 SELECT ts_unix, block_number, log_index, pool, kind, tx_hash FROM tape WHERE pool = 'p0' AND ts_unix BETWEEN 1704400000 AND 1705400000 AND event_id > 100""")
 ORACLE["landed_refill"] = ORACLE["liquidity_refill"]

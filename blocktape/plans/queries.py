@@ -273,6 +273,26 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harvest.counters(spark, streamed(spark, sf_dir)[1]).select("kind", "n_events", "first_block", "last_block")
 
 
+@query
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running state in a version of its own, resumed after its last commit was lost: the batch is run again in its place."""
+    base, e = shared_folder(spark, "stream"), staged(state_events(spark, sf_dir))
+    start, middle = start_state(e), e.agg(F.percentile_approx("block_number", 0.5, 1000)).first()[0]
+    version = sinks.fresh_version(spark, f"{base}/versions", resume=False)
+    done = None
+    for n, part in enumerate((F.col("block_number") <= middle, F.col("block_number") > middle)):
+        e.filter(part).write.parquet(f"{base}/landed/part={n}")
+        version = sinks.fresh_version(spark, f"{base}/versions", resume=True) if n else version
+        run = harvest.run_folder(version, gamma=GAMMA)
+        done = harvest.stream_running_state(spark, f"{base}/landed/*", e.schema, start, run)
+        if n == 0:
+            harvest.forget_commit(spark, run)
+    other = harvest.run_folder(version, gamma=2 * GAMMA)  # other parameters: a run of their own
+    if other == run or sinks.exists(spark, other):
+        raise RuntimeError("a run of other parameters was found")
+    return state_rows(done)
+
+
 @query
 def closed_block_backruns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back-runs of the blocks that a later event of their pool has closed."""
@@ -679,6 +699,18 @@ def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.markdown(metrics_rows(spark, sf_dir), DATASETS)
 
 
+@query
+def merged_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles and distinct counts from the sketches that every stretch of blocks has left, held against the whole log."""
+    t = staged(pool_events(spark, sf_dir).select("kind", "block_number", "q", "tx_hash"))
+    left = staged(report.sketched(t, F.col("kind"), landed.stretch(F.col("block_number"), 50), F.col("q"), F.col("tx_hash")))
+    told = report.merged_summary(left)
+    ranks = [F.struct(F.avg((F.col("q") < F.col(f"p{p}")).cast("double")).alias("low"), F.avg((F.col("q") <= F.col(f"p{p}")).cast("double")).alias("high")).alias(f"r{p}") for p in (50, 90, 99)]
+    true = t.join(told, t["kind"] == told["dataset"]).groupBy("dataset").agg(F.first("n_values").alias("n_values"), F.first("n_items").alias("_items"), F.countDistinct("tx_hash").alias("n_items"), *ranks)
+    near = lambda p: ((F.col(f"r{p}.low") <= p / 100 + report.RANK_ERROR) & (F.col(f"r{p}.high") >= p / 100 - report.RANK_ERROR)).alias(f"p{p}_near")
+    return true.select("dataset", "n_values", *map(near, (50, 90, 99)), (F.abs(F.col("_items") - F.col("n_items")) <= report.COUNT_ERROR * F.col("n_items")).alias("items_near"))
+
+
 def origin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     jit, sand, back = report_tables(spark, sf_dir, *DATASETS)
     f = report.frequencies

@@ -79,6 +79,27 @@ def combined(*rows: DataFrame | None) -> DataFrame:
     return out
 
 
+KLL_K, HLL_BITS = 400, 14
+RANK_ERROR, COUNT_ERROR = 0.012, 0.025  # three standard errors and more of these sizes
+
+
+def sketched(df: DataFrame, dataset: Column, batch: Column, value: Column, item: Column) -> DataFrame:
+    """(dataset, batch, quantiles, items): what a batch leaves for summaries over many of them, a few KB whatever its rows."""
+    at = df.select(dataset.alias("dataset"), batch.alias("batch"), value.cast("double").alias("_v"), item.alias("_i"))
+    return at.groupBy("dataset", "batch").agg(F.kll_sketch_agg_double("_v", KLL_K).alias("quantiles"), F.hll_sketch_agg("_i", HLL_BITS).alias("items"))
+
+
+def merged_summary(sketches: DataFrame) -> DataFrame:
+    """(dataset, n_values, p50, p90, p99, n_items) over all batches, none of which is read again.
+
+    Quantiles are values whose rank is within RANK_ERROR of the asked one, n_items is within COUNT_ERROR of the number of
+    distinct items; n_values is exact.
+    """
+    both = sketches.groupBy("dataset").agg(F.kll_merge_agg_double("quantiles", KLL_K).alias("_q"), F.hll_union_agg("items").alias("_i"))
+    at = [F.kll_sketch_get_quantile_double("_q", F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)]
+    return both.select("dataset", F.kll_sketch_get_n_double("_q").alias("n_values"), *at, F.hll_sketch_estimate("_i").alias("n_items"))
+
+
 def frequencies(df: DataFrame, key: str, dataset: str, kind: str) -> DataFrame:
     """(dataset, kind, key, count) of trimmed, non-empty keys."""
     value = F.trim(F.col(key))

@@ -70,6 +70,14 @@ def stream_running_state(spark: SparkSession, source: str, schema, start: DataFr
     return spark.read.option("basePath", f"{folder}/events").parquet(f"{folder}/events")
 
 
+def forget_commit(spark: SparkSession, folder: str) -> None:
+    """Removes the last batch's commit, as if the driver had ended before it: the next run does that batch again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/checkpoint/commits")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = max((f.getPath() for f in system.listStatus(path) if f.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+    system.delete(last, False)
+
+
 def counters(spark: SparkSession, folder: str) -> DataFrame:
     """(kind, n_batches, n_events, first_block, last_block) over the counters that the batches have left."""
     told = spark.read.option("basePath", f"{folder}/counts").parquet(f"{folder}/counts")
