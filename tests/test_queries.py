@@ -21,6 +21,7 @@ CHEAP = [
     "pool_tape", "reverse_backruns", "jit_cycles", "sandwich_jit", "sandwich_metrics", "running_state", "summary_metrics", "gas_enrichment", "swap_log_decode", "slippage_tolerance", "epsilon_cap_sweep",
     "scalar_normalizers", "summary_lines", "self_funded_sandwiches", "backrun_identity_fit_net", "backrun_identity_pairs", "exact_reserves", "raw_entities", "log_files", "tidy_files",
     "report_files", "first_events", "slippage_worklist", "backrun_fee_tiers", "alpha_slope", "mixed_curve", "closed_block_backruns", "stream_counters", "strategy_series_by_origin",
+    "landed_window", "landed_refill", "merged_log", "entity_addresses", "bucketed_enrichment", "wide_liquidity", "short_paths", "slippage_files", "merged_summaries", "stream_restart", "regime_transition", "top_origins",
 ]
 
 
