@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from blocktape.llm import decontaminate, exact_dedup, merkle, ngram_join, queries, spelling, substring_dedup
+from blocktape.llm import decontaminate, exact_dedup, language_id, merkle, ngram_join, queries, spelling, substring_dedup
 
 rng = random.Random(11)
 BASE = [f"word{i}" for i in range(200)]
@@ -273,3 +273,28 @@ def test_many_ranges_take_few_files_and_jobs(spark, monkeypatch):
         kept[t.lower()] = i
     assert {(r.doc_id, r.keep_id, r.group_size) for r in found.select("doc_id", "keep_id", "group_size").collect()} == {(i, kept[t.lower()], sizes[t.lower()]) for i, t in enumerate(texts)}
     assert max(files) <= 4 and jobs <= 49 * 4 + 40, (files, jobs)
+
+
+# --- operator 5 over its whole table -------------------------------------------------------------------------
+
+
+def test_languages_of_the_whole_table_by_plain_filters(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("n_chars", "score")
+    model = language_id.fit_languages(docs)
+    got = {r.doc_id: r for r in language_id.predict_languages(docs, model).collect()}
+    for doc, text in docs.select("doc_id", "text").collect():
+        assert got[doc].held_out == (zlib.crc32(str(doc).encode()) % 4 == 2)
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (got[doc].lang_pred, got[doc].score) == ("und", 0.0)
+            continue
+        data = language_id.CLASSES[np.frombuffer(text.encode(), np.uint8)]
+        rows = np.full((-(-len(data) // language_id.WINDOW), language_id.WINDOW), language_id.PAD, np.uint8)
+        rows.reshape(-1)[: len(data)] = data
+        pooled = []
+        for w in language_id.WIDTHS:
+            span = language_id.WINDOW - w + 1
+            pooled.append(np.maximum(sum(model.filters[w][j][rows[:, j : j + span]] for j in range(w)).max(axis=1) + model.bias[w], 0))
+        z = np.concatenate(pooled, axis=1) @ model.dense + model.dense_bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        mean = (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert abs(got[doc].score - mean.max()) < 1e-3 and mean[model.languages.index(got[doc].lang_pred)] > mean.max() - 1e-3
