@@ -550,6 +550,10 @@ EPS, ALPHA = grid_sql("e.i", 0.001, 0.99, 100), grid_sql("a.i", 0.001, 10.0, 100
 ORACLE["profit_surface"] = with_(T_, SIZES_SQL, body=f"""
 SELECT count(*) AS cells, {rd("lowest", 10, "min(profit)")}, {rd("highest", 10, "max(profit)")}, {rd("largest_abs", 10, "max(abs(profit))")}
 FROM (SELECT {surface_sql("eps", "alpha")} AS profit FROM (SELECT sigma, {EPS} AS eps, {ALPHA} AS alpha FROM sz1, range(100) e(i), range(100) a(i)))""")
+EPS_FULL, ALPHA_FULL = grid_sql("e.i", 0.001, 0.99, 500), grid_sql("a.i", 0.001, 10.0, 500)
+ORACLE["profit_surface_full"] = with_(T_, SIZES_SQL, body=f"""
+SELECT count(*) AS cells, {rd("lowest", 10, "min(profit)")}, {rd("highest", 10, "max(profit)")}, {rd("largest_abs", 10, "max(abs(profit))")}
+FROM (SELECT {surface_sql("eps", "alpha")} AS profit FROM (SELECT sigma, {EPS_FULL} AS eps, {ALPHA_FULL} AS alpha FROM sz1, range(500) e(i), range(500) a(i)))""")
 ORACLE["profit_contour"] = with_(T_, SIZES_SQL, body=f"""
 SELECT i_eps, count(*) AS n_cells, min(i_alpha) AS first_alpha
 FROM (SELECT i_eps, i_alpha, {surface_sql("eps", "alpha")} AS p, {surface_sql("eps", "before")} AS b

@@ -872,7 +872,7 @@ def mixed_curve(spark: SparkSession, sf_dir: str, n: int = 500) -> DataFrame:
 
 
 def profit_cube(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
-    """The landscape of 100 x 100 points over front-runs and added liquidity, at every observed size."""
+    """The landscape of n x n points over front-runs and added liquidity, at every observed size."""
     return sweep.surface(observed_sizes(spark, sf_dir), sweep.grid(spark, "eps", 0.001, 0.99, n), sweep.grid(spark, "alpha", 0.001, 10.0, n), 0.997)
 
 
@@ -881,6 +881,12 @@ def profit_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.surface_range(profit_cube(spark, sf_dir)).select("cells", r("lowest", 10), r("highest", 10), r("largest_abs", 10))
 
 
+@query
+def profit_surface_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extremes of the whole landscape: 500 x 500 points at every observed size."""
+    return sweep.surface_range(profit_cube(spark, sf_dir, 500)).select("cells", r("lowest", 10), r("highest", 10), r("largest_abs", 10))
+
+
 @query
 def profit_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where profit changes its sign along added liquidity, over all observed sizes."""
