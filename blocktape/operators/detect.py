@@ -99,15 +99,14 @@ def _gas(before: list[Column], after: list[Column]) -> dict[str, Column]:
     return {f"{s}_{w}": F.array(*(c[n] for c in cs)) for s, n in (("gu", "gas_used"), ("gp", "gas_price")) for w, cs in (("before", before), ("after", after))}
 
 
-def jit_cycles(events: DataFrame, frame: DataFrame | None = None) -> DataFrame:
-    """Mint, one or more swaps by others, burn of the same range by the minter, with nothing else between."""
-    f = block_frame(events) if frame is None else frame
+def jit_spans(f: DataFrame) -> DataFrame:
+    """Cycles found in a block frame, with the places v_lo to v_hi of their victims."""
     m, me = F.col("own1"), F.struct("gas_used", "gas_price")
     hit = f.filter(
         (F.col("kind") == "burn") & (m["kind"] == "mint") & (m["tick_lower"] == F.col("tick_lower")) & (m["tick_upper"] == F.col("tick_upper"))
         & (F.col("pos") - m["pos"] > 1) & (F.col("nsc_prev") == m["nsc"])
     )
-    found = hit.select(
+    return hit.select(
         *BLOCK, "pos",
         *named(
             v_lo=m["pos"] + 1, v_hi=F.col("pos") - 1, pattern_type=F.lit("Pure JIT"), origin=F.col("origin_key"), mint_tick_lower=m["tick_lower"],
@@ -117,7 +116,11 @@ def jit_cycles(events: DataFrame, frame: DataFrame | None = None) -> DataFrame:
             attacker_liq_share=liquidity_share(m), **_gas([m], [me]),
         ),
     )
-    return with_victims(found, events)
+
+
+def jit_cycles(events: DataFrame, frame: DataFrame | None = None) -> DataFrame:
+    """Mint, one or more swaps by others, burn of the same range by the minter, with nothing else between."""
+    return with_victims(jit_spans(block_frame(events) if frame is None else frame), events)
 
 
 def sandwich_hits(frame: DataFrame, min_victims: int = 1) -> DataFrame:
@@ -147,14 +150,14 @@ def sandwich_hits(frame: DataFrame, min_victims: int = 1) -> DataFrame:
     return hit.withColumn("_nth", F.row_number().over(Window.partitionBy(*BLOCK, "_chain").orderBy("pos"))).filter("_nth % 2 = 1")
 
 
-def sandwiches(events: DataFrame, min_victims: int = 1, frame: DataFrame | None = None) -> DataFrame:
-    """Classical and just-in-time sandwiches with their victims' sums and lists."""
-    hit = sandwich_hits(block_frame(events) if frame is None else frame, min_victims)
+def sandwich_spans(f: DataFrame, min_victims: int = 1) -> DataFrame:
+    """Sandwiches found in a block frame, with the places v_lo to v_hi of their victims."""
+    hit = sandwich_hits(f, min_victims)
     one, two, three = (F.col(f"own{k}") for k in (1, 2, 3))
     fr, j, me = F.col("front"), F.col("is_jit"), F.struct("gas_used", "gas_price")
     only = lambda c: F.when(j, c)
     gas, gas_jit = _gas([fr], [me]), _gas([fr, two], [one, me])
-    found = hit.select(
+    return hit.select(
         *BLOCK, "pos",
         *named(
             v_lo=F.when(j, two["pos"]).otherwise(fr["pos"]) + 1, v_hi=F.when(j, one["pos"]).otherwise(F.col("pos")) - 1,
@@ -166,7 +169,11 @@ def sandwiches(events: DataFrame, min_victims: int = 1, frame: DataFrame | None
             attacker_liq_share=only(liquidity_share(two)), **{n: F.when(j, gas_jit[n]).otherwise(gas[n]) for n in gas},
         ),
     )
-    return with_victims(found, events)
+
+
+def sandwiches(events: DataFrame, min_victims: int = 1, frame: DataFrame | None = None) -> DataFrame:
+    """Classical and just-in-time sandwiches with their victims' sums and lists."""
+    return with_victims(sandwich_spans(block_frame(events) if frame is None else frame, min_victims), events)
 
 
 def sandwich_ends(frame: DataFrame) -> DataFrame:

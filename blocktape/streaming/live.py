@@ -50,12 +50,18 @@ def closed_blocks(events: DataFrame, delay: str) -> DataFrame:
 
 
 def detections(events: DataFrame) -> DataFrame:
-    """(pattern_type, pool, block_number, pos, origin, opens, closes, n_victims) of all patterns; back-runs that end a sandwich are left out.  One block frame serves all."""
-    frame = detect.block_frame(events)
-    key = ["pattern_type", "pool", "block_number", "pos"]
-    jit = detect.jit_cycles(events, frame).select(*key, "origin", F.col("mint_tx").alias("opens"), F.col("burn_tx").alias("closes"), "n_victims")
-    sand = detect.sandwiches(events, frame=frame).select(*key, "origin", F.col("front_tx").alias("opens"), F.col("back_tx").alias("closes"), "n_victims")
-    back = detect.without_sandwich_ends(detect.reverse_backruns(events, frame), detect.sandwich_ends(frame))
+    """(pattern_type, pool, block_number, pos, origin, opens, closes, n_victims) of all patterns; back-runs that end a sandwich are left out.
+
+    One block frame serves all, and victims are counted by their places: none is looked up.
+    """
+    return patterns(detect.block_frame(events))
+
+
+def patterns(frame: DataFrame) -> DataFrame:
+    key, victims = ["pattern_type", "pool", "block_number", "pos"], (F.col("v_hi") - F.col("v_lo") + 1).cast("int").alias("n_victims")
+    jit = detect.jit_spans(frame).select(*key, "origin", F.col("mint_tx").alias("opens"), F.col("burn_tx").alias("closes"), victims)
+    sand = detect.sandwich_spans(frame).select(*key, "origin", F.col("front_tx").alias("opens"), F.col("back_tx").alias("closes"), victims)
+    back = detect.without_sandwich_ends(detect.reverse_backruns(frame, frame), detect.sandwich_ends(frame))
     back = back.select(*key, F.col("arb_origin").alias("origin"), F.col("victim_tx").alias("opens"), F.col("back_tx").alias("closes"), F.lit(1).alias("n_victims"))
     return jit.unionByName(sand).unionByName(back)
 
@@ -87,13 +93,13 @@ def stream_detections(spark: SparkSession, source: str, schema: StructType, fold
     """All patterns of the blocks closed so far.  Called again with the same folder it goes on where it stopped."""
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = batch.persist()  # the frame and the members of matches read it
+        frame = detect.block_frame(batch).persist()  # each pattern reads it
         try:
-            if number and rows.isEmpty():
+            if number and frame.isEmpty():
                 return  # no block has closed
-            detections(rows).write.mode("overwrite").parquet(f"{folder}/detections/batch={number}")
+            patterns(frame).write.mode("overwrite").parquet(f"{folder}/detections/batch={number}")
         finally:
-            rows.unpersist()
+            frame.unpersist()
 
     run(closed_blocks(arriving(spark, source, schema, files), delay), step, folder)
     return written_so_far(spark, folder, "detections")
