@@ -109,6 +109,12 @@ def theta(eps: Column, alpha: Column, sigma: Column, r: float, clip: bool = True
     return F.greatest(value, F.lit(0.0)) if clip else value
 
 
+def funded_from(alpha: Column, sigma: Column, r: float | Column) -> Column:
+    """The front-run at which theta, which grows with it, is 0: the positive root of r (1 + alpha) e^2 + (1 + alpha + r sigma) e = alpha sigma."""
+    b = (1.0 + alpha) + r * sigma
+    return 2.0 * (alpha * sigma) / (b + F.sqrt(b * b + 4.0 * (r * (1.0 + alpha)) * (alpha * sigma)))
+
+
 def mixed_profit(eps: Column, alpha: Column, sigma: Column, r: float, clip: bool = True, th: Column | None = None) -> Column:
     """Profit of the bundle; ``th`` is its theta where that is a column already."""
     th = theta(eps, alpha, sigma, r, clip) if th is None else th

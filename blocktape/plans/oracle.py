@@ -570,26 +570,32 @@ SELECT q, {rd("best", 10, "max(profit)")}, {rd("worst", 10, "min(profit)")}, cou
 FROM (SELECT q, {CURVE} AS profit FROM (SELECT q, sigma, {grid_sql("e.i", 0.0, 1.0, 500)} AS eps FROM sz1, range(500) e(i))) GROUP BY q""")
 
 
-def optimum_sql(bps: float, n: int = 41, alpha_max: float = 10.0) -> list[str]:
-    """Common table expressions of the two grids of one fee, the second around the first one's best point; the last is named b<bps>."""
-    rl, tag = lit(1.0 - bps / 1e4), f"{bps:g}"
+def optimum_sql(bps: float, n: int = 21, rounds: int = 6, alpha_max: float = 10.0) -> list[str]:
+    """Common table expressions of one fee's grids, each around the best point of the one before; the last is named b<bps>."""
+    rl, tag, out = lit(1.0 - bps / 1e4), f"{bps:g}", []
     last = f"{n - 1}.0::DOUBLE"
 
     def best(name: str, source: str) -> str:
         points = f"SELECT q, sigma, i.i AS i, j.i AS j, a0 + (a1 - a0) * (i.i / {last}) AS a, u0 + (u1 - u0) * (j.i / {last}) AS u FROM {source}, range({n}) i(i), range({n}) j(i)"
-        capped = f"SELECT *, {cap_of('sigma', GAMMA, rl, f'({ONE} + a)')} * u AS e FROM ({points})"
+        b = f"(({ONE} + a) + {rl} * sigma)"
+        e0 = f"({lit(2.0)} * (a * sigma) / ({b} + sqrt({b} * {b} + {lit(4.0)} * ({rl} * ({ONE} + a)) * (a * sigma))))"
+        ends = f"SELECT *, {e0} AS e0, {cap_of('sigma', GAMMA, rl, f'({ONE} + a)')} AS e1 FROM ({points})"
+        capped = f"SELECT *, e0 + (e1 - e0) * (u * u) AS e FROM ({ends})"
         profit = f"SELECT *, {mixed_sql('e', 'a', rl, theta_sql('e', 'a', rl))} AS p FROM ({capped}) WHERE e > 0 AND {theta_sql('e', 'a', rl)} > 1e-12::DOUBLE"
         return f"{name} AS (SELECT q, arg_max((p, e, a, u), (p, -i, -j)) AS b FROM ({profit}) GROUP BY q)"
 
-    whole = f"w{tag} AS (SELECT q, sigma, 0.0::DOUBLE AS a0, {lit(alpha_max)} AS a1, 0.0::DOUBLE AS u0, {ONE} AS u1 FROM sz1)"
-    da, du = lit(2.0 * alpha_max / (n - 1)), lit(2.0 / (n - 1))
-    around = f"""x{tag} AS (
+    out = [f"w{tag}_0 AS (SELECT q, sigma, 0.0::DOUBLE AS a0, {lit(alpha_max)} AS a1, 0.0::DOUBLE AS u0, {ONE} AS u1 FROM sz1)", best(f"f{tag}_0", f"w{tag}_0")]
+    for k in range(1, rounds):
+        share = 2.0 / (n - 1) * (4.0 / (n - 1)) ** (k - 1)
+        da, du = lit(alpha_max * share), lit(share)
+        out.append(f"""w{tag}_{k} AS (
   SELECT z.q, sigma, greatest(coalesce(b[3], 0.0) - {da}, 0.0::DOUBLE) AS a0, least(coalesce(b[3], {lit(alpha_max)}) + {da}, {lit(alpha_max)}) AS a1,
-         greatest(coalesce(b[4], 0.0) - {du}, 0.0::DOUBLE) AS u0, least(coalesce(b[4], 1.0) + {du}, {ONE}) AS u1 FROM sz1 z LEFT JOIN f{tag} USING (q))"""
+         greatest(coalesce(b[4], 0.0) - {du}, 0.0::DOUBLE) AS u0, least(coalesce(b[4], 1.0) + {du}, {ONE}) AS u1 FROM sz1 z LEFT JOIN f{tag}_{k - 1} USING (q))""")
+        out.append(best(f"f{tag}_{k}", f"w{tag}_{k}"))
     done = f"""b{tag} AS (
   SELECT {lit(bps)} AS fee_bps, z.q, sigma, b[2] AS eps_best, b[3] AS alpha_best, b[1] IS NOT NULL AS feasible,
-         coalesce(b[1], {jit_sql(lit(alpha_max), lit(bps / 1e4), rl)}) AS pi_best FROM sz1 z LEFT JOIN g{tag} USING (q))"""
-    return [whole, best(f"f{tag}", f"w{tag}"), around, best(f"g{tag}", f"x{tag}"), done]
+         coalesce(b[1], {jit_sql(lit(alpha_max), lit(bps / 1e4), rl)}) AS pi_best FROM sz1 z LEFT JOIN f{tag}_{rounds - 1} USING (q))"""
+    return [*out, done]
 
 
 OPTIMA = [x for b in (1.0, 5.0, 30.0) for x in optimum_sql(b)]

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blocktape.functions import theory as T
-from blocktape.sources.sinks import staged
+
+BOUNDS = ["_a0", "_a1", "_u0", "_u1"]  # of one round's window
 
 
 def spread(sizes: DataFrame, *keys: str) -> DataFrame:
@@ -37,42 +38,46 @@ def crossed(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def mixed_optimum(sigmas: DataFrame, keys: list[str], f: float | Column, gamma: float, alpha_max: float, n: int = 41, floor: float = 1e-12) -> DataFrame:
+def mixed_optimum(sigmas: DataFrame, keys: list[str], f: float | Column, gamma: float, alpha_max: float, n: int = 21, rounds: int = 6, floor: float = 1e-12) -> DataFrame:
     """(keys, sigma, eps_best, alpha_best, mixed_best): the largest mixed profit with eps up to its cap and a funded back-run.
 
-    The fee f may be a column made of keys, so that one pass serves many fees.
+    The fee f may be a column made of keys, so that one pass serves many fees; keys name a row.
 
-    A grid of n x n points over (alpha, eps / cap), then a second one of the same size around its best
-    point.  The points of a row are made and dropped inside a task.  NULL where no point is feasible.
+    A grid of n x n points over alpha and the way of eps from the first funded one to the cap, so that the bound of
+    funding, along which profits make a narrow ridge, lies along the grid; eps is squared along the way, for the best
+    of small sizes lie close to that bound.  Then rounds of the same size, each around the last one's best point and
+    4 / (n - 1) as wide: the last step of alpha is alpha_max * (4 / (n - 1)) ** (rounds - 1) / (n - 1) at most.
+    All rounds share the partitioning by keys, and the points of a row are made and dropped inside a task: one
+    exchange in all.  NULL where no point is feasible.
     """
     r, sigma = 1.0 - f, F.col("sigma")
-    steps = F.sequence(F.lit(0), F.lit(n - 1))
+    down = F.sequence(F.lit(n - 1), F.lit(0))  # max_by keeps the last of equals, here the first point
 
     def placed(df: DataFrame) -> DataFrame:
         """Adds _a, _u, _e and _p of the point (_i, _j)."""
         at = computed(df, **{c: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * (F.col(i) / float(n - 1)) for c, i in (("_a", "_i"), ("_u", "_j"))})
-        at = computed(at, _e=T.eps_cap_jit(sigma, gamma, r, F.col("_a")) * F.col("_u"))
+        low = T.funded_from(F.col("_a"), sigma, r)
+        at = computed(at, _e=low + (T.eps_cap_jit(sigma, gamma, r, F.col("_a")) - low) * (F.col("_u") * F.col("_u")))
         at = computed(at, _th=T.theta(F.col("_e"), F.col("_a"), sigma, r, clip=False))
         ok = (F.col("_e") > 0) & (F.col("_th") > floor)
         return computed(at, _p=F.when(ok, T.mixed_profit(F.col("_e"), F.col("_a"), sigma, r, th=F.col("_th"))))
 
     def searched(df: DataFrame) -> DataFrame:
-        """df with the first of its best points.  Sums of plain numbers are what a task holds, so the points never leave it."""
-        every = lambda x: placed(spread(x, *keys).withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps)))
-        best = every(df).groupBy(*keys, "sigma").agg(F.max("_p").alias("_best"))
-        first = every(df.join(best, [*keys, "sigma"])).filter("_p = _best").groupBy(*keys, "sigma").agg(F.min(F.col("_i") * n + F.col("_j")).alias("_at"))
-        at = df.join(first, [*keys, "sigma"], "left").withColumns({"_i": F.floor(F.col("_at") / n), "_j": F.col("_at") % n})
-        return staged(placed(at).select(*keys, "sigma", "_a", "_u", "_e", "_p"))
+        """df with its best point; numbers only in the aggregate, so that a task holds a row of them for each size."""
+        every = placed(df.withColumn("_i", F.explode(down)).withColumn("_j", F.explode(down)))
+        best = every.groupBy(*keys, "sigma", *BOUNDS).agg(F.max_by(F.col("_i") * n + F.col("_j"), "_p").alias("_at"))
+        return placed(best.withColumns({"_i": F.floor(F.col("_at") / n), "_j": F.col("_at") % n}))
 
     whole = {"_a0": F.lit(0.0), "_a1": F.lit(float(alpha_max)), "_u0": F.lit(0.0), "_u1": F.lit(1.0)}
-    first = searched(sigmas.select(*keys, "sigma").withColumns(whole))
-    da, du = 2.0 * alpha_max / (n - 1), 2.0 / (n - 1)
-    around = {
-        "_a0": F.greatest(F.coalesce(F.col("_a"), F.lit(0.0)) - da, F.lit(0.0)), "_a1": F.least(F.coalesce(F.col("_a"), F.lit(float(alpha_max))) + da, F.lit(float(alpha_max))),
-        "_u0": F.greatest(F.coalesce(F.col("_u"), F.lit(0.0)) - du, F.lit(0.0)), "_u1": F.least(F.coalesce(F.col("_u"), F.lit(1.0)) + du, F.lit(1.0)),
-    }
-    second = searched(first.select(*keys, "sigma", *(c.alias(name) for name, c in around.items())))
-    return second.select(*keys, "sigma", F.col("_e").alias("eps_best"), F.col("_a").alias("alpha_best"), F.col("_p").alias("mixed_best"))
+    at = searched(spread(sigmas.select(*keys, "sigma"), *keys).withColumns(whole))
+    for k in range(1, rounds):
+        narrow = 2.0 / (n - 1) * (4.0 / (n - 1)) ** (k - 1)
+        ends = {}
+        for c, top in (("_a", float(alpha_max)), ("_u", 1.0)):
+            ends[f"{c}0"] = F.greatest(F.coalesce(F.col(c), F.lit(0.0)) - top * narrow, F.lit(0.0))
+            ends[f"{c}1"] = F.least(F.coalesce(F.col(c), F.lit(top)) + top * narrow, F.lit(top))
+        at = searched(computed(at.select(*keys, "sigma", "_a", "_u"), **ends))
+    return at.select(*keys, "sigma", F.col("_e").alias("eps_best"), F.col("_a").alias("alpha_best"), F.col("_p").alias("mixed_best"))
 
 
 def strategies(df: DataFrame, keys: list[str], f: float, gamma: float, alpha: float = 1.0, grid_n: int = 100) -> DataFrame:

@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from blocktape.functions import scalars as S
 from blocktape.functions import theory as T
+from blocktape.plans import sweep
 
 
 def value(spark, c):
@@ -59,3 +61,36 @@ def test_scalars(spark):
     assert S.fee_bps(0.003) == 30 and S.fee_bps(5) == 5 and S.fee_bps(None) == 5
     with pytest.raises(ValueError):
         S.fee_bps(-1)
+
+
+def dense_profit(sigma, f, gamma, alpha, share):
+    """Mixed profit, theta and cap over arrays of alpha and of shares of the cap, written apart from the column functions."""
+    r = 1 - f
+    s, scale = r * sigma, 1 + alpha
+    cap = np.maximum(0, ((np.sqrt(s * s + 4 * (1 + s) * scale**2 / (1 - gamma)) - s) / (2 * scale) - 1) / r)
+    eps = cap * share
+    t = (1 + r * eps) * (1 + alpha) + r * sigma
+    th = r / (1 + r * eps) * (eps - alpha * sigma / t)
+    profit = t * t * r * th / ((1 + alpha) * (1 + alpha + t * r * th)) - eps + alpha * sigma / (1 + alpha)
+    return np.where((eps > 0) & (th > 1e-12), profit, -np.inf)
+
+
+def test_mixed_optimum_is_no_worse_than_a_dense_grid(spark):
+    sizes = [1e-5, 1e-4, 1e-3, 3e-3, 0.01, 0.03, 0.1, 0.3, 1.0]
+    keys = spark.createDataFrame([(i, fee, s) for i, (s, fee) in enumerate((s, fee) for s in sizes for fee in (0.0001, 0.003))], "k int, fee double, sigma double")
+    rows = sweep.mixed_optimum(keys, ["k", "fee"], F.col("fee"), 0.01, 10.0).collect()
+    assert len(rows) == keys.count()
+    for row in rows:
+        # dense where the best one lies as well: the funded alphas of large sizes end far below 10
+        alpha = np.unique(np.concatenate([np.linspace(0, 10, 2001), np.linspace(0, 0.5, 2001)]))[:, None]
+        best = dense_profit(row.sigma, row.fee, 0.01, alpha, np.linspace(0, 1, 401)[None, :]).max()
+        assert row.mixed_best == pytest.approx(float(dense_profit(row.sigma, row.fee, 0.01, np.float64(row.alpha_best), 1.0 if row.eps_best == 0 else np.linspace(0, 1, 200001)).max()), abs=1e-9)
+        assert row.mixed_best >= best - 1e-6 * abs(best) - 1e-12
+
+
+def test_mixed_optimum_without_a_feasible_point_and_its_plan(spark):
+    rows = spark.createDataFrame([(1, None), (2, -1.0), (3, 0.02)], "k int, sigma double")
+    found = sweep.mixed_optimum(rows, ["k"], 0.003, 0.01, 10.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert {r.k: r.mixed_best is None for r in found.collect()} == {1: True, 2: True, 3: False}
