@@ -26,6 +26,8 @@ from blocktape.operators.state import ORDER
 KEY = ["pool", *ORDER]
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+SHUFFLE = "spark.sql.shuffle.partitions"
 
 
 def arriving(spark: SparkSession, source: str, schema: StructType, files: int | None = None, size: str | None = None) -> DataFrame:
@@ -78,8 +80,15 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
 
 
 def run(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str) -> list:
-    """Take the stream to its present end, from where the folder's last run stopped; returns the progress of its last batches."""
-    with setting(stream.sparkSession, PROVIDER, ROCKSDB):  # open blocks may outgrow the memory of an executor
+    """Take the stream to its present end, from where the folder's last run stopped; returns the progress of its last batches.
+
+    Every batch opens and commits each store, with rows or not, so there are no more of them than cores; a folder keeps the
+    number of its first run.  A batch commits its changes, not whole stores.
+    """
+    spark = stream.sparkSession
+    stores = min(int(spark.conf.get(SHUFFLE)), spark.sparkContext.defaultParallelism)
+    # open blocks may outgrow the memory of an executor
+    with setting(spark, PROVIDER, ROCKSDB), setting(spark, CHANGELOG, "true"), setting(spark, SHUFFLE, str(stores)):
         query = stream.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return query.recentProgress
@@ -93,10 +102,12 @@ def stream_detections(spark: SparkSession, source: str, schema: StructType, fold
     """All patterns of the blocks closed so far.  Called again with the same folder it goes on where it stopped."""
 
     def step(batch: DataFrame, number: int) -> None:
-        frame = detect.block_frame(batch).persist()  # each pattern reads it
+        batch.write.mode("overwrite").parquet(f"{folder}/closed")  # one pass over the stores; the rest runs in the caller's session, with its adaptive plans
+        closed = spark.read.schema(batch.schema).parquet(f"{folder}/closed")
+        if number and closed.isEmpty():
+            return  # no block has closed
+        frame = detect.block_frame(closed).persist()  # each pattern reads it
         try:
-            if number and frame.isEmpty():
-                return  # no block has closed
             patterns(frame).write.mode("overwrite").parquet(f"{folder}/detections/batch={number}")
         finally:
             frame.unpersist()

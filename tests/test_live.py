@@ -96,3 +96,24 @@ def test_a_pool_with_random_orders_and_gaps(spark, tmp_path):
     got = live.stream_keyed_state(spark, f"{tmp_path}/landed/*", e.schema, start, f"{tmp_path}/run", "1 minute", files=1)
     columns = ["block_number", "log_index", "affects_active", "l_before", "l_after", "tick_before", "tick_after", "sqrt_after"]
     assert got.select(*columns).orderBy(*columns[:2]).collect() == state.running_state(e, start).select(*columns).orderBy(*columns[:2]).collect()
+
+
+def test_batches_follow_the_parts_and_stores_the_cores_whatever_tasks_there_are(spark, log, tmp_path, monkeypatch):
+    rows = log.limit(400).repartition(6)  # six tasks write
+    delay, files = Q.landed_live(rows, str(tmp_path))
+    assert files == 1 and all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "landed").iterdir())
+    told, run = [], live.run
+    monkeypatch.setattr(live, "run", lambda *a: told.extend(run(*a)))
+    with live.setting(spark, live.SHUFFLE, "50"):
+        got = live.stream_detections(spark, f"{tmp_path}/landed/*", log.schema, f"{tmp_path}/run", delay, files=files)
+        assert spark.conf.get(live.SHUFFLE) == "50"
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, live.detections(rows).collect()))
+    assert len([p for p in told if p.numInputRows]) <= Q.PARTS + 2
+    assert {op.numShufflePartitions for p in told for op in p.stateOperators} == {spark.sparkContext.defaultParallelism}
+
+
+def test_a_part_of_many_rows_lands_in_more_files(spark, log, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "FILE_ROWS", 10)
+    rows = log.limit(400).repartition(6)
+    assert Q.landed_live(rows, str(tmp_path))[1] == -(-rows.count() // 100) > 1
+    assert spark.read.parquet(*(str(p) for p in (tmp_path / "landed").iterdir() if p.name[-2:] == "-0")).filter("pool <> '__end'").exceptAll(rows).count() == 0
