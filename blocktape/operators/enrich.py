@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocktape.functions.scalars import is_missing_number, is_missing_text
-from blocktape.functions.wide import decimal_text
+from blocktape.functions.wide import decimal_text_128
 
 GAS = ["gas_used", "gas_price", "effective_gas_price"]
 
@@ -71,7 +71,7 @@ def decode_swap_logs(logs: DataFrame) -> DataFrame:
     sound = (F.length(digits) >= 320) & digits.rlike("^[0-9a-f]*$")
     word = lambda n: F.when(sound, F.substring(digits, 64 * n + 1, 64))
     tick = F.conv(F.substring(word(4), 59, 6), 16, 10).cast("int")
-    text = decimal_text(F.substring(word(3), 33, 32))
+    text = decimal_text_128(F.substring(word(3), 33, 32))
     return logs.withColumns({"liquidity": unsigned_128(word(3)), "liquidity_text": text, "tick": F.when(tick >= 1 << 23, tick - (1 << 24)).otherwise(tick)})
 
 
