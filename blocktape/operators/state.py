@@ -1,8 +1,8 @@
 """Running pool state and other ordered operators of the log.
 
 Mint and burn add their liquidity where the current tick lies in their range; a swap sets liquidity,
-price and tick.  A pool may be far larger than one task: its log is cut into buckets of blocks, each
-bucket is folded alone, a window over one row per bucket carries the state across, and what came before
+price and tick.  A pool may be far larger than one task: its log is cut into ranges of blocks of about equal
+rows, or buckets of a given number of blocks, each bucket is folded alone, a window over one row per bucket carries the state across, and what came before
 a bucket's first swap is added once the carried tick is known.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from blocktape.functions.scalars import virtual_x, virtual_y
 from blocktape.sources.sinks import staged
 
-BUCKET_BLOCKS = 100_000
+BUCKET_ROWS = 50_000  # of a bucket that follows the rows
 ORDER = ["block_number", "log_index"]
 
 
@@ -53,14 +53,20 @@ def require_liquidity(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.filter(~bad), events.filter(bad)
 
 
-def running_state(events: DataFrame, snapshots: DataFrame, bucket_blocks: int = BUCKET_BLOCKS) -> DataFrame:
+def running_state(events: DataFrame, snapshots: DataFrame, bucket_blocks: int | None = None) -> DataFrame:
     """The events with l/sqrt/tick/x/y before and after, affects_active and delta_l_applied (NULL on swaps).
 
     ``events`` has pool, block_number, log_index, kind, liquidity_delta, liquidity_after, sqrt_event,
-    tick_event, tick_lower, tick_upper; ``snapshots`` one row per pool: l0, sqrt0, tick0.
+    tick_event, tick_lower, tick_upper; ``snapshots`` one row per pool: l0, sqrt0, tick0.  Without
+    ``bucket_blocks`` buckets follow the rows, however dense or far apart the blocks are.
     """
     swap = F.col("kind") == "swap"
-    e = events.withColumn("_bucket", F.floor(F.col("block_number") / bucket_blocks))
+    if bucket_blocks is None:  # written, so that every pass sees the same ranges; a bucket may end within a block
+        ranges = events.repartitionByRange("pool", "block_number").sortWithinPartitions("pool", *ORDER)
+        e = staged(ranges.withColumn("_bucket", F.floor(F.monotonically_increasing_id() / BUCKET_ROWS)))
+        e = e.repartition(-(-e.count() // BUCKET_ROWS) or 1, "pool", "_bucket")  # tasks grow in number, not in rows
+    else:
+        e = events.withColumn("_bucket", F.floor(F.col("block_number") / bucket_blocks))
     w = Window.partitionBy("pool", "_bucket").orderBy(*ORDER)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("_seg", F.sum(swap.cast("int")).over(upto))

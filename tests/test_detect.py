@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from blocktape.operators import detect, state
 
@@ -136,3 +137,15 @@ def test_running_state_is_the_sequential_fold(spark, bucket):
     start = spark.createDataFrame([("p", 1000, 1.0, 0), ("q", 1000, 1.0, 0)], "pool string, l0 long, sqrt0 double, tick0 int")
     got = state.running_state(df, start, bucket_blocks=bucket).collect()
     assert {(r.pool, r.block_number, r.log_index): (r.l_before, r.l_after, r.tick_after, r.sqrt_after) for r in got} == want
+
+
+def test_buckets_follow_the_rows_even_within_a_block(spark, monkeypatch):
+    monkeypatch.setattr(state, "BUCKET_ROWS", 4)
+    swap = lambda i: i % 7 == 3
+    rows = [("p", 5 + i // 15, i % 15, "swap" if swap(i) else "mint", 1000 + i if swap(i) else None, float(i) if swap(i) else None, i % 3 if swap(i) else None, None if swap(i) else 1 + i, None if swap(i) else 0, None if swap(i) else 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "pool string, block_number long, log_index long, kind string, liquidity_after long, sqrt_event double, tick_event int, liquidity_delta long, tick_lower int, tick_upper int")
+    start = spark.createDataFrame([("p", 1000, 1.0, 0)], "pool string, l0 long, sqrt0 double, tick0 int")
+    got, want = (state.running_state(df, start, bucket_blocks=b) for b in (None, 1000))
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    per_task = got.withColumn("_task", F.spark_partition_id()).groupBy("_task").count()
+    assert per_task.count() > 1  # a pool's two blocks were one task's
