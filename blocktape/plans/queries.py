@@ -399,8 +399,9 @@ def landed_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Liquidity that swaps lack, from raw logs landed by pool and stretch of blocks, of which only stretches that lack any are opened."""
     e = staged(state_events(spark, sf_dir).withColumn("liquidity_after", F.when(F.col("log_index") % 2 == 0, F.col("liquidity_after"))))
     logs, folder = swap_logs(spark, sf_dir), f"{shared_folder(spark, 'landed')}/logs"
-    landed.land(logs, folder, "block_number", BLOCKS)
-    wanted = staged(landed.wanted_stretches(e, (F.col("kind") == "swap") & F.col("liquidity_after").isNull(), BLOCKS))
+    spans = staged(landed.spans(e.filter("kind = 'swap'"), "block_number", BLOCKS))
+    landed.land(landed.with_span(logs, spans, BLOCKS), folder, "block_number", F.col("span"))
+    wanted = staged(landed.wanted_stretches(landed.with_span(e, spans, BLOCKS), (F.col("kind") == "swap") & F.col("liquidity_after").isNull(), F.col("span")))
     rows = landed.of_stretches(landed.read_landed(spark, folder, logs.schema), wanted)
     looked = enrich.swap_liquidity(rows, "swap", enrich.missing_ranges(e))
     return enrich.fill_liquidity(e, looked).select("pool", "block_number", "log_index", F.col("liquidity_after").cast("string").alias("liquidity_after"))

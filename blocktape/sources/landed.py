@@ -15,15 +15,31 @@ from pyspark.sql.types import StructType
 from blocktape.sources.sinks import shared_folder
 
 MOST_STRETCHES = 1_000_000  # pairs of pool and stretch that are sent to all tasks, 32 MB at most
+LEAST_ROWS = 100_000  # that a stretch has on average, where spans follow the rows
 HOT_ROWS = 1_000_000  # rows of one key from which it is joined apart
 MOST_HOT = 100_000
 
 
-def stretch(of: Column, span: int) -> Column:
+def stretch(of: Column, span: int | Column) -> Column:
     return F.floor(of / F.lit(span)).cast("long")
 
 
-def land(df: DataFrame, path: str, by: str, span: int) -> None:
+def spans(df: DataFrame, by: str, span: int, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """(pool, span): a multiple of ``span`` for each pool, such that it has no more stretches than its rows fill with ``least_rows``, and one or two beyond.
+
+    A pool of few rows at far apart blocks would make a folder of each.
+    """
+    wide = F.max(by) - F.min(by) + 1
+    stretches = F.ceil(F.count(F.lit(1)) / least_rows)
+    return df.groupBy("pool").agg((span * F.greatest(F.ceil(wide / (stretches * span)), F.lit(1))).cast("long").alias("span"))
+
+
+def with_span(df: DataFrame, of: DataFrame, span: int) -> DataFrame:
+    """df with the span of its pool; the given one where the pool has none."""
+    return df.join(of, "pool", "left").withColumn("span", F.coalesce("span", F.lit(span)))
+
+
+def land(df: DataFrame, path: str, by: str, span: int | Column) -> None:
     """Writes df by pool and stretch of ``by``.  Files of one size: small stretches share a task and a large one is split; partitions that are in df are replaced."""
     rows = df.withColumn("stretch", stretch(F.col(by), span)).hint("rebalance", "pool", "stretch")
     rows.sortWithinPartitions("pool", "stretch", by).write.partitionBy("pool", "stretch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
@@ -43,7 +59,7 @@ def window(table: DataFrame, by: str, span: int, low: int, high: int, pool: str
     return rows.drop("stretch")
 
 
-def wanted_stretches(events: DataFrame, lacking: Column, span: int) -> DataFrame:
+def wanted_stretches(events: DataFrame, lacking: Column, span: int | Column) -> DataFrame:
     """(pool, stretch, rows) with rows that lack something."""
     return events.filter(lacking).groupBy("pool", stretch(F.col("block_number"), span).alias("stretch")).agg(F.count(F.lit(1)).alias("rows"))
 

@@ -102,3 +102,22 @@ def test_places_in_order(spark, rows):
     got = state.in_order(rows.repartition(5), "ts_unix").select("seq", "ts_unix").collect()
     assert sorted((r.seq, r.ts_unix) for r in got) == [(n, n * 10) for n in range(4000)]
     assert state.in_order(rows.limit(0), "ts_unix").count() == 0
+
+
+def test_spans_make_no_folder_of_each_far_block(spark, tmp_path):
+    df = spark.range(300).select(F.when(F.col("id") < 200, "far").otherwise("near").alias("pool"), F.when(F.col("id") < 200, F.col("id") * 100).otherwise(F.col("id") - 200).alias("block_number"), "id")
+    spans = landed.spans(df, "block_number", 20, least_rows=50)
+    by_pool = {r.pool: r.span for r in spans.collect()}
+    assert by_pool["near"] == 60 and by_pool["far"] % 20 == 0 and by_pool["far"] >= 19901 // 4
+    by_span = landed.with_span(df, spans, 20)
+    landed.land(by_span, f"{tmp_path}/log", "block_number", F.col("span"))
+    assert len(list((tmp_path / "log" / "pool=far").iterdir())) <= 5  # 200 of 20 blocks each
+    table = landed.read_landed(spark, f"{tmp_path}/log", df.schema)
+    few = landed.of_stretches(table, landed.wanted_stretches(by_span, F.col("id") == 7, F.col("span")))
+    assert {7} <= {r.id for r in few.collect()} < set(range(200))
+
+
+def test_text_of_128_bits(spark):
+    numbers = [0, 9, 10**18 - 1, 10**18, 2**64 - 1, 2**64, 10**38 - 1, 10**38, 2**127, 2**128 - 1]
+    df = spark.createDataFrame([(f"{n:032x}", str(n)) for n in numbers] + [("", None), ("0g", None), ("1" * 33, None), ("F", "15")], "d string, t string")
+    assert df.filter(~wide.decimal_text_128(F.col("d")).eqNullSafe(F.col("t"))).count() == 0
