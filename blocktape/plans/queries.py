@@ -410,7 +410,8 @@ def landed_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def merged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three landed kinds as one log in order, each event with its place."""
-    t = pool_events(spark, sf_dir)
+    # the kinds are cut from what is written: each would make the log's windows again, in the few tasks that a union of them gets
+    t = staged(pool_events(spark, sf_dir).select("ts_unix", "block_number", "log_index", "pool", "kind", "amount"))
     both = readers.merged(*(t.filter(F.col("kind") == k) for k in ("swap", "mint", "burn")))
     return state.in_order(both, "ts_unix", "block_number", "log_index", "pool").select("seq", "ts_unix", "block_number", "log_index", "pool", "kind")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blocktape.functions import scalars, wide
 from blocktape.operators import state
+from blocktape.plans.queries import QUERIES
 from blocktape.sources import landed
 
 
@@ -121,3 +122,10 @@ def test_text_of_128_bits(spark):
     numbers = [0, 9, 10**18 - 1, 10**18, 2**64 - 1, 2**64, 10**38 - 1, 10**38, 2**127, 2**128 - 1]
     df = spark.createDataFrame([(f"{n:032x}", str(n)) for n in numbers] + [("", None), ("0g", None), ("1" * 33, None), ("F", "15")], "d string, t string")
     assert df.filter(~wide.decimal_text_128(F.col("d")).eqNullSafe(F.col("t"))).count() == 0
+
+
+def test_the_merged_log_sorts_what_is_written(spark, sf, monkeypatch):
+    plans, staged = [], state.staged
+    monkeypatch.setattr(state, "staged", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or staged(df))
+    QUERIES["merged_log"](spark, sf)
+    assert len(plans) == 1 and "Window" not in plans[0]
