@@ -11,22 +11,30 @@ ones leave no padding; conversations (`pack_examples`) have all three limits.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocktape.llm.common import fresh, in_arrow
-from blocktape.llm.token_counts import SPLIT, byte_letters, words_of
+from blocktape.llm.token_counts import SPLIT, byte_letters
 
 OPEN_BINS = 32  # bins that a task holds open
 OUT_ROWS = 4096  # rows of one output batch, about
 TASK_BITS = 36  # a task's sequences are numbered below 2^36
+WORDS_AT_ONCE = 20_000  # words that are encoded, or put in their places, together
+LONG_RUN = 1000  # the faster library's matcher has a stack, which long runs of white space fill
+#: Fixed value: a space at the start or before the end or white space, which the library may join with it.
+ODD_SPACE = r"\A | (?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
 
 @dataclass(frozen=True)
@@ -133,40 +141,110 @@ class VectorPacker:
             self.closed(out)
 
 
-def id_bytes(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its token ids as little-endian unsigned 32-bit integers.
-
-    Words are encoded once and remembered.  The same vocabulary gives the same ids in two libraries;
-    the faster one encodes words of Latin letters, the file's own library all others and all texts that
-    hold a special string.
-    """
-    import tiktoken
-    from tokenizers import Tokenizer
+def after_spaces(words: pa.Array) -> str:
+    """All words in one text, each with a space before it."""
+    return " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", words.type))[0].as_py()
 
-    library = Tokenizer.from_file(path)
-    specials = [t.content for t in library.get_added_tokens_decoder().values()]
-    number = {letter: b for b, letter in enumerate(byte_letters())}
-    ranks = {bytes(map(number.__getitem__, t)): i for t, i in library.get_vocab().items() if t not in specials}
-    latin = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def whole(text: str) -> bytes:
-        return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+class TokenIds:
+    """Token ids of texts as little-endian unsigned 32-bit integers.
 
-    def word(text: str) -> bytes:
-        return array("I", latin(text)).tobytes() if text.isascii() or max(text) < "\u0250" else whole(text)
+    Texts of a batch are cut before single spaces, which the library never joins with what is before them;
+    each distinct word of the batch is encoded once and its ids are put where it stands.  The same
+    vocabulary gives the same ids in two libraries; the faster one encodes Latin letters, the file's own
+    library all others, long runs of white space and all texts that hold a special string.
+    """
 
-    words = words_of(word)
+    def __init__(self, path: str):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        number = {letter: b for b, letter in enumerate(byte_letters())}
+        ranks = {bytes(map(number.__getitem__, t)): i for t, i in self.library.get_vocab().items() if t not in self.specials}
+        self.fast = tiktoken.Encoding("texts", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)  # tokens that start with a space
+        self.spaced[[i for t, i in ranks.items() if t[0] == ord(" ")]] = True
+        self.foreign, self.run = re.compile("[^\0-\u024f]").search, re.compile(r"\s\s{%d}" % (LONG_RUN - 1)).search
+
+    def is_quick(self, text: str) -> bool:
+        return (text.isascii() or not self.foreign(text)) and not self.run(text)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def quick(self, text: str) -> np.ndarray:
+        return np.frombuffer(array("I", self.fast(text)), "<u4")
+
+    def plain(self, text: str) -> np.ndarray:
+        """Ids of a text without special strings."""
+        return self.quick(text) if self.is_quick(text) else self.whole(text)
+
+    def runs(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids of all words, each with a space before it, then where each word's ids start in these and how many they are."""
+        ids, start, count, total = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+
+        def learn(where: np.ndarray, text: str, encode: Callable[[str], np.ndarray]) -> None:
+            nonlocal total
+            ids.append(encode(text))
+            begins = np.flatnonzero(self.spaced[ids[-1]])  # a word has no other token that starts with a space
+            start[where], count[where] = total + begins, np.diff(begins, append=len(ids[-1]))
+            total += len(ids[-1])
+
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
+            where, text = np.arange(at, at + len(part)), after_spaces(part)
+            if self.is_quick(text):
+                learn(where, text, self.quick)
+                continue
+            latin = np.array([self.is_quick(w) for w in part.to_pylist()])
+            for some, encode in ((latin, self.quick), (~latin, self.whole)):
+                if some.any():
+                    learn(where[some], after_spaces(part.filter(pa.array(some))), encode)
+        return ids, start, count
+
+    def by_words(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, of which none has an odd space or a special string."""
+        split = pc.split_pattern(texts, " ")
+        words, bounds = split.values, np.asarray(split.offsets)
+        follows = np.ones(len(words), bool)  # words with a space before them
+        follows[bounds[:-1]] = False
+        coded = words.filter(pa.array(follows)).dictionary_encode()
+        ids, start, count = self.runs(coded.dictionary)
+        firsts = [self.plain(w) for w in words.filter(pa.array(~follows)).to_pylist()]
+        sizes = np.array([len(x) for x in firsts], np.int64)
+        start = np.concatenate([start, count.sum() + np.cumsum(sizes) - sizes])
+        count = np.concatenate([count, sizes])
+        flat = np.concatenate([*ids, *firsts, np.zeros(0, "<u4")])
+        which = np.empty(len(words), np.int64)
+        which[follows] = np.asarray(coded.indices)
+        which[~follows] = len(coded.dictionary) + np.arange(len(firsts))
+        ends = np.concatenate([[0], np.cumsum(count[which])])
+        out = np.empty(ends[-1], "<u4")
+        for at in range(0, len(which), WORDS_AT_ONCE):
+            part, place = which[at : at + WORDS_AT_ONCE], ends[at : at + WORDS_AT_ONCE + 1]
+            out[place[0] : place[-1]] = flat[np.repeat(start[part] - place[:-1], count[part]) + np.arange(place[0], place[-1])]
+        marks = ends[bounds].tolist()
+        return [out[a:b].tobytes() for a, b in pairwise(marks)]
+
+    def of(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a batch; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), bool)
+        for s in self.specials:
+            special |= np.asarray(pc.match_substring(texts, s))
+        apart = special | np.asarray(pc.match_substring_regex(texts, ODD_SPACE))
+        out = iter(self.by_words(texts.filter(pa.array(~apart))))
+        alone = zip(texts.filter(pa.array(apart)).to_pylist(), special[apart].tolist(), strict=True)
+        odd = (self.whole(text) if held else self.plain(text) for text, held in alone)
+        return [next(odd).tobytes() if a else next(out) for a in apart.tolist()]
 
-    def encode(text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        parts = list(map(words.__getitem__, rest))
-        if not first or None in parts or any(s in text for s in specials):
-            return whole(text)
-        return word(first) + b"".join(parts)
 
-    return encode
+def id_bytes(path: str) -> Callable[[str], bytes]:
+    """A function from a text to its token ids as little-endian unsigned 32-bit integers."""
+    ids = TokenIds(path)
+    return lambda text: ids.of(pa.array([text], pa.string()))[0]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -205,11 +283,11 @@ def pack_documents(
             out.clear()
             return batch
 
-        encode, packer, last = None, VectorPacker(limits, closed), end_id.to_bytes(4, "little")
+        encoder, packer, last = None, VectorPacker(limits, closed), end_id.to_bytes(4, "little")
         for batch in batches:
-            encode = encode or id_bytes(tokenizer)
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids, key = encode(text.as_py() or "") + last, doc.as_py()
+            encoder = encoder or TokenIds(tokenizer)
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.of(batch.column(1)), strict=True):
+                ids += last
                 total = len(ids) // 4
                 packer.place_cut(lambda start, n, ids=ids, key=key, total=total: (key, total, ids[4 * start : 4 * (start + n)], start), total)
                 if len(out) >= OUT_ROWS:

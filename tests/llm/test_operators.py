@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -173,6 +174,43 @@ def test_counting_equals_the_library_on_odd_texts():
         assert count(t) == len(want) and np.frombuffer(encode(t), "<u4").tolist() == want
 
 
+def test_batches_of_ids_equal_the_library():
+    library, encoder, g = Tokenizer.from_file(TOKENIZER), packing.TokenIds(TOKENIZER), random.Random(8)
+    latin = [chr(c) for c in range(1, 0x250)]
+    words = ["word", "don't", "x\n", "a\n\nb", "12.5", "\u201cquoted\u201d", "\u7684\u662f", "\U0001f44d", "e\u0301", "\u017fo", "<|endoftext|>", "y" * 300, "z\t" + "\n" * 1200 + "z"]
+    made = ["".join(g.choices(latin, k=g.randint(1, 9))) for _ in range(600)] + words
+    texts = [None, "", " ", "\n", "one", " lead", "trail ", "two  spaces", "a \nb", "a \x1cb", "a \u2003b", *latin, *(f"a {c}b {c} c{c} d" for c in latin)]
+    texts += [" ".join(g.choices(made, k=g.randint(1, 40))) for _ in range(400)] + [f"{w} {w} end" for w in words]
+    g.shuffle(texts)
+    for batch in (texts, texts[:1], [], [None], ["<|endoftext|>", "  "]):
+        got = encoder.of(pa.array([None, *batch], pa.string())[1:])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in batch]
+    assert encoder.of(pa.array(texts, pa.large_string())) == encoder.of(pa.array(texts, pa.string()))
+
+
+def test_packing_encodes_a_word_of_a_batch_once():
+    encoder, given = packing.TokenIds(TOKENIZER), []
+    fast = encoder.fast
+    encoder.fast = lambda text: given.append(len(text)) or fast(text)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words[i % 7 :]) for i in range(500)]
+    got = encoder.of(pa.array(texts))
+    assert sum(given) < 500 * 4 + 1000 < sum(map(len, texts)) / 50
+    assert got[6] == packing.id_bytes(TOKENIZER)(texts[6])
+
+
+def test_long_white_space_is_packed(spark):
+    texts = ["a" + c * 1_200_000 + "b" for c in "\n\xa0"] + ["b c" + "\t" * 1_200_000 + "d e"]
+    library, want = Tokenizer.from_file(TOKENIZER), {}
+    for i, t in enumerate(texts):
+        want[i] = [*library.encode(t, add_special_tokens=False).ids, 1]
+    pieces = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER).collect()
+    for p in pieces:
+        part = np.array(want[p.doc_id][p.start : p.start + p.length], "<u4")
+        assert len(part) == p.length and p.ids_crc32 == zlib.crc32(part.tobytes()) and p.doc_tokens == len(want[p.doc_id])
+    assert sum(p.length for p in pieces) == sum(map(len, want.values()))
+
+
 def test_vector_limits_hold(spark):
     g = random.Random(2)
     examples = [(i, g.randint(0, 900), 0) for i in range(400)] + [(900, 5000, 10), (901, None, None)]
