@@ -181,7 +181,7 @@ def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     bits = bits_for(n)
     if 4 * n > bits:
         return df.join(ids.hint("merge"), key, "left_semi")
-    return keep_marked(df, bit_of(F.col(key), bits, 0), written(bitmaps(ids.select(bit_of(F.col(key), bits, 0).alias("slot")).distinct(), "slot")))
+    return keep_marked(df, bit_of(F.col(key), bits, 0), written(bitmaps(ids.select(bit_of(F.col(key), bits, 0).alias("slot")), "slot")))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -304,13 +304,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     docs, table, linked, members, index, counts = indexed(docs, words, percent, id_col, text_col)
     of, again = classes_of(linked, members)
-    edges, known, rows = star_links(docs, members, index, words, percent)
+    known, rows = star_links(docs, members, index, words, percent)
     split = known.join(known.groupBy("gid").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("gid"), "gid")
     within = group_members(docs, written(split), counts, words, percent)
     pairs = written(may_reach(open_pairs(linked, known, rows, percent).unionByName(within), members, percent))
     texts = written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     more = verified(pairs, texts, words, percent)
-    last = connected_components(edges.unionByName(more).unionByName(again)).withColumnRenamed("id", "cls")
+    last = connected_components(stars(known).unionByName(more).unionByName(again)).withColumnRenamed("id", "cls")
     found = of.join(last.hint("merge"), "cls", "left").select("doc_id", F.coalesce("component", "cls").alias("component_id"))
     smallest = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return table.select("doc_id", F.col("n").alias("n_shingles")).join(smallest, "doc_id", "left").select(
@@ -360,20 +360,25 @@ def group_pairs(index: DataFrame, percent: int, part: int = HOT_PART) -> DataFra
     return met.filter(F.col("_early") & (F.col("_shared") >= least_shared("na", "nb", percent))).select("ga", "gb")
 
 
+def stars(known: DataFrame) -> DataFrame:
+    """(a, b): each class of a component to its smallest one, which is all that further links need of it."""
+    return known.filter("cls <> comp").select(F.col("cls").alias("a"), F.col("comp").alias("b"))
+
+
 def components_of(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(cls, gid, n, comp) of every class under the links found so far."""
     found = connected_components(edges).withColumnsRenamed({"id": "cls", "component": "comp"})
     return members.select("cls", "gid", "n").join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def star_links(docs: DataFrame, members: DataFrame, index: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, known, rows): verified links of classes to one other a round, the components they make, and what they leave open.
+def star_links(docs: DataFrame, members: DataFrame, index: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(known, rows): the components that verified links of classes to one other a round make, and what they leave open.
 
     In the first round a class goes to its group's head, and a head to the center that most of its prefix
     points to.  In later ones a group of an open shingle goes to the earliest group of another component.
     """
     inside = members.filter("cls <> gid").select(F.col("cls").alias("a"), F.col("gid").alias("b"))
-    links, tried, n_index = None, None, index.count()
+    known, tried, n_index = None, None, index.count()
     for n in range(STAR_ROUNDS):
         asked = index.filter("gid <> center").select("gid", "n", "center", "m") if n == 0 else other_centers(rows)
         votes = asked.filter(size_fits("n", "m", percent)).groupBy("gid", "n", "center", "m").agg(F.count(F.lit(1)).alias("votes"))
@@ -384,14 +389,13 @@ def star_links(docs: DataFrame, members: DataFrame, index: DataFrame, words: int
         pairs = written(pairs.unionByName(inside)) if n == 0 else pairs
         texts = written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         found = written(verified(pairs, texts, words, percent))
-        links = found if links is None else links.unionByName(found)
         tried = best if tried is None else tried.unionByName(best)
-        known = written(components_of(members, links))
+        known = written(components_of(members, found if known is None else stars(known).unionByName(found)))
         rows = open_rows(index, known, percent)
         left = rows.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.first("largest").alias("largest")).agg(F.sum((F.col("all") - F.col("largest")) * F.col("all"))).first()[0]
         if (left or 0) <= n_index or not found.limit(1).count():
             break
-    return links, known, rows
+    return known, rows
 
 
 def open_rows(index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -458,7 +462,7 @@ def keep_one_near_copy(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     found = near_duplicates(docs, words, percent, id_col, text_col)
     gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__bt_gone")).distinct())
     bits = bits_for(gone.count())
-    marks = written(bitmaps(gone.select(bit_of(F.col("__bt_gone"), bits, 0).alias("slot")).distinct(), "slot"))
+    marks = written(bitmaps(gone.select(bit_of(F.col("__bt_gone"), bits, 0).alias("slot")), "slot"))
     tested = keep_marked(docs, bit_of(F.col(f"`{id_col}`").cast("long"), bits, 0), marks, into="__bt_maybe")
     maybe = tested.filter("__bt_maybe").drop("__bt_maybe")
     maybe = maybe.join(gone, maybe[id_col].cast("long") == gone["__bt_gone"], "left_anti")

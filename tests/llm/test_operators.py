@@ -16,7 +16,7 @@ from blocktape.llm import decontaminate as leaks
 from blocktape.llm import exact_dedup as exact
 from blocktape.llm import language_id as lang
 from blocktape.llm import ngram_join as near
-from blocktape.llm import packing, secrets, sharding, token_counts, url_filter
+from blocktape.llm import components, packing, secrets, sharding, token_counts, url_filter
 from blocktape.llm.components import connected_components
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -115,6 +115,17 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {50: 50, 51: 50, 200: 50}
 
 
+def test_components_at_rest_cost_no_round(spark, monkeypatch):
+    """Each table written is a query, with threads and plans on the driver, so rounds that change nothing are not run."""
+    wrote = []
+    monkeypatch.setattr(components, "written", lambda df, write=components.written: wrote.append(df) or write(df))
+    for edges, most in (([(0, i) for i in range(1, 9)] + [(20, 21), (21, 20)], 1), ([(0, 1), (1, 2), (7, 9), (8, 9)], 5), ([], 1), ([(3, 3)], 1)):
+        wrote.clear()
+        got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {v: 0 if v < 3 or len(edges) == 10 and v < 9 else 7 if v < 10 else 20 for e in edges for v in e if e[0] != e[1]}
+        assert len(wrote) <= most
+
+
 def test_exact_dedup(spark, docs, empty):
     groups = {}
     for i, t in texts():
