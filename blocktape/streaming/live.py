@@ -9,12 +9,13 @@ of its number, which a batch that is run again overwrites.
 
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import StructType
@@ -27,7 +28,10 @@ KEY = ["pool", *ORDER]
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
 SHUFFLE = "spark.sql.shuffle.partitions"
+ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+CHUNK = 100  # log places of a block whose rows wait in one list; readers and writers hold thousands of lists
 
 
 def arriving(spark: SparkSession, source: str, schema: StructType, files: int | None = None, size: str | None = None) -> DataFrame:
@@ -43,12 +47,22 @@ def once(events: DataFrame, delay: str) -> DataFrame:
     return sound.withWatermark("block_ts", delay).dropDuplicatesWithinWatermark(KEY)
 
 
+def closed_chunks(events: DataFrame, delay: str) -> DataFrame:
+    """(pool, block_number, block_ts, chunk, rows) of every block once it is closed: its rows, in lists of at most ``CHUNK`` log places that follow one another.
+
+    ``block_ts`` is one time for all rows of a block; the state holds open blocks only.  A list is read and written whole,
+    so a block of many rows has many.  ``log_index`` is the first field of a row.
+    """
+    whole = ["pool", "block_number", "block_ts"]
+    rest = [c for c in events.columns if c not in (*whole, "log_index")]
+    chunk = F.floor(F.col("log_index") / CHUNK).alias("chunk")
+    return once(events, delay).groupBy(*whole, chunk).agg(F.collect_list(F.struct("log_index", *rest)).alias("rows"))
+
+
 def closed_blocks(events: DataFrame, delay: str) -> DataFrame:
-    """The rows of every block once it is closed.  ``block_ts`` is one time for all rows of a block; the state holds open blocks only."""
+    """The rows of every block once it is closed."""
     whole = ["pool", "block_number", "block_ts"]
-    rest = [c for c in events.columns if c not in whole]
-    blocks = once(events, delay).groupBy(*whole).agg(F.collect_list(F.struct(*rest)).alias("rows"))
-    return blocks.select(*whole, F.explode("rows").alias("r")).select(*whole, "r.*")
+    return closed_chunks(events, delay).select(*whole, F.explode("rows").alias("r")).select(*whole, "r.*")
 
 
 def detections(events: DataFrame) -> DataFrame:
@@ -83,12 +97,13 @@ def run(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str)
     """Take the stream to its present end, from where the folder's last run stopped; returns the progress of its last batches.
 
     Every batch opens and commits each store, with rows or not, so there are no more of them than cores; a folder keeps the
-    number of its first run.  A batch commits its changes, not whole stores.
+    number of its first run.  A batch commits its changes, not whole stores.  What Python takes comes in Arrow batches of 4 MB.
+    The stores of an executor share one bound of memory.
     """
     spark = stream.sparkSession
     stores = min(int(spark.conf.get(SHUFFLE)), spark.sparkContext.defaultParallelism)
     # open blocks may outgrow the memory of an executor
-    with setting(spark, PROVIDER, ROCKSDB), setting(spark, CHANGELOG, "true"), setting(spark, SHUFFLE, str(stores)):
+    with setting(spark, PROVIDER, ROCKSDB), setting(spark, CHANGELOG, "true"), setting(spark, BOUNDED, "true"), setting(spark, SHUFFLE, str(stores)), setting(spark, ARROW, str(4 << 20)):
         query = stream.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return query.recentProgress
@@ -116,67 +131,107 @@ def stream_detections(spark: SparkSession, source: str, schema: StructType, fold
     return written_so_far(spark, folder, "detections")
 
 
+CHUNK_KEY = ["pool", "block_number", "time", "chunk"]
+HANDED_ON = ["block_number", "chunk", "time", "last_log", "swapped", "l", "s", "t", "later", "l0", "sqrt0", "tick0"]
+ROW = {
+    "log_index": "long", "kind": "string", "tick_lower": "int", "tick_upper": "int", "sqrt_event": "double",
+    "liquidity_after": "decimal(38,0)", "tick_event": "int", "liquidity_delta": "decimal(38,0)",
+}
+ROWS = f"array<struct<{', '.join(f'{name}: {kind}' for name, kind in ROW.items())}>>"
+
+
+def is_swap(kind: Column) -> Column:
+    return F.coalesce(kind == "swap", F.lit(False))
+
+
+def typed_states(states: pd.DataFrame) -> pd.DataFrame:
+    return states.astype({"rows": object, "l": object, "s": "Float64", "t": "Int32"})
+
+
 class PoolState(StatefulProcessor):
-    """Folds each pool's closed blocks in order; its state is the last key with liquidity, price and tick after it."""
+    """Carries each pool's state through its closed chunks in order; its state is the last key with liquidity, price and tick after it.
+
+    A chunk's rows pass as text as they come.  Only what the chunk hands on is kept until the pool's last frame, when the
+    state before each chunk follows.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "block_number long, log_index long, l string, s double, t int")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        first = initialState.iloc[0]
-        self.last.update((-1, -1, str(int(first["l0"])), float(first["sqrt0"]), int(first["tick0"])))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        block, log, liquidity, s, t = self.last.get() if self.last.exists() else (-1, -1, None, None, None)
-        own = pd.concat(list(rows)).sort_values(ORDER, kind="stable")
-        own = own[(own["block_number"] > block) | ((own["block_number"] == block) & (own["log_index"] > log))]
-        if not len(own):
-            return
-        level = None if liquidity is None else int(liquidity)
-        before, after, active, applied = [], [], [], []
-        for kind, new, root, tick, low, high, delta in zip(*(own[c] for c in ("kind", "liquidity_after", "sqrt_event", "tick_event", "tick_lower", "tick_upper", "liquidity_delta")), strict=True):
-            before.append((level, s, t))
-            if kind == "swap":
-                level, s, t = None if pd.isna(new) else int(new), root, None if pd.isna(tick) else int(tick)
-                active.append(None)
-                applied.append(None)
-            else:
-                inside = None if t is None or pd.isna(low) or pd.isna(high) else bool(low <= t < high)
-                step = int(delta) if inside and not pd.isna(delta) else 0 if inside is False else None
-                level = level + step if level is not None and step else level
-                active.append(inside)
-                applied.append(step if step is not None else 0)
-            after.append((level, s, t))
-        self.last.update((int(own["block_number"].iloc[-1]), int(own["log_index"].iloc[-1]), None if level is None else str(level), s, t))
-        out = own[[*KEY, "kind"]].copy()
-        for name, states in (("before", before), ("after", after)):
-            out[f"l_{name}"] = [None if x[0] is None else str(x[0]) for x in states]
-            out[f"sqrt_{name}"] = pd.array([x[1] for x in states], dtype="Float64")
-            out[f"tick_{name}"] = pd.array([x[2] for x in states], dtype="Int32")
-        out["affects_active"] = pd.array(active, dtype="boolean")
-        out["delta_l_applied"] = [None if x is None else str(x) for x in applied]
-        yield out
+        told, before = [], []
+        for frame in rows:
+            told.extend(frame[HANDED_ON].itertuples(index=False, name=None))
+            yield typed_states(frame[[*CHUNK_KEY, "rows"]].assign(l=None, s=None, t=None))
+        told.sort(key=lambda r: r[:2])
+        none = lambda x: None if pd.isna(x) else x
+        whole = lambda x: None if pd.isna(x) else int(x)
+        if self.last.exists():
+            block, log, level, s, t = self.last.get()
+            level = whole(level)
+        else:
+            block, log, level, s, t = -1, -1, whole(told[0][-3]), none(told[0][-2]), whole(told[0][-1])
+        for b, chunk, time, end, swapped, new, root, tick, later, *_ in told:
+            if (b, end) <= (block, log):
+                continue
+            block, log = b, end
+            before.append((*key, b, time, chunk, None, None if level is None else str(level), s, t))
+            if swapped:
+                level, s, t = whole(new), none(root), whole(tick)
+            for change in json.loads(later) if level is not None and t is not None else ():
+                low, high = change.get("tick_lower"), change.get("tick_upper")
+                if low is not None and high is not None and low <= t < high:
+                    level += change.get("liquidity_delta") or 0
+        if before:
+            self.last.update((block, log, None if level is None else str(level), s, t))
+            yield typed_states(pd.DataFrame(before, columns=[*CHUNK_KEY, "rows", "l", "s", "t"]))
 
     def close(self) -> None:
         pass
 
 
-STATE_ROWS = (
-    "pool string, block_number long, log_index long, kind string, l_before string, sqrt_before double, tick_before int, "
-    "l_after string, sqrt_after double, tick_after int, affects_active boolean, delta_l_applied string"
-)
+CARRIED = "pool string, block_number long, time long, chunk long, rows string, l string, s double, t int"
 
 
-def keyed_state(closed: DataFrame, start: DataFrame) -> DataFrame:
-    """The running state of a stream of closed blocks, from one row per pool of ``start``: pool, l0, sqrt0, tick0.
+def carried_state(chunks: DataFrame, start: DataFrame) -> DataFrame:
+    """Of each closed chunk one row with its rows as text, and one, without them, with liquidity, price and tick before it.
 
-    State lives in the state store beside the pool's rows: nothing is sent to all tasks.  A batch holds the rows
-    that were admitted, so a pool's share of it is bounded by the size of a batch.
+    State lives in the state store, one row per pool, which begins with the pool's row of ``start``: pool, l0, sqrt0, tick0.
+    It is joined, not given as initial state, for with one a worker holds all of a pool's rows of a batch.
+    What a chunk hands on is its last swap and the changes after it.
     """
-    rows = closed.groupBy("pool").transformWithStateInPandas(PoolState(), STATE_ROWS, "Append", "None", start.groupBy("pool"))
-    whole = lambda c: F.col(c).cast("decimal(38,0)")
-    rows = rows.withColumns({c: whole(c) for c in ("l_before", "l_after", "delta_l_applied")})
-    return rows.withColumns({f"{v}_{side}": f(F.col(f"l_{side}"), F.col(f"sqrt_{side}")) for side in ("before", "after") for v, f in (("x", virtual_x), ("y", virtual_y))})
+    known = chunks.filter(F.col("block_number").isNotNull() & F.col("chunk").isNotNull())
+    last = known.withColumn("last", F.array_max(F.filter("rows", lambda r: is_swap(r["kind"]))))
+    later = F.filter("rows", lambda r: ~is_swap(r["kind"]) & (F.col("last").isNull() | (r["log_index"] > F.col("last.log_index"))))
+    told = last.select(
+        "pool", "block_number", F.unix_micros("block_ts").alias("time"), "chunk", F.array_max("rows.log_index").alias("last_log"), F.col("last").isNotNull().alias("swapped"),
+        F.col("last.liquidity_after").cast("string").alias("l"), F.col("last.sqrt_event").alias("s"), F.col("last.tick_event").alias("t"), F.to_json(later).alias("later"), F.to_json("rows").alias("rows"),
+    )
+    first = start.select("pool", F.col("l0").cast("decimal(38,0)").cast("string").alias("l0"), F.col("sqrt0").cast("double").alias("sqrt0"), F.col("tick0").cast("int").alias("tick0"))
+    return told.join(first, "pool", "left").groupBy("pool").transformWithStateInPandas(PoolState(), CARRIED, "Append", "None")
+
+
+def keyed_state(carried: DataFrame) -> DataFrame:
+    """The running state of the rows of closed chunks, each folded from the state before it: a pool's rows are spread over all tasks."""
+    states = carried.filter("rows IS NULL").select(*CHUNK_KEY, F.col("l").cast("decimal(38,0)").alias("c_l"), F.col("s").alias("c_s"), F.col("t").alias("c_t"))
+    texts = carried.filter("rows IS NOT NULL").select(*CHUNK_KEY, "rows").join(states.hint("shuffle_hash"), CHUNK_KEY)
+    e = texts.select(*CHUNK_KEY, "c_l", "c_s", "c_t", F.explode(F.from_json("rows", ROWS)).alias("r")).select("*", "r.*")
+    place = Window.partitionBy(*CHUNK_KEY).orderBy("log_index")
+    upto, swap, whole = place.rowsBetween(Window.unboundedPreceding, 0), is_swap(F.col("kind")), lambda c: c.cast("decimal(38,0)")
+    base = F.coalesce(
+        F.last(F.when(swap, F.struct(F.col("liquidity_after").alias("l"), F.col("sqrt_event").alias("s"), F.col("tick_event").alias("t"))), ignorenulls=True).over(upto),
+        F.struct(F.col("c_l").alias("l"), F.col("c_s").alias("s"), F.col("c_t").alias("t")),
+    )
+    e = e.withColumn("base", base).withColumns({"sqrt_after": F.col("base.s"), "tick_after": F.col("base.t")})
+    e = e.withColumn("affects_active", F.when(~swap, (F.col("tick_lower") <= F.col("tick_after")) & (F.col("tick_after") < F.col("tick_upper"))))
+    e = e.withColumn("delta_l_applied", F.when(~swap, F.coalesce(F.when(F.col("affects_active"), F.col("liquidity_delta")), whole(F.lit(0)))))
+    e = e.withColumn("changes", F.coalesce(whole(F.sum("delta_l_applied").over(upto)), whole(F.lit(0))))
+    at_swap = F.coalesce(F.last(F.when(swap, F.col("changes")), ignorenulls=True).over(upto), whole(F.lit(0)))
+    e = e.withColumn("l_after", whole(F.col("base.l") + F.col("changes") - at_swap))
+    first = F.row_number().over(place) == 1
+    e = e.withColumns({f"{v}_before": F.when(first, F.col(c)).otherwise(F.lag(f"{v}_after").over(place)) for v, c in (("l", "c_l"), ("sqrt", "c_s"), ("tick", "c_t"))})
+    e = e.select(*KEY, "kind", *(f"{v}_{side}" for side in ("before", "after") for v in ("l", "sqrt", "tick")), "affects_active", "delta_l_applied")
+    return e.withColumns({f"{v}_{side}": f(F.col(f"l_{side}"), F.col(f"sqrt_{side}")) for side in ("before", "after") for v, f in (("x", virtual_x), ("y", virtual_y))})
 
 
 KINDS = ("swap", "mint", "burn")
@@ -203,19 +258,32 @@ class Counts(StreamingQueryListener):
         self.ended.set()
 
 
-def observed(rows: DataFrame, name: str) -> DataFrame:
-    """rows, counted by kind as they pass."""
-    of = lambda k: F.when(F.col("kind") == k, F.col("block_number"))
-    return rows.observe(name, *(f(of(k)).alias(f"{v}_{k}") for k in KINDS for v, f in (("n", F.count), ("first", F.min), ("last", F.max))))
+def observed(chunks: DataFrame, name: str) -> DataFrame:
+    """Closed chunks, their rows counted by kind as they pass."""
+    n = lambda k: F.when(F.col("block_number").isNotNull(), F.size(F.filter("rows", lambda r: r["kind"] == k)))
+    counted = chunks.withColumns({f"n_{k}": n(k) for k in KINDS})
+    of = lambda k: F.when(F.col(f"n_{k}") > 0, F.col("block_number"))
+    seen = counted.observe(name, *(c for k in KINDS for c in (F.sum(f"n_{k}").alias(f"n_{k}"), F.min(of(k)).alias(f"first_{k}"), F.max(of(k)).alias(f"last_{k}"))))
+    return seen.select(*chunks.columns)
 
 
 def stream_keyed_state(spark: SparkSession, source: str, schema: StructType, start: DataFrame, folder: str, delay: str, files: int | None = None) -> DataFrame:
     """All rows of the running state so far; what passed is counted into folder/metrics, without another pass.  Called again it goes on."""
+    start.write.mode("overwrite").parquet(f"{folder}/start")  # every batch joins it
+    first = spark.read.schema(start.schema).parquet(f"{folder}/start")
+    events = arriving(spark, source, schema, files).select("pool", "block_number", "block_ts", *(F.col(c).cast(kind).alias(c) for c, kind in ROW.items()))
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/closed")  # as in stream_detections
+        closed = spark.read.schema(batch.schema).parquet(f"{folder}/closed")
+        if number and closed.isEmpty():
+            return
+        keyed_state(closed).write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+
     listener = Counts("closed")
     spark.streams.addListener(listener)
     try:
-        rows = keyed_state(observed(closed_blocks(arriving(spark, source, schema, files), delay), "closed"), start)
-        run(rows, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/events/batch={number}"), folder)
+        run(carried_state(observed(closed_chunks(events, delay), "closed"), first), step, folder)
         listener.ended.wait(60)
     finally:
         spark.streams.removeListener(listener)
