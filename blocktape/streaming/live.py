@@ -29,9 +29,10 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+TASK_CHUNKS = 4000  # of a task that folds rows
 SHUFFLE = "spark.sql.shuffle.partitions"
 ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
-CHUNK = 100  # log places of a block whose rows wait in one list; readers and writers hold thousands of lists
+CHUNK = 50  # log places of a block whose rows wait in one list; readers and writers hold thousands of lists
 
 
 def arriving(spark: SparkSession, source: str, schema: StructType, files: int | None = None, size: str | None = None) -> DataFrame:
@@ -214,7 +215,8 @@ def carried_state(chunks: DataFrame, start: DataFrame) -> DataFrame:
 def keyed_state(carried: DataFrame) -> DataFrame:
     """The running state of the rows of closed chunks, each folded from the state before it: a pool's rows are spread over all tasks."""
     states = carried.filter("rows IS NULL").select(*CHUNK_KEY, F.col("l").cast("decimal(38,0)").alias("c_l"), F.col("s").alias("c_s"), F.col("t").alias("c_t"))
-    texts = carried.filter("rows IS NOT NULL").select(*CHUNK_KEY, "rows").join(states.hint("shuffle_hash"), CHUNK_KEY)
+    tasks = -(-states.count() // TASK_CHUNKS) or 1  # by number, for text is far longer than its bytes in a shuffle tell
+    texts = carried.filter("rows IS NOT NULL").select(*CHUNK_KEY, "rows").repartition(tasks, *CHUNK_KEY).join(states.repartition(tasks, *CHUNK_KEY).hint("shuffle_hash"), CHUNK_KEY)
     e = texts.select(*CHUNK_KEY, "c_l", "c_s", "c_t", F.explode(F.from_json("rows", ROWS)).alias("r")).select("*", "r.*")
     place = Window.partitionBy(*CHUNK_KEY).orderBy("log_index")
     upto, swap, whole = place.rowsBetween(Window.unboundedPreceding, 0), is_swap(F.col("kind")), lambda c: c.cast("decimal(38,0)")
@@ -268,29 +270,26 @@ def observed(chunks: DataFrame, name: str) -> DataFrame:
 
 
 def stream_keyed_state(spark: SparkSession, source: str, schema: StructType, start: DataFrame, folder: str, delay: str, files: int | None = None) -> DataFrame:
-    """All rows of the running state so far; what passed is counted into folder/metrics, without another pass.  Called again it goes on."""
+    """All rows of the running state so far; what passed is counted into folder/metrics, without another pass.  Called again it goes on.
+
+    Batches write closed chunks with the state before each; rows are folded from these where they are asked for.
+    """
     start.write.mode("overwrite").parquet(f"{folder}/start")  # every batch joins it
     first = spark.read.schema(start.schema).parquet(f"{folder}/start")
     events = arriving(spark, source, schema, files).select("pool", "block_number", "block_ts", *(F.col(c).cast(kind).alias(c) for c, kind in ROW.items()))
 
-    def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/closed")  # as in stream_detections
-        closed = spark.read.schema(batch.schema).parquet(f"{folder}/closed")
-        if number and closed.isEmpty():
-            return
-        keyed_state(closed).write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
-
     listener = Counts("closed")
     spark.streams.addListener(listener)
     try:
-        run(carried_state(observed(closed_chunks(events, delay), "closed"), first), step, folder)
+        rows = carried_state(observed(closed_chunks(events, delay), "closed"), first)
+        run(rows, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/closed/batch={number}"), folder)
         listener.ended.wait(60)
     finally:
         spark.streams.removeListener(listener)
     told = [(n, k, m[f"n_{k}"], m[f"first_{k}"], m[f"last_{k}"]) for n, m in sorted(listener.batches.items()) for k in KINDS]
     # few rows, one per batch and kind; a run appends, and a batch that two runs report counts once
     spark.createDataFrame(told, "batch long, kind string, n_events long, first_block long, last_block long").coalesce(1).write.mode("append").parquet(f"{folder}/metrics")
-    return written_so_far(spark, folder, "events")
+    return keyed_state(written_so_far(spark, folder, "closed"))
 
 
 def observed_counters(spark: SparkSession, folder: str) -> DataFrame:
